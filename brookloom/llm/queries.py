@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, token_count, token_files
+from . import decontaminate, entropy_mix, exact_dedup, langid, quality, token_count, token_files, toxicity, url_filter
+from .common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +38,46 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, use=~held_out())
+    found = langid.identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"])
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), use=~held_out())
+    found = quality.score(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = docs.withColumn("_n", entropy_mix.words_in(F.col("text")))
+    return entropy_mix.mix(docs.drop("text"), size_col="_n").select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_count": op7_token_count,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
+    "op10_entropy_mix": op10_entropy_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import add_columns, texts_of
 
 MARK = "▁"
-#: Distinct pre-tokens that a Python worker remembers; it forgets all of them beyond.
+#: Distinct pre-tokens that a Python worker remembers; it keeps the older half beyond.
 CACHE = 600_000
 #: Symbols of a pre-token beyond which a heap merges it alone.
 LONG = 512
@@ -210,8 +211,10 @@ def count_texts(texts: list[bytes | None], path: str) -> list[int]:
     cut = [cut_text(t.decode()) if t else [] for t in texts]
     new = list(set().union(*cut).difference(known))
     if len(known) + len(new) > CACHE:
+        older = dict(islice(known.items(), CACHE // 2))  # frequent ones are among them
         known.clear()
-        new = list(set().union(*cut))
+        known.update(older)
+        new = list(set().union(*cut).difference(known))
     for at in range(0, len(new), 50_000):
         some = new[at : at + 50_000]
         known.update(zip(some, own.count_many([MARK + p for p in some]), strict=True))

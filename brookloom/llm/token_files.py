@@ -25,11 +25,13 @@ the order of their texts; repeated rows are all written; an empty table writes n
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,82 +46,98 @@ MAGIC = b"PFOR0001"
 BLOCK = 256
 PERCENTILE = 0.9
 FILE_TOKENS = 2_000_000
-#: Distinct pieces of text whose ids a Python worker remembers.
-CACHE = 500_000
+#: Distinct pieces of text whose ids a Python worker remembers; beyond, it keeps the older half.
+CACHE = 800_000
 
 
 # ---- blocks
 
 
-def pack_bits(values: np.ndarray, widths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pack values[i] in widths[groups[i]] bits, each group from a byte on; the bytes, and each group's length.
+def pack_rows(values: np.ndarray, width: int) -> np.ndarray:
+    """Each row of values in width bits a number, as a row of bytes."""
+    rows, n = values.shape
+    bits = np.unpackbits(values.astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, count=width, bitorder="little") if width else np.zeros((rows * n, 0), np.uint8)
+    return np.packbits(bits.reshape(rows, n * width), axis=1, bitorder="little")
 
-    groups ascends.  All groups are packed in one go: a bit array is filled and packed.
-    """
-    each = widths[groups].astype(np.int64)
-    sizes = np.bincount(groups, weights=each, minlength=len(widths)).astype(np.int64)
-    lengths = (sizes + 7) // 8
-    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1] * 8
-    ends = np.cumsum(each)
-    before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    at = ends - each - before[groups] + starts[groups]
-    bits = np.zeros(int(lengths.sum()) * 8, np.uint8)
-    for k in range(int(widths.max(initial=0))):
-        some = each > k
-        bits[at[some] + k] = values[some] >> k & 1
-    return np.packbits(bits, bitorder="little"), lengths
-
-
-def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+
+def unpack_rows(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The n numbers of each row of bytes."""
+    rows = len(data)
     if not width or not n:
-        return np.zeros(n, np.int64)
-    bits = np.unpackbits(data[: (n * width + 7) // 8], bitorder="little", count=n * width).reshape(n, width)
-    return bits @ (1 << np.arange(width, dtype=np.int64))
+        return np.zeros((rows, n), np.int64)
+    bits = np.zeros((rows * n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(data, axis=1, count=n * width, bitorder="little").reshape(rows * n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(rows, n).astype(np.int64)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.frexp(x.astype(np.float64))[1], 0).astype(np.int64)
 
 
+#: Blocks that are packed or unpacked at once.
+_AT_ONCE = 4096
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[list[bytes], np.ndarray]:
     """The blocks of some ids, and their offsets."""
-    ids = ids.astype(np.int64)
-    n = len(ids)
-    count = (n + block - 1) // block
-    group = np.repeat(np.arange(count), block)[:n]
-    low = np.minimum.reduceat(ids, np.arange(0, n, block)) if n else np.zeros(0, np.int64)
-    rest = ids - low[group]
-    need = _bit_length(rest)
-    # the smallest width that holds the percentile: how many ids of a block need at most w bits
-    held = np.zeros((count, 34), np.int64)
-    np.add.at(held, (group, need), 1)
-    sizes = np.bincount(group, minlength=count)
-    width = np.argmax(np.cumsum(held, axis=1) >= np.ceil(percentile * sizes)[:, None], axis=1)
-    packed, lengths = pack_bits(rest & ((1 << width[group]) - 1), width, group)
-    odd = np.flatnonzero(need > width[group])
-    exceptions = np.bincount(group[odd], minlength=count)
-    high = rest[odd] >> width[group[odd]]
-    high_width = np.zeros(count, np.int64)
-    np.maximum.at(high_width, group[odd], need[odd] - width[group[odd]])
-    high_packed, high_lengths = pack_bits(high, high_width, group[odd])
-    positions = (odd - group[odd] * block).astype("<u2").tobytes()
-    packed, high_packed = packed.tobytes(), high_packed.tobytes()
-    out, a, b, c = [], 0, 0, 0
-    for k in range(count):
-        e = int(exceptions[k])
-        out.append(struct.pack("<IBBH", int(low[k]), int(width[k]), int(high_width[k]), e) + packed[a : (a := a + int(lengths[k]))] + positions[2 * b : 2 * (b := b + e)] + high_packed[c : (c := c + int(high_lengths[k]))])
+    full = len(ids) // block
+    out = []
+    for at in range(0, full, _AT_ONCE):
+        out += _encode_rows(ids[at * block : min(full, at + _AT_ONCE) * block].reshape(-1, block), percentile)
+    if full * block < len(ids):
+        out += _encode_rows(ids[full * block :].reshape(1, -1), percentile)
     return out, np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
 
 
-def decode_block(data: memoryview, n: int) -> np.ndarray:
-    low, width, high_width, exceptions = struct.unpack_from("<IBBH", data)
-    at = 8 + (n * width + 7) // 8
-    values = unpack_bits(np.frombuffer(data[8:at], np.uint8), n, width)
-    if exceptions:
-        where = np.frombuffer(data[at : at + 2 * exceptions], "<u2")
-        at += 2 * exceptions
-        values[where] |= unpack_bits(np.frombuffer(data[at:], np.uint8), exceptions, high_width) << width
-    return values + low
+def _encode_rows(rows: np.ndarray, percentile: float) -> list[bytes]:
+    rows = rows.astype(np.int64)
+    count, n = rows.shape
+    low = rows.min(axis=1)
+    rest = rows - low[:, None]
+    need = _bit_length(rest)
+    # the smallest width that holds the percentile of a block's ids
+    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * n)) - 1]
+    packed: list[bytes] = [b""] * count
+    for w in np.unique(width).tolist():
+        which = np.flatnonzero(width == w)
+        for k, data in zip(which.tolist(), pack_rows(rest[which] & ((1 << w) - 1), w), strict=True):
+            packed[k] = data.tobytes()
+    over = need > width[:, None]
+    exceptions = over.sum(axis=1)
+    high_width = np.where(exceptions > 0, need.max(axis=1) - width, 0)
+    row, column = np.nonzero(over)
+    high = rest[row, column] >> width[row]
+    positions = column.astype("<u2").tobytes()
+    ends = np.cumsum(exceptions)
+    out = []
+    for k in range(count):
+        e, h, end = int(exceptions[k]), int(high_width[k]), int(ends[k])
+        tail = positions[2 * (end - e) : 2 * end] + pack_rows(high[end - e : end].reshape(1, -1), h).tobytes() if e else b""
+        out.append(struct.pack("<IBBH", int(low[k]), int(width[k]), h, e) + packed[k] + tail)
+    return out
+
+
+def decode_blocks(body: memoryview, starts: list[int], sizes: list[int]) -> np.ndarray:
+    """The ids of some blocks: starts in body, and ids of each."""
+    heads = [struct.unpack_from("<IBBH", body, at) for at in starts]
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.zeros(int(begins[-1]), np.int64)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (head, n) in enumerate(zip(heads, sizes, strict=True)):
+        alike.setdefault((n, head[1]), []).append(k)
+    for (n, width), which in alike.items():
+        length = (n * width + 7) // 8
+        data = np.frombuffer(b"".join([body[starts[k] + 8 : starts[k] + 8 + length] for k in which]), np.uint8).reshape(len(which), length)
+        out[(begins[which][:, None] + np.arange(n)).ravel()] = unpack_rows(data, n, width).ravel()
+    for k, ((low, width, high_width, e), n) in enumerate(zip(heads, sizes, strict=True)):
+        own = out[begins[k] : begins[k + 1]]
+        if e:
+            at = starts[k] + 8 + (n * width + 7) // 8
+            where = np.frombuffer(body, "<u2", e, at)
+            high = np.frombuffer(body, np.uint8, (e * high_width + 7) // 8, at + 2 * e)
+            own[where] |= unpack_rows(high.reshape(1, -1), e, high_width)[0] << width
+        own += low
+    return out
 
 
 # ---- files
@@ -155,8 +173,8 @@ class TokenFile:
         if start >= end:
             return np.zeros(0, np.int64)
         first, last = start // self.block, (end - 1) // self.block
-        parts = [decode_block(self.body[self.starts[k] :], min(self.block, self.n - k * self.block)) for k in range(first, last + 1)]
-        return np.concatenate(parts)[start - first * self.block : end - first * self.block]
+        sizes = [min(self.block, self.n - k * self.block) for k in range(first, last + 1)]
+        return decode_blocks(self.body, self.starts[first : last + 1].tolist(), sizes)[start - first * self.block : end - first * self.block]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(id, first id's place in this file, ids) of each document, decoding a stretch of blocks at a time."""
@@ -181,59 +199,105 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), _Ids()
+    library = Tokenizer.from_file(path)
+    ends_word = np.zeros(library.get_vocab_size(), bool)
+    ends_word[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
+    return library, _Ids(ends_word)
 
 
 class _Ids:
     """Ids of pieces of text in one flat array."""
 
-    def __init__(self) -> None:
-        self.clear()
+    def __init__(self, ends_word: np.ndarray) -> None:
+        self.ends_word = ends_word
+        self.place: dict[bytes, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self, size: int) -> None:
+        """Keep the pieces that came first: frequent ones are among them."""
+        self.place = dict(islice(self.place.items(), size))
+        self.start, self.size = self.start[:size].copy(), self.size[:size].copy()
+        self.flat = self.flat[: int(self.start[-1] + self.size[-1]) if size else 0].copy()
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+    def add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        base = len(self.place)
+        self.place.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.flat = np.concatenate((self.flat, ids))
+        self.size = np.concatenate((self.size, size))
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, without special tokens, as the tokenizers library gives them for the whole text.
+_SPECIAL = b"<|endoftext|>"
+#: A stop or comma after a letter is a piece of its own, as it is for the tokenizer.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
-    This tokenizer drops white space and no token or normalisation reaches across it, so texts are cut
-    at spaces and line ends, and each distinct piece is encoded by the library once.
+
+def cut_text(text: bytes) -> list[bytes]:
+    """Pieces that the tokenizer encodes alike on their own.
+
+    It lower-cases, drops white space, splits letters from stops and commas, and neither a token nor
+    a normalisation reaches across ASCII white space.  A text that may hold a special token stays whole.
+    """
+    if b"<|" in text:
+        return [text]
+    return _STOP.sub(rb" \1", text.lower()).split()  # of bytes: A-Z and ASCII white space only
+
+
+def _encode_pieces(library, pieces: list[bytes], ends_word: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Pieces in some order, their ids and how many each has; the library gets many pieces in a call.
+
+    A piece of letters only is one word to the tokenizer, and a word's last token ends in </w>: such
+    pieces stand between spaces and are told apart by that.  Others stand between special tokens.
+    """
+    words, others, whole = [], [], []
+    for p in pieces:
+        (whole if b"<|" in p else words if p in (b".", b",") or p.decode().isalpha() else others).append(p)
+    done, ids, size = [], [], []
+    groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+    for group, e in zip(groups, library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        x = np.array(e.ids, np.uint32)
+        ends = np.flatnonzero(ends_word[x])
+        if len(ends) != len(group):
+            others += group
+            continue
+        done += group
+        ids.append(x)
+        size.append(np.diff(ends, prepend=-1))
+    between = library.token_to_id(_SPECIAL.decode())
+    groups = [others[at : at + 256] for at in range(0, len(others), 256)]
+    for group, e in zip(groups, library.encode_batch_fast([_SPECIAL.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        x = np.array(e.ids, np.uint32)
+        done += group
+        ids.append(x[x != between])
+        size.append(np.diff(np.concatenate(([-1], np.flatnonzero(x == between), [len(x)]))) - 1)
+    for p, e in zip(whole, library.encode_batch([p.decode() for p in whole], add_special_tokens=False), strict=True):
+        done.append(p)
+        ids.append(np.array(e.ids, np.uint32))
+        size.append(np.array([len(e.ids)]))
+    return done, np.concatenate(ids), np.concatenate(size)
+
+
+def encode_texts(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, without special tokens, as the tokenizers library gives them for each whole text; where each text ends.
+
+    Each distinct piece is encoded by the library once, many pieces in one call with its special
+    token between them.
     """
     library, known = tokenizer(path)
-    cut = [t.split() if t.isascii() and not _odd_space(t) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    cut = [cut_text(t or b"") for t in texts]
     new = list(set().union(*cut).difference(known.place))
     if len(known.place) + len(new) > CACHE:
-        known.clear()
-        new = list(set().union(*cut))
+        known.shrink(CACHE // 2)
+        new = list(set().union(*cut).difference(known.place))
     if new:
-        got = [e.ids for e in library.encode_batch(new, add_special_tokens=False)]
-        base = len(known.place)
-        known.place.update(zip(new, range(base, base + len(new)), strict=True))
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        offset = int(known.start[-1] + known.size[-1]) if base else 0
-        known.start = np.concatenate((known.start, offset + np.cumsum(size) - size))
-        known.size = np.concatenate((known.size, size))
-        known.flat = [np.concatenate([*known.flat, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])]
-    flat = known.flat[0] if known.flat else np.zeros(0, np.uint32)
-    counts = [len(c) for c in cut]
-    at = np.fromiter((p for c in cut for p in map(known.place.__getitem__, c)), np.int64, sum(counts))
-    size = known.size[at] if len(at) else at
-    total = np.cumsum(size)
+        known.add(*_encode_pieces(library, new, known.ends_word))
+    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    at = np.fromiter(map(known.place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    size = known.size[at]
+    total = np.concatenate(([0], np.cumsum(size)))
     # the k-th id of the result stands at start + (k - ids before its piece)
-    shift = (known.start[at] if len(at) else at) - (total - size)
-    out = flat[np.repeat(shift, size) + np.arange(int(total[-1]) if len(total) else 0)]
-    pieces = np.cumsum(counts)
-    ends = [int(total[p - 1]) if p else 0 for p in pieces.tolist()]
-    return [out[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _odd_space(text: str) -> bool:
-    """Characters that Python's split takes for white space and the tokenizer may not."""
-    return any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
+    out = known.flat[np.repeat(known.start[at] - total[:-1], size) + np.arange(int(total[-1]))]
+    return out, total[np.cumsum(counts)]
 
 
 # ---- Spark
@@ -272,14 +336,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
         for whole in batches:
             for batch in bounded(whole, 4 << 20):
-                texts = [(t or b"").decode() for t in texts_of(batch, "t")]
-                for i, ids in zip(batch.column("i").to_pylist(), encode_texts(texts, tokenizer_path), strict=True):
-                    if held and held + len(ids) + 1 > file_tokens:
+                ids, ends = encode_texts(texts_of(batch, "t"), tokenizer_path)
+                ids = np.insert(ids, ends, end_id)  # after each document
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                start = 0
+                for i, end in zip(batch.column("i").to_pylist(), ends, strict=True):
+                    if held and held + end - start > file_tokens:
                         flush()
                     doc_ids.append(i)
-                    lengths.append(len(ids) + 1)
-                    parts += [ids, np.array([end_id], np.uint32)]
-                    held += len(ids) + 1
+                    lengths.append(end - start)
+                    parts.append(ids[start:end])
+                    held += end - start
+                    start = end
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=_FILES.names)
 
