@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, entropy_mix, exact_dedup, langid, quality, token_count, token_files, toxicity, url_filter
+from . import decontaminate, entropy_mix, exact_dedup, langid, near_dedup, quality, token_count, token_files, toxicity, url_filter
 from .common import held_out
 
 
@@ -33,6 +33,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_count": op7_token_count,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
