@@ -16,10 +16,10 @@ verified on the exact multisets: sum of minima over sum of maxima at least THRES
 Texts of one word sequence are one node, so copies are never paired.  Buckets are never paired out
 either: the member that shares the most buckets (in a group of near copies the one that the others
 are edits of) is the bucket's pivot, and each member is verified against it.  Where a bucket then still
-holds several components, its members outside the pivot's component are compared with all members, in
-blocks of about BLOCK and by signature; pairs that may reach the threshold are verified.  A pair in one
-component needs no test, as its link changes nothing.  So no link between nodes that share a bucket is
-lost, and no task gets more than a block.  Components come from alternating large-star and small-star
+holds several components, its members outside the pivot's component are compared with all members, exactly
+and in tiles of about BLOCK x BLOCK by matrix products; a tile returns a forest of its links.  A pair in
+one component needs no test, as its link changes nothing.  So no link between nodes that share a bucket
+is lost, no task gets more than tiles, and no pairs are written out.  Components come from alternating large-star and small-star
 rounds on tables in the shared folder.
 
 At similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^ROWS)^BANDS, 2e-5.
@@ -47,10 +47,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 M = BANDS * ROWS
-#: Members of a block when a bucket is compared by signature.
+#: Members of a block when a bucket is compared in blocks.
 BLOCK = 128
-#: Signatures that agree in fewer components can't be of texts at the threshold: six standard deviations below.
-LEAST = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 #: Nodes whose keys may be broadcast (about 60 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 500_000
 #: Distinct words whose hashes a Python worker remembers.
@@ -163,7 +161,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 # ---- Spark
 
-_FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def node_of(words: list[bytes]) -> bytes:
@@ -179,20 +177,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, n in enumerate(nodes):
                 if n is not None:
                     first.setdefault(n, k)
-            signs: dict[bytes, tuple[bytes, np.ndarray]] = {}
+            bands = {}
             if first:
-                s = signatures([shingles_of(words[k]) for k in first.values()])
-                small = (s >> _U(32)).astype(np.uint32)
-                signs = {n: (a.tobytes(), b) for n, a, b in zip(first, small, band_keys(s), strict=True)}
-            # of the rows of a node in this batch one carries its signature
+                bands = dict(zip(first, band_keys(signatures([shingles_of(words[k]) for k in first.values()])), strict=True))
+            # of the rows of a node in this batch one carries its bands
             carries = set(first.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("i").cast(pa.int64()),
                     batch.column("own").cast(pa.int64()),
                     pa.array(nodes, pa.binary()),
-                    pa.array([signs[n][0] if k in carries else None for k, n in enumerate(nodes)], pa.binary()),
-                    pa.array([signs[n][1] if k in carries else None for k, n in enumerate(nodes)], pa.list_(pa.int64())),
+                    pa.array([bands[n] if k in carries else None for k, n in enumerate(nodes)], pa.list_(pa.int64())),
                 ],
                 names=_FEATURES.names,
             )
@@ -262,37 +257,59 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")), at
 
 
-def _blocks_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components whose signatures agree enough; rows come sorted by (key, i, j)."""
-    held: list[tuple] = []
-    last = None
-
-    def pairs() -> pa.RecordBatch | None:
-        left = [r for r in held if r[0] == 0]
-        right = [r for r in held if r[0] == 1]
-        if not left or not right:
-            return None
-        x, y = (np.frombuffer(b"".join(r[3] for r in side), np.uint32).reshape(len(side), -1) for side in (left, right))
-        a, b = [], []
-        for k, row in enumerate(x):
-            agree = (y == row).sum(axis=1)
-            for j in np.flatnonzero(agree >= LEAST * x.shape[1]).tolist():
-                if left[k][2] != right[j][2]:
-                    a.append(max(left[k][1], right[j][1]))
-                    b.append(min(left[k][1], right[j][1]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "root", "signature")]
-        for key, i, j, *row in zip(*columns, strict=True):
-            if (key, i, j) != last:
-                if held and (found := pairs()) is not None:
-                    yield found
-                last = (key, i, j)
-                held.clear()
-            held.append(tuple(row))
-    if held and (found := pairs()) is not None:
-        yield found
+def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], width: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of each multiset of one list to each of another.
+
+    A shingle that occurs w times is w columns of a 0-1 matrix, so the sums of minima are a matrix
+    product, taken over `width` columns at a time.
+    """
+
+    def columns(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [int(s[1].sum()) for s in sets])
+        shingle = np.concatenate([np.repeat(s[0], s[1]) for s in sets])
+        level = np.concatenate([np.arange(n) for s in sets for n in s[1].tolist()] or [np.zeros(0, np.int64)]) if any((s[1] > 1).any() for s in sets) else np.zeros(len(row), np.int64)
+        with np.errstate(over="ignore"):
+            return row, shingle + mixed(level.astype(np.uint64)) * (level > 0)
+
+    (row_a, a), (row_b, b) = columns(left), columns(right)
+    shared = np.intersect1d(a, b)
+    total = np.zeros((len(left), len(right)))
+    for at in range(0, len(shared), width):
+        part = shared[at : at + width]
+        matrices = []
+        for row, x, n in ((row_a, a, len(left)), (row_b, b, len(right))):
+            place = np.searchsorted(part, x)
+            place[place == len(part)] = 0
+            hit = part[place] == x
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], place[hit]] = 1
+            matrices.append(m)
+        total += matrices[0] @ matrices[1].T
+    size_a, size_b = (np.array([s[1].sum() for s in side], float) for side in (left, right))
+    return total / np.maximum(size_a[:, None] + size_b[None, :] - total, 1)
+
+
+def _links_of_tile(held: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links of a tile that join components: a forest, so at most one for each member.  held: side, node, root, text."""
+    left = [r for r in held if r[0] == 0]
+    right = [r for r in held if r[0] == 1]
+    if not left or not right:
+        return []
+    x, y = ([shingles_of(words_of(r[3])) for r in side] for side in (left, right))
+    parent: dict[bytes, bytes] = {}
+
+    def top(k: bytes) -> bytes:
+        while parent.setdefault(k, k) != k:
+            k = parent[k] = parent[parent[k]]
+        return k
+
+    out = []
+    for k, j in zip(*(z.tolist() for z in np.nonzero(overlaps(x, y) >= threshold)), strict=True):
+        a, b = top(left[k][2]), top(right[j][2])
+        if a != b:
+            parent[a] = b
+            out.append((left[k][1], right[j][1]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -303,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("own"), text.alias("t"))
     features, features_at = cut(rows.select("i", "own", "t").mapInArrow(_features, _FEATURES), "near-features")
     corpus = _Corpus(rows, features)
-    signed = features.where("signature IS NOT NULL")
+    signed = features.where("bands IS NOT NULL")
     band_rows = signed.select("node", F.explode("bands").alias("key")).distinct()
     shared = band_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live, live_at = cut(band_rows.join(shared, "key"), "near-buckets")
@@ -321,20 +338,38 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     roots = roots.join(of_pivot, "pivot", "left").withColumn("apart", F.col("root") != F.coalesce("pivot_root", "pivot"))
     outside = roots.where("apart").groupBy("key").agg(F.count("*").alias("out"))
     still = roots.where("node <> pivot").join(outside, "key")
-    signature = signed.select("node", "signature").dropDuplicates(["node"])
+    still, still_at = cut(still.select("key", "n", "node", "root", "apart", "out"), "near-still")
+    texts, texts_at = cut(corpus.texts(still.select("node").distinct()), "near-texts")
     left_blocks, all_blocks = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("n") / BLOCK)
     block = lambda n: F.pmod(F.xxhash64("node"), n)
-    still = still.join(signature, "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = still.where("apart").withColumn("i", block(left_blocks)).withColumn("j", every(all_blocks)).withColumn("side", F.lit(0))
     right = still.withColumn("j", block(all_blocks)).withColumn("i", every(left_blocks)).withColumn("side", F.lit(1))
-    tiles = left.select("key", "i", "j", "side", "node", "root", "signature").union(right.select("key", "i", "j", "side", "node", "root", "signature"))
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more_pairs, more_at = cut(tiles.mapInArrow(_blocks_apart, _PAIR).distinct(), "near-pairs")
-    more, more_links_at = verified(more_pairs, corpus, threshold)
+    tiles = left.unionByName(right).join(texts, "node").select("key", "i", "j", "side", "node", "root", "t")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def found() -> pa.RecordBatch:
+            pairs = _links_of_tile(held, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "root")]
+            for key, i, j, *row in zip(*columns, texts_of(batch, "t"), strict=True):
+                if (key, i, j) != last:
+                    yield found()
+                    last = (key, i, j)
+                    held.clear()
+                held.append(tuple(row))
+        yield found()
+
+    more, more_at = cut(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, _PAIR), "near-links")
+    drop(spark, corpus.path, texts_at, still_at)
     whole = links.union(more).union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final, final_at = components(whole)
-    drop(spark, more_at, members_at, found_at, *links_at, *more_links_at)
+    drop(spark, more_at, members_at, found_at, *links_at)
 
     # a class is a component, or a node that is linked to none, or a row without words
     per_node = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
