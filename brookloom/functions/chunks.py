@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, OVERLAP = 512, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -50,7 +51,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def recursive_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_text(t) if t else [])
 

@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Punctuation that compat cleaning rewrites.
 SMART = {" ": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
@@ -22,6 +23,10 @@ MOJIBAKE = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\x9d":
 #: Fixed value: signs of mathematics, each counted once where it stands.
 MATH = r"(?U)\d+\s*[+\-*/=^]\s*\d+|\\frac|\\sqrt|\\sum|\\int|[=<>≤≥≠±√π∑∫]|\b\d+/\d+\b|\b\d+%|\bx\^?\d*\b"
 
+_IMAGE = T.StructType([T.StructField("field", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("base64", T.StringType())])
+_PLACED = T.StructType([T.StructField("text", T.StringType()), T.StructField("images", T.ArrayType(_IMAGE))])
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("segment", T.StringType())]))
+
 
 def strip_u(c: Column) -> Column:
     """Without Unicode white space at both ends."""
@@ -32,7 +37,7 @@ def squeeze(c: Column) -> Column:
     return strip_u(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
@@ -56,13 +61,13 @@ def _compat(text: str) -> str:
     return re.sub(r" {2,}", " ", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_compat(s: pd.Series) -> pd.Series:
     """The outcome of escape decoding as it happens: bytes beyond ASCII become Latin-1, control characters go."""
     return s.map(lambda x: "" if x is None else _compat(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_clean(s: pd.Series) -> pd.Series:
     """What the cleaning means: entities and smart punctuation in plain form, white space squeezed."""
 
@@ -75,7 +80,7 @@ def sanitize_clean(s: pd.Series) -> pd.Series:
     return s.map(clean)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_mojibake(s: pd.Series) -> pd.Series:
     def fix(x: str | None) -> str | None:
         for a, b in MOJIBAKE.items():
@@ -95,7 +100,7 @@ def plain_text(c: Column) -> Column:
     return squeeze(unescape(bare))
 
 
-@F.pandas_udf("text string, images array<struct<field string, index int, base64 string>>")
+@F.pandas_udf(_PLACED)
 def image_placeholders(field: pd.Series, text: pd.Series) -> pd.DataFrame:
     """Inline images replaced by '[<field> Image n]', and their data."""
 
@@ -128,13 +133,13 @@ def word_diff_of(old: str | None, new: str | None, context: int = 3) -> str:
     return " ".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Words that went and came between two texts, long equal runs shortened."""
     return pd.Series([word_diff_of(a, b) for a, b in zip(old, new, strict=True)])
 
 
-@F.pandas_udf("array<struct<tag string, segment string>>")
+@F.pandas_udf(_SEGMENTS)
 def char_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Character segments by tag, for marking."""
 
@@ -170,7 +175,7 @@ def first_json(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(s: pd.Series) -> pd.Series:
     return s.map(first_json)
 
@@ -185,6 +190,6 @@ def safe_name(c: Column, most: int = 160) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_"), "_+", "_"), 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_categories_c(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(ch for ch in x if unicodedata.category(ch)[0] != "C"))
