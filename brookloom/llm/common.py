@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shipping import ship
+
 #: Maps a UTF-8 byte to itself if it belongs to a word (0-9, a-z, bytes of non-ASCII
 #: characters), to lower case for A-Z, and to a space otherwise.
 WORD_TABLE = bytes(
@@ -35,23 +31,6 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_brookloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(p.relative_to(top.parent))), p.read_bytes())
-    name = f"brookloom_{hashlib.sha256(out.getvalue()).hexdigest()[:12]}.zip"
-    path = os.path.join(tempfile.mkdtemp(prefix="ship"), name)  # read by the driver's file server only
-    Path(path).write_bytes(out.getvalue())
-    context.addPyFile(path)
-    context._brookloom_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
