@@ -53,10 +53,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def cells_of(text: Column) -> Column:
     """For each character of a text the cell of it after the two before it."""
     folded = F.translate(F.lower(text), "123456789", "000000000")
-    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(F.lit(SIDE - 1)))
-    # two starts before the first character
-    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes)
-    return F.transform(F.sequence(F.lit(1), F.size(codes)), lambda i: (F.get(padded, i - 1) * SIDE + F.get(padded, i)) * SIDE + F.get(padded, i + 1))
+    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(SIDE - 1)))
+    # two starts before the first character; bound as the element of an array, so it is made once and not for each character
+    padded = F.array(F.concat(F.array(F.lit(0), F.lit(0)), codes))
+    return F.get(F.transform(padded, _cells), 0)
+
+
+def _cells(codes: Column) -> Column:
+    some = F.when(F.size(codes) > 2, F.sequence(F.lit(2), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(some, lambda i: (F.get(codes, i - 2) * SIDE + F.get(codes, i - 1)) * SIDE + F.get(codes, i))
 
 
 def markov_model(counts: DataFrame) -> DataFrame:
