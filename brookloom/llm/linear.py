@@ -14,7 +14,7 @@ class Rows:
 
     def __init__(self, counts: np.ndarray, columns: np.ndarray, values: np.ndarray | None, width: int) -> None:
         self.n, self.width = len(counts), width
-        self.row = np.repeat(np.arange(len(counts)), counts)
+        self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.columns = columns
         self.values = values
 

@@ -20,7 +20,8 @@ are scored one by one; an input column that has the name of an output column is
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from .common import add_columns, bounded, ship, texts_of, words_of
 from .linear import Rows, descend, sampled, sigmoid
 
-SAMPLE = 8000
+SAMPLE = 5000
 FOLDS = 3
 THRESHOLD = 0.5
 #: Times that a feature must be more frequent in toxic rows.
@@ -74,18 +75,24 @@ class ToxicityChain:
         self._scores: list[np.ndarray] = []
 
     @classmethod
-    def fit(cls, words: list[list[bytes]], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...] = CATEGORIES, rounds: int = 80, l2: float = 2e-4) -> ToxicityChain:
+    def fit(cls, words: Iterable[list[bytes]], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...] = CATEGORIES, rounds: int = 80, l2: float = 2e-4) -> ToxicityChain:
         """words: distinct words of each row; labels: a column for each category."""
         model = cls(categories)
-        if not words:
+        if not len(labels):
             return model
-        # only features of at least three positive rows, and far rarer in the others, speak for a category
         number: dict[bytes, int] = {}
-        columns = np.array([number.setdefault(w, len(number)) for own in words for w in own], np.int64)
-        own = [features_of(w) for w in number]
-        owner = np.repeat(np.arange(len(own)), [len(o) for o in own])
-        hashes = np.array([f for o in own for f in o], np.int64)
-        rows = Rows(np.array([len(w) for w in words]), columns, None, len(number))
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)) for own in words]
+        # only features of at least three positive rows, and far rarer in the others, speak for a category
+        distinct = list(number)
+        del number
+        parts = []
+        for at in range(0, len(distinct), 20_000):  # a part at a time: lists of features are large
+            own = [features_of(w) for w in distinct[at : at + 20_000]]
+            parts.append((np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int32)))
+        owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]))
+        hashes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int32)])
+        rows = Rows(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids), None, len(distinct))
+        del parts, ids
         toxic = labels.max(axis=1) > 0
         seen, others = (np.bincount(hashes, weights=rows.back(y.astype(float))[owner], minlength=WIDTH) for y in (toxic, ~toxic))
         odds = (seen / max(1, toxic.sum())) / ((others + 0.5) / max(1, (~toxic).sum()))
@@ -93,7 +100,7 @@ class ToxicityChain:
         place = np.full(WIDTH, -1)
         place[model.features] = np.arange(len(model.features))
         keep = place[hashes] >= 0
-        per_word = np.bincount(owner[keep], minlength=len(number))
+        per_word = np.bincount(owner[keep], minlength=len(distinct))
         of_word = Rows(per_word, place[hashes[keep]], None, len(model.features))
         width = len(model.features)
         # words without such a feature add nothing
@@ -119,7 +126,7 @@ class ToxicityChain:
             return sigmoid(rows.dot(of_word.dot(w[:width])) + before @ w[width:-1] + w[-1])
 
         model.weights = np.zeros((len(categories), width))
-        before = np.zeros((len(words), 0))
+        before = np.zeros((len(labels), 0))
         for c in range(len(categories)):
             y = labels[:, c].astype(float)
             w = train(y, before, np.ones(len(y)))
@@ -189,10 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("i").cast(pa.string()), batch.column("y").cast(pa.int32()), pa.array(out, pa.binary())], names=_SENT.names)
 
     got = sorted((r["i"], r["y"], bytes(r["words"])) for r in rows.select("i", "y", "t").mapInArrow(gather, _SENT).collect())
-    words = [g[2].split() for g in got]
-    y = np.array([categorise(set(w), g[1]) for w, g in zip(words, got, strict=True)]).reshape(len(got), len(categories))
+    y = np.array([categorise(set(g[2].split()), g[1]) for g in got]).reshape(len(got), len(categories))
     folds = np.array([zlib.crc32(g[0].encode(), 7) % FOLDS for g in got])
-    return ToxicityChain.fit(words, y, folds, categories)
+    return ToxicityChain.fit((g[2].split() for g in got), y, folds, categories)
 
 
 def score(df: DataFrame, model: ToxicityChain, *, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
