@@ -64,14 +64,22 @@ def unpack_rows(data: np.ndarray, n: int, width: int) -> np.ndarray:
     """The n numbers of each row of bytes."""
     rows = len(data)
     if not width or not n:
-        return np.zeros((rows, n), np.int64)
+        return np.zeros((rows, n), np.uint32)
     bits = np.zeros((rows * n, 32), np.uint8)
     bits[:, :width] = np.unpackbits(data, axis=1, count=n * width, bitorder="little").reshape(rows * n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(rows, n).astype(np.int64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(rows, n)
+
+
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.frexp(x.astype(np.float64))[1], 0).astype(np.int64)
+    """Bits that each number below 2^32 needs."""
+    x = x.astype(np.uint32)
+    if not x.size or x.max() < 1 << 16:
+        return _LENGTHS[x]
+    high = x >> np.uint32(16)
+    return np.where(high > 0, _LENGTHS[high] + np.uint8(16), _LENGTHS[x & np.uint32(0xFFFF)])
 
 
 #: Blocks that are packed or unpacked at once.
@@ -94,9 +102,9 @@ def _encode_rows(rows: np.ndarray, percentile: float) -> list[bytes]:
     count, n = rows.shape
     low = rows.min(axis=1)
     rest = rows - low[:, None]
-    need = _bit_length(rest)
+    need = _bit_length(rest)  # as bytes
     # the smallest width that holds the percentile of a block's ids
-    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * n)) - 1]
+    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * n)) - 1].astype(np.int64)
     packed: list[bytes] = [b""] * count
     for w in np.unique(width).tolist():
         which = np.flatnonzero(width == w)
@@ -104,7 +112,7 @@ def _encode_rows(rows: np.ndarray, percentile: float) -> list[bytes]:
             packed[k] = data.tobytes()
     over = need > width[:, None]
     exceptions = over.sum(axis=1)
-    high_width = np.where(exceptions > 0, need.max(axis=1) - width, 0)
+    high_width = np.where(exceptions > 0, need.max(axis=1).astype(np.int64) - width, 0)
     row, column = np.nonzero(over)
     high = rest[row, column] >> width[row]
     positions = column.astype("<u2").tobytes()
@@ -121,7 +129,7 @@ def decode_blocks(body: memoryview, starts: list[int], sizes: list[int]) -> np.n
     """The ids of some blocks: starts in body, and ids of each."""
     heads = [struct.unpack_from("<IBBH", body, at) for at in starts]
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    out = np.zeros(int(begins[-1]), np.int64)
+    out = np.zeros(int(begins[-1]), np.uint32)
     alike: dict[tuple[int, int], list[int]] = {}
     for k, (head, n) in enumerate(zip(heads, sizes, strict=True)):
         alike.setdefault((n, head[1]), []).append(k)
@@ -135,8 +143,8 @@ def decode_blocks(body: memoryview, starts: list[int], sizes: list[int]) -> np.n
             at = starts[k] + 8 + (n * width + 7) // 8
             where = np.frombuffer(body, "<u2", e, at)
             high = np.frombuffer(body, np.uint8, (e * high_width + 7) // 8, at + 2 * e)
-            own[where] |= unpack_rows(high.reshape(1, -1), e, high_width)[0] << width
-        own += low
+            own[where] |= unpack_rows(high.reshape(1, -1), e, high_width)[0] << np.uint32(width)
+        own += np.uint32(low)
     return out
 
 
@@ -171,7 +179,7 @@ class TokenFile:
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         end = self.n if end is None else end
         if start >= end:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
         sizes = [min(self.block, self.n - k * self.block) for k in range(first, last + 1)]
         return decode_blocks(self.body, self.starts[first : last + 1].tolist(), sizes)[start - first * self.block : end - first * self.block]
@@ -180,7 +188,7 @@ class TokenFile:
         """(id, first id's place in this file, ids) of each document, decoding a stretch of blocks at a time."""
         ends = np.cumsum(self.lengths)
         step = 1024 * self.block
-        at, held = 0, np.zeros(0, np.int64)
+        at, held = 0, np.zeros(0, np.uint32)
         base = 0
         for i, n, end in zip(self.doc_ids, self.lengths.tolist(), ends.tolist(), strict=True):
             while base + len(held) < end:
@@ -228,8 +236,8 @@ class _Ids:
 
 
 _SPECIAL = b"<|endoftext|>"
-#: A stop or comma after a letter is a piece of its own, as it is for the tokenizer.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: A stop or comma after a Latin letter is a piece of its own, as it is for the tokenizer.
+_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
 
 
 def cut_text(text: bytes) -> list[bytes]:
@@ -377,7 +385,7 @@ def digest_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                rows = [(i, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, at, ids in TokenFile(content.as_py()).documents()]
+                rows = [(i, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())) for i, at, ids in TokenFile(content.as_py()).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))], names=_DIGEST.names)
 
     found = read_files(spark, folder).mapInArrow(read, _DIGEST)
