@@ -237,7 +237,7 @@ class _Ids:
 
 _SPECIAL = b"<|endoftext|>"
 #: A stop or comma after a Latin letter is a piece of its own, as it is for the tokenizer.
-_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 
 
 def cut_text(text: bytes) -> list[bytes]:
@@ -248,7 +248,7 @@ def cut_text(text: bytes) -> list[bytes]:
     """
     if b"<|" in text:
         return [text]
-    return _STOP.sub(rb" \1", text.lower()).split()  # of bytes: A-Z and ASCII white space only
+    return _STOP.sub(rb" \g<0>", text.lower()).split()  # of bytes: A-Z and ASCII white space only
 
 
 def _encode_pieces(library, pieces: list[bytes], ends_word: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
