@@ -86,7 +86,21 @@ QUERIES = {
     "op10_entropy_mix": op10_entropy_mix,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    # windows as strings: words hold no space, so joined words are equal just when the words are
+    "op1_decontaminate": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+        windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM items, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE n > 0),
+        places AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS t(i)),
+        met AS (SELECT r, i, n, item FROM places JOIN windows USING (n, win)),
+        hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM met, unnest(range(i, i + n)) AS t(p) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
