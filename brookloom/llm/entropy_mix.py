@@ -8,12 +8,15 @@ by damped Newton iterations.  Gradient and Hessian of each iteration are sums ov
 distributed aggregation over the table of distinct constraint patterns; only the multipliers (one for
 each constraint) are held by the driver.
 
-Rates are then rounded into whole copies.  Rows are dealt by (source, chunk), where a source has as many
-chunks as its rows need, so a source with a third of all rows is spread like any other.  In a chunk,
-from the largest document to the smallest, each takes the whole part of its rate and one more when the
-words owed so far make up half of it.  What stays owed is less than about the smallest documents, so
-each source's words come near its target.  No rate is above `cap`, so no document exceeds `cap` copies.
-Order and hashes depend on the rows alone: reruns agree.
+Rates are then rounded into whole copies: from the largest document to the smallest, each takes the whole
+part of its rate and one more when the words owed so far make up half of it.  Documents too long for a
+chunk's other rows to absorb (above 1/SHARE of what a chunk has, on average, of no longer documents) are
+rounded for their whole source, over the table of (source, size) with a count each; the words they leave
+owed go to the rate by which the source's other rows are rounded.  Those are dealt by (source, chunk), where
+a source has as many chunks as its rows need, so a source with a third of all rows is spread like any
+other.  What stays owed in a chunk is less than about its smallest documents, so each source's words
+come near its target.  No rate is above `cap`, so no document exceeds `cap` copies.  Order and hashes
+depend on the rows alone: reruns agree.
 
 Targets: sources in code-point order, null last, weigh WEIGHTS, repeating; they share all words; a target
 stops at `cap` times its source's words and the excess is shared again by weight until none is above.
@@ -39,6 +42,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Rows of a chunk, on average.
 CHUNK = 250
+#: A document above this part of a chunk's words is rounded with its source, not in a chunk.
+SHARE = 8
 #: Constraints that the driver holds multipliers of.
 MAX_CONSTRAINTS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +127,8 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     inner = [f"_in{k}" for k in range(len(kept))]
     size = words_in(F.col(f"`{text_col}`").cast("string")) if size_col is None else F.col(f"`{size_col}`").cast("long")
     named = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)), F.col(f"`{source_col}`").cast("string").alias("_source"), F.xxhash64(F.col(f"`{id_col}`")).alias("_hash"), size.alias("size"))
-    stats, stats_at = cut(named.groupBy("_source").agg(F.sum("size").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
+    sizes, sizes_at = cut(named.groupBy("_source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    stats, stats_at = cut(sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("rows")).alias("tokens"), F.sum("rows").alias("rows")), "mix-sources")
     found = stats.limit(MAX_CONSTRAINTS + 1).collect()
     if len(found) > MAX_CONSTRAINTS:
         raise ValueError(f"over {MAX_CONSTRAINTS} sources: group them first")
@@ -134,32 +140,92 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     rate = {s: min(cap, float(np.exp(v))) for s, v in zip(live, multipliers.tolist(), strict=True)}
     drop(spark, stats_at)
     rows = [(r["_source"], r["tokens"], target[r["_source"]], rate.get(r["_source"], 0.0), -(-r["rows"] // chunk)) for r in found]
-    table = F.broadcast(spark.createDataFrame(rows, "s string, source_size long, target double, rate double, chunks long"))  # MAX_CONSTRAINTS rows at most
-    dealt = named.join(table, F.col("_source").eqNullSafe(F.col("s"))).withColumn("_chunk", F.pmod("_hash", "chunks")).drop("s", "chunks")
-    # a chunk's hash of its own, so that chunks of a source spread evenly
-    dealt = dealt.repartition("_source", "_chunk").sortWithinPartitions(F.col("_source").asc_nulls_last(), "_chunk", F.desc("size"), "_hash", *(c for c in inner if _sortable(dealt.schema[c].dataType)))
+    known = "s string, source_size long, target double, rate double, chunks long"
+    long_, long_at = cut(_long_sizes(sizes.join(F.broadcast(spark.createDataFrame(rows, known)), F.col("_source").eqNullSafe(F.col("s")))), "mix-long")  # MAX_CONSTRAINTS rows at most
+    drop(spark, sizes_at)
+    # of each source: the words of its long documents, what they leave owed, and from which size on they are long
+    settled = {r["_source"]: r for r in long_.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum(F.col("part") * F.col("size") * F.col("n") - F.col("size") * F.col("more")).alias("owed"), F.min("size").alias("least")).collect()}
+
+    def rest(source: str | None, tokens: int, rate: float) -> tuple[int | None, float]:
+        part, at = rate - int(rate), settled.get(source)
+        if at is None or tokens <= at["tokens"]:
+            return at and at["least"], part
+        return at["least"], min(1.0, max(0.0, part + at["owed"] / (tokens - at["tokens"])))
+
+    rows = [(*r, *rest(r[0], r[1], r[3])) for r in rows]
+    table = F.broadcast(spark.createDataFrame(rows, f"{known}, least long, part double"))  # MAX_CONSTRAINTS rows at most
+    is_long = F.coalesce(F.col("size") >= F.col("least"), F.lit(False))
+    # chunks below 0 hold the long documents, all of one size together; more is how many of that size take one more
+    own = lambda key: -1 - F.pmod(F.xxhash64(key), F.col("chunks"))
+    dealt = named.join(table, F.col("_source").eqNullSafe(F.col("s"))).withColumn("_chunk", F.when(is_long, own("size")).otherwise(F.pmod("_hash", "chunks"))).withColumn("_more", F.lit(None).cast("long"))
+    quotas = long_.select("_source", "size", F.col("chunk").alias("_chunk"), F.col("more").alias("_more"))
+    dealt = dealt.drop("s", "chunks", "least").unionByName(quotas, allowMissingColumns=True)
+    # a chunk's hash of its own, so that chunks of a source spread evenly; a size's quota comes before its documents
+    dealt = dealt.repartition("_source", "_chunk").sortWithinPartitions(F.col("_source").asc_nulls_last(), "_chunk", F.desc("size"), F.desc_nulls_last("_more"), "_hash", *(c for c in inner if _sortable(dealt.schema[c].dataType)))
     fields = [*(dealt.schema[i] for i in inner), *(dealt.schema[c] for c in ("size", "source_size", "target", "rate")), T.StructField("copies", T.LongType()), T.StructField("taken", T.LongType())]
     names = [f.name for f in fields]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, owed = object(), 0.0
+        key, owed, more = object(), 0.0, 0
         for b in batches:
-            copies, taken = [], []
-            for source, part, n, rate in zip(*(b.column(c).to_pylist() for c in ("_source", "_chunk", "size", "rate")), strict=True):
-                if (source, part) != key:
-                    key, owed = (source, part), 0.0
+            copies, taken, real = [], [], []
+            for source, chunk_, n, rate, part, quota in zip(*(b.column(c).to_pylist() for c in ("_source", "_chunk", "size", "rate", "part", "_more")), strict=True):
+                real.append(quota is None)
+                if quota is not None:
+                    more = quota
+                    continue
+                if (source, chunk_) != key:
+                    key, owed = (source, chunk_), 0.0
                 k = int(rate)
-                owed += (rate - k) * n
-                if n and owed >= n / 2 and k < cap:
-                    k, owed = k + 1, owed - n
+                if chunk_ < 0:
+                    if more > 0:
+                        k, more = k + 1, more - 1
+                else:
+                    owed += part * n
+                    if n and owed >= n / 2 and k < cap:
+                        k, owed = k + 1, owed - n
                 copies.append(k)
                 taken.append(k * n)
+            if not all(real):
+                b = b.filter(pa.array(real))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), pa.array(copies, pa.int64()), pa.array(taken, pa.int64())], names=names)
 
-    out = dealt.select(*inner, "size", "source_size", "target", "rate", "_source", "_chunk").mapInArrow(deal, T.StructType(fields))
+    out = dealt.select(*inner, "size", "source_size", "target", "rate", "_source", "_chunk", "part", "_more").mapInArrow(deal, T.StructType(fields))
     return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *new)
 
 
+def _long_sizes(sizes: DataFrame) -> DataFrame:
+    """The sizes that are rounded with their source: n rows of each, the part of the rate that is rounded, how many rows take one more, and their chunk.
+
+    sizes: _source, size, rows, source_size, rate, chunks.  A task holds one row at a time.
+    """
+    columns = ["_source", "size", "rows", "source_size", "rate", "chunks"]
+    schema = T.StructType([sizes.schema["_source"], *(T.StructField(c, T.DoubleType() if c == "part" else T.LongType()) for c in ("size", "n", "part", "more", "chunks"))])
+    share = SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, owed, open_ = object(), 0, 0.0, True
+        for b in batches:
+            found = []
+            for source, n, rows, tokens, rate, chunks in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                if source != key:
+                    key, left, owed, open_ = source, tokens, 0.0, True
+                open_ = open_ and bool(n) and n * chunks * share > left
+                if not open_:
+                    continue
+                part = rate - int(rate)
+                owed += part * rows * n
+                more = min(rows, max(0, int(owed / n + 0.5)))
+                owed -= more * n
+                left -= rows * n
+                found.append((source, n, rows, part, more, chunks))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if f.name == "part" else pa.string() if k == 0 else pa.int64()) for k, (f, v) in enumerate(zip(schema, zip(*found, strict=True), strict=True))], names=schema.names)
+
+    ordered = sizes.select(columns).repartition("_source").sortWithinPartitions(F.col("_source").asc_nulls_last(), F.desc("size"))
+    return ordered.mapInArrow(run, schema).withColumn("chunk", -1 - F.pmod(F.xxhash64("size"), "chunks")).drop("chunks")
+
+
 def _sortable(kind: T.DataType) -> bool:
     return isinstance(kind, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
 

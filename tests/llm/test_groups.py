@@ -168,6 +168,22 @@ def test_mix(spark):
     assert len(copies) == sum(r["copies"] for r in got) and set(copies[0]) == {"doc_id", "text", "source", "size"}
 
 
+@pytest.mark.parametrize("rate", [0.4, 0.49, 0.55])
+def test_mix_of_few_long_documents(spark, rate):
+    """Long documents that hold most words are rounded for the whole source, and the short ones take what they leave owed."""
+    rng = random.Random(2)
+    sizes = [1_000_000] * 20 + [rng.randint(50, 550) for _ in range(19_980)]
+    other = int(sum(sizes) * 0.9)
+    rows = [(k, "a", n) for k, n in enumerate(sizes)] + [(20_000 + k, "b", other // 3000) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    tokens = sum(sizes)
+    got = rows_of(entropy_mix.mix(df, size_col="n", weights=(rate * tokens, other // 3000 * 3000 + (1 - rate) * tokens)))
+    own = [r for r in got if r["source"] == "a"]
+    assert len(got) == len(rows) and own[0]["rate"] == pytest.approx(rate)
+    assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.001)
+    assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] in (0, 1) for r in own)
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 255, 256, 257, 5000):
