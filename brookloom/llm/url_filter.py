@@ -2,14 +2,15 @@
 
 Rules allow or block a host with its subdomains and a path prefix; the longest rule that fits decides.
 The URLs so accepted and rejected train two variable-order Markov models over characters (contexts of 0
-to 2 characters, interpolated with Witten-Bell weights, so an unseen context falls back to a shorter
+to ORDER characters, interpolated with Witten-Bell weights, so an unseen context falls back to a shorter
 one).  All other URLs are judged by the difference of the two log-likelihoods, divided by the number of
 characters, against a threshold calibrated on held-out rule-labelled URLs: the point between the two class means at
 equal distance in standard deviations.
 
-Everything is DataFrame and SQL functions.  Characters are folded to an alphabet of ALPHABET + 2 symbols,
-so a model has at most 44^3 = 85,184 cells at any size of the table: it is one array, given to the scan as
-a scalar subquery, and scoring needs no shuffle.  Training counts are summed before they are shuffled.
+Models see the whole URL, query and fragment too; only scheme and host are put in lower case.  Everything
+is DataFrame and SQL functions.  A model is a table of n-grams that grows with the labelled URLs; of each
+distinct n-gram of the other URLs the log ratio is found once, by joins, and URLs are joined to these.
+Log ratios are added as whole numbers, so sums don't depend on the order of rows.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and fits no rule; it has
 no character to judge and is blocked; without any accepted or any rejected URL the rest is allowed;
@@ -21,13 +22,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Verdict, host and path of each rule of the query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Symbols by their place from 1; digits are one symbol, 0; any other character is the symbol after the last.
+#: The array model of cells_of and markov_model, which judge doesn't use.  Symbols by their place from 1; digits are one symbol, 0; any other character is the symbol after the last.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_%?=&#:~+@,;"
 SIDE = len(ALPHABET) + 2  # with the start, 0, and other characters
 CELLS = SIDE**3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of the longest context.
+ORDER = 5
+#: Stands before the first character.
+START = "\x01"
+#: Units of a log ratio of 1.
+UNITS = 1 << 32
 #: One rule-labelled URL in HOLD is kept for the threshold.
 HOLD = 5
 
@@ -39,6 +48,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def whole_url(url: Column) -> Column:
+    """The URL with scheme and host in lower case; empty for null or without "://"."""
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
+    scheme = F.translate(F.substring_index(url, "://", 1), _UPPER, _LOWER)
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_and_path(url)[0], F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1))), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits (the earlier one of two alike) and its verdict; null where none does."""
     rule = verdict = None
@@ -88,28 +104,77 @@ def markov_model(counts: DataFrame) -> DataFrame:
     return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda s: s["v"]).alias("model"))
 
 
+def grams_of(text: Column, order: int = ORDER) -> Column:
+    """For each character of a text the `order` characters before it and itself."""
+    # bound as the element of an array, so it is split once and not for each character
+    bound = F.array(F.filter(F.split(F.concat(F.lit(START * order), text), ""), lambda c: c != ""))
+
+    def each(chars: Column) -> Column:
+        n = F.size(chars) - order
+        return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(chars, i, order + 1), ""))
+
+    return F.get(F.transform(bound, each), 0)
+
+
+def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """labelled: _text and _by_rule.  gram (context and next character, of all lengths), yes and no (how often in accepted and rejected URLs)."""
+    longest = (
+        labelled.select("_by_rule", F.explode(grams_of(F.col("_text"), order)).alias("gram")).groupBy("gram")
+        .agg(F.count_if(F.col("_by_rule") == "allow").alias("yes"), F.count_if(F.col("_by_rule") == "block").alias("no"))
+    )
+    ends = F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.right(F.col("gram"), k))
+    return longest.select(F.explode(ends).alias("gram"), "yes", "no").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def gram_ratios(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram and v, the log ratio of its last character after the others, for each distinct gram of `order` + 1 characters."""
+    spark = counts.sparkSession
+    contexts = counts.groupBy(F.substring("gram", F.lit(1), F.length("gram") - 1).alias("ctx")).agg(*(f(k).alias(f"{k}_{n}") for k in ("yes", "no") for f, n in ((F.sum, "n"), (lambda x: F.count_if(F.col(x) > 0), "t"))))
+    # one more than the characters met
+    side = spark.range(1).select((counts.where(F.length("gram") == 1).agg(F.count("*")).scalar() + 1).cast("double").alias("side"))
+    levels = grams.distinct().select("gram", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("k")).select("gram", "k", F.right("gram", F.col("k")).alias("end"))
+    levels = levels.withColumn("ctx", F.substring("end", F.lit(1), F.col("k") - 1))
+    met = levels.join(counts.withColumnRenamed("gram", "end"), "end", "left").join(contexts, "ctx", "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("yes", "no", "yes_n", "no_n", "yes_t", "no_t")]
+    folded = met.select("gram", F.struct("k", *numbers).alias("level")).groupBy("gram").agg(F.array_sort(F.collect_list("level")).alias("levels")).crossJoin(F.broadcast(side))  # one row
+
+    def log_of(c: str) -> Column:
+        weight = lambda l: F.greatest(l[f"{c}_t"], F.lit(1.0))
+        return F.log(F.aggregate("levels", 1.0 / F.col("side"), lambda p, l: (l[c] + weight(l) * p) / (l[f"{c}_n"] + weight(l))))
+
+    return folded.select("gram", (log_of("yes") - log_of("no")).alias("v"))
+
+
 def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule, log_ratio (mean of a character; null by rule) and verdict."""
     out = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "log_ratio", "verdict")]
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    parsed = pages.withColumns({"_host": host, "_path": path})
+    parsed = pages.withColumns({"_host": host, "_path": path, "_text": whole_url(F.col(f"`{url_col}`").cast("string"))})
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    parsed = parsed.withColumns({"_rule": rule, "_by_rule": verdict, "_cells": cells_of(F.concat("_host", "_path"))})
-
-    labelled = parsed.where(F.col("_rule").isNotNull()).select("_host", "_path", "_by_rule", "_cells", F.pmod(F.xxhash64("_host", "_path"), F.lit(HOLD)).alias("_fold"))
-    counts = (
-        labelled.where("_fold <> 0").select("_by_rule", F.explode("_cells").alias("cell")).groupBy("cell")
-        .agg(F.count_if(F.col("_by_rule") == "allow").alias("yes"), F.count_if(F.col("_by_rule") == "block").alias("no"))
-    )
-    model = markov_model(counts).scalar()
-    ratio = F.aggregate("_cells", F.lit(0.0), lambda a, c: a + F.get(F.col("_model"), c.cast("int"))) / F.nullif(F.size("_cells"), F.lit(0))
-    held = labelled.where("_fold = 0").withColumn("_model", model).select("_by_rule", ratio.alias("r"))
+    parsed = parsed.withColumns({"_rule": rule, "_by_rule": verdict})
+    open_ = parsed.where(F.col("_rule").isNull())
+
+    labelled = parsed.where(F.col("_rule").isNotNull()).select("_text", "_by_rule", F.pmod(F.xxhash64("_text"), F.lit(HOLD)).alias("_fold"))
+    counts, _ = cut(gram_counts(labelled.where("_fold <> 0")), "url-counts")
+    # each URL once; a row of the held-out ones for each time they were met
+    texts = open_.select("_text").union(labelled.where("_fold = 0").select("_text")).where("_text <> ''").distinct()
+    places = texts.select(F.unhex(F.md5("_text")).alias("_key"), F.explode(grams_of(F.col("_text"))).alias("gram"))
+    ratios = gram_ratios(places.select("gram"), counts).select("gram", F.round(F.col("v") * UNITS).cast("long").alias("v"))
+    scores, _ = cut(places.join(ratios, "gram").groupBy("_key").agg((F.sum("v") / F.count("*") / UNITS).alias("_ratio")), "url-scores")
+
+    key = F.unhex(F.md5("_text")).alias("_key")
+    held = labelled.where("_fold = 0").select("_by_rule", key).join(scores, "_key").select("_by_rule", F.col("_ratio").alias("r"))
     yes, no = (F.when(F.col("_by_rule") == k, F.col("r")) for k in ("allow", "block"))
     sd_yes, sd_no = F.stddev_pop(yes) + 1e-6, F.stddev_pop(no) + 1e-6
-    threshold = held.agg(((F.avg(yes) * sd_no + F.avg(no) * sd_yes) / (sd_yes + sd_no)).alias("t")).scalar()
-    scored = parsed.withColumn("_model", model).withColumn("_ratio", F.when(F.col("_rule").isNull(), ratio))
+    threshold = held.agg(F.round((F.avg(yes) * sd_no + F.avg(no) * sd_yes) / (sd_yes + sd_no), 9).alias("t")).scalar()
     by_model = F.when(F.col("_ratio").isNull(), "block").when(F.col("_ratio") >= F.coalesce(threshold, F.lit(float("-inf"))), "allow").otherwise("block")
-    return scored.select(
-        *(F.col(f"`{c}`") for c in out), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
-        F.col("_ratio").alias("log_ratio"), F.coalesce("_by_rule", by_model).alias("verdict"),
-    )
+    judged = open_.withColumn("_key", F.unhex(F.md5("_text"))).join(scores, "_key", "left").withColumn("_verdict", by_model)
+    ruled = parsed.where(F.col("_rule").isNotNull()).withColumns({"_ratio": F.lit(None).cast("double"), "_verdict": F.col("_by_rule")})
+
+    def columns(df: DataFrame) -> DataFrame:
+        return df.select(
+            *(F.col(f"`{c}`") for c in out), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+            F.col("_ratio").alias("log_ratio"), F.col("_verdict").alias("verdict"),
+        )
+
+    return columns(ruled).union(columns(judged))

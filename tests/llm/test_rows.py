@@ -215,6 +215,46 @@ def test_url_model_is_brute_force(spark):
         assert model[(a * side + b) * side + c] == pytest.approx(p(a, b, c) - q(a, b, c), abs=1e-9)
 
 
+def test_url_grams_are_brute_force(spark):
+    """Log ratios from tables of n-grams equal a plain Witten-Bell interpolation over orders 0 to 5."""
+    import math
+    from collections import Counter
+
+    yes, no, order = ["http://a.org/x?id=Aé1", "http://a.org/x?id=Aé2"], ["http://a.org/x?id=B91", "http://b.com/#B"], url_filter.ORDER
+    df = spark.createDataFrame([("allow", t) for t in yes] + [("block", t) for t in no], "_by_rule string, _text string")
+    asked = ["http://a.org/x?id=Aé9", "ftp://Q"]
+    grams = [("\x01" * order + t)[i : i + order + 1] for t in asked for i in range(len(t))]
+    counts = url_filter.gram_counts(df)
+    got = {r["gram"]: r["v"] for r in rows_of(url_filter.gram_ratios(spark.createDataFrame([(g,) for g in grams], "gram string"), counts))}
+    side = len(set("".join(yes + no))) + 1
+
+    def log(texts, gram):
+        seen = Counter(("\x01" * order + t)[order + i - k : order + i + 1] for t in texts for i in range(len(t)) for k in range(order + 1))
+        p = 1 / side
+        for k in range(order + 1):
+            end = gram[len(gram) - k - 1 :]
+            after = [n for g, n in seen.items() if len(g) == k + 1 and g[:-1] == end[:-1]]
+            w = max(1, len(after))
+            p = (seen[end] + w * p) / (sum(after) + w)
+        return math.log(p)
+
+    assert set(got) == set(grams)
+    for g in grams:
+        assert got[g] == pytest.approx(log(yes, g) - log(no, g), abs=1e-9)
+
+
+def test_urls_are_judged_by_query_and_digits(spark):
+    """URLs that differ only in their query, or in a digit or the case of a letter, can get other verdicts."""
+    rules = [("allow", "good.org", "/"), ("block", "bad.org", "/")]
+    rows = [f"http://good.org/p{k}?mode=alpha1&n=Z" for k in range(60)] + [f"http://bad.org/p{k}?mode=delta2&n=z" for k in range(60)]
+    asked = ["http://c.net/p?mode=alpha1&n=Z", "http://c.net/p?mode=delta2&n=z", "http://c.net/p1?n=Z", "http://c.net/p1?n=z"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows + asked)], "page_id long, url string")
+    got = {r["url"]: r for r in rows_of(url_filter.judge(df, rules=rules))}
+    assert len(got) == len(rows) + len(asked)
+    assert [got[u]["verdict"] for u in asked[:2]] == ["allow", "block"]
+    assert got[asked[2]]["log_ratio"] > got[asked[3]]["log_ratio"]
+
+
 def test_all_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
 
