@@ -77,6 +77,36 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
     return out.where("query_id >= 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def label_nearest(df: DataFrame, id_col: str, label: str, embedding: str, *, digits: int = 6, block: int = 2048) -> DataFrame:
+    """a, b, id and sim: of each vector of label a the largest cosine to the vectors of label b, for all a <= b.
+
+    Blocks of about `block` vectors of a label meet as matrix products, all against all, so the work is square
+    in the rows of the labels.
+    """
+    sizes = df.groupBy(label).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    placed = df.join(sizes, label).withColumn("_block", F.pmod(F.xxhash64(id_col), "_blocks"))
+    packed = placed.groupBy(label, "_block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(embedding).alias("x"))).alias("rows"))
+    left, right = packed.select(F.col(label).alias("a"), F.col("rows").alias("left")), packed.select(F.col(label).alias("b"), F.col("rows").alias("right"))
+    kind = packed.schema[label].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("id", T.LongType()), T.StructField("sim", T.DoubleType())])
+
+    def matrix(rows: list) -> np.ndarray:
+        x = np.array([r["x"] for r in rows], np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, p, q = (batch.column(c)[k].as_py() for c in ("a", "b", "left", "right"))
+                sims = np.round(matrix(p) @ matrix(q).T, digits).max(axis=1)
+                columns = [[a] * len(p), [b] * len(p), [r["id"] for r in p], sims]
+                names = batch.schema
+                yield pa.RecordBatch.from_arrays([pa.array(v, names.field(t).type if t else s) for v, t, s in zip(columns, ("a", "b", "", ""), (None, None, pa.int64(), pa.float64()), strict=True)], names=schema.names)
+
+    pairs = left.join(right, F.col("a") <= F.col("b"))
+    return pairs.mapInArrow(run, schema).groupBy("a", "b", "id").agg(F.max("sim").alias("sim"))
+
+
 def fused(ranked: DataFrame, weight: float = 1.0, c: int = 60) -> DataFrame:
     """Reciprocal-rank fusion: id and score, summed over all lists it stands in."""
     return ranked.groupBy("query_id", "vec_id").agg(F.sum(F.lit(weight) / (c + F.col("rank"))).alias("score"))

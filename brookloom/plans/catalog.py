@@ -466,7 +466,7 @@ def q_knn_max(spark, d):
 @query(f"""WITH m AS (SELECT a.label AS a, b.label AS b, avg({_COS}) AS v FROM embeddings a JOIN embeddings b ON a.vec_id // 50 = b.vec_id // 50 GROUP BY 1, 2)
 SELECT m.a, m.b, round(m.v, 4) AS mean_cosine, round(CASE WHEN m.a = m.b THEN 0.0 ELSE (s.v - m.v) / s.v * 100 END, 2) AS relative_drift_pct FROM m JOIN m s ON s.a = m.a AND s.b = m.a WHERE m.a <= m.b""")
 def q_drift_pairs(spark, d):
-    """Mean cosine of labels within blocks of 50 row ids, and the drift of each pair against its first label."""
+    """Mean cosine of labels within blocks of 50 row ids only, and the drift of each pair against its first label; q_drift_nearest covers whole labels."""
     rows = table(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 50))
     left = rows.select("block", F.col("label").alias("a"), F.col("embedding").alias("x"))
     pairs = left.join(rows.select("block", F.col("label").alias("b"), F.col("embedding").alias("y")), "block")
@@ -476,6 +476,16 @@ def q_drift_pairs(spark, d):
     return means.where("a <= b").join(own, "a").select("a", "b", F.round("v", 4).alias("mean_cosine"), F.round(drift, 2).alias("relative_drift_pct"))
 
 
+@query(f"""WITH n AS (SELECT a.vec_id, a.label AS a, b.label AS b, max(round({_COS}, 6)) AS sim FROM embeddings a JOIN embeddings b ON a.label <= b.label GROUP BY 1, 2, 3), m AS (SELECT a, b, avg(sim) AS v FROM n GROUP BY 1, 2)
+SELECT m.a, m.b, round(m.v, 4) AS mean_cosine, round(CASE WHEN m.a = m.b THEN 0.0 ELSE (s.v - m.v) / s.v * 100 END, 2) AS relative_drift_pct FROM m JOIN m s ON s.a = m.a AND s.b = m.a""")
+def q_drift_nearest(spark, d):
+    """Mean cosine of each vector of a label to its nearest among all of another, and the drift of each pair against its first label."""
+    means = vectors.label_nearest(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "vec_id", "label", "embedding").groupBy("a", "b").agg(F.avg("sim").alias("v"))
+    own = means.where("a = b").select("a", F.col("v").alias("s"))
+    drift = F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("s") - F.col("v")) / F.col("s") * 100)
+    return means.join(own, "a").select("a", "b", F.round("v", 4).alias("mean_cosine"), F.round(drift, 2).alias("relative_drift_pct"))
+
+
 @query("SELECT vec_id, 32 AS cut, round(list_sum(embedding[1:32]::DOUBLE[]), 4) AS cut_sum, 80 AS padded, round(list_sum(embedding::DOUBLE[]), 4) AS padded_sum FROM embeddings")
 def q_align_truncate_pad(spark, d):
     total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), 4)

@@ -139,3 +139,15 @@ def test_ingest(spark, tmp_path):
         ingest.ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "b"]
     assert sorted(values(ingest.numbered_batches(spark.range(7).repartition(3), "id", 3, 5))) == [(i, 5 + i // 3) for i in range(7)]
+
+
+def test_drift_covers_whole_labels(spark, tmp_path):
+    """The nearest vectors stand far apart by id."""
+    from brookloom.plans.catalog import QUERIES
+
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 1, [-1.0, 0.0]), (900, 1, [1.0, 0.0]), (901, 1, [0.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["a"], r["b"]): (r["mean_cosine"], r["relative_drift_pct"]) for r in QUERIES["q_drift_nearest"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (1.0, 0.0), (1, 1): (1.0, 0.0), (0, 1): (1.0, 0.0)}
+    small = vectors.label_nearest(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "label", "embedding", block=1)
+    assert {(r["a"], r["b"], r["id"]): r["sim"] for r in small.collect()} == {(0, 0, 0): 1.0, (0, 0, 1): 1.0, (0, 1, 0): 1.0, (0, 1, 1): 1.0, (1, 1, 2): 1.0, (1, 1, 900): 1.0, (1, 1, 901): 1.0}
