@@ -381,7 +381,8 @@ def q_strip_html(spark, d):
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\r|\\n|\\t', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM conversations WHERE text NOT LIKE '%&%'")
 def q_sanitize_text(spark, d):
-    return table(spark, d, "conversations").where(~F.contains("text", F.lit("&"))).select("conv_id", "turn", X.sanitize(F.col("text")).alias("text"))
+    """All texts, empty for null; the SQL leaves out those with an '&' and null, for it can't decode entities."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(X.sanitize(F.col("text")), F.lit("")).alias("text"))
 
 
 @query()

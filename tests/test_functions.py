@@ -151,3 +151,14 @@ def test_drift_covers_whole_labels(spark, tmp_path):
     assert got == {(0, 0): (1.0, 0.0), (1, 1): (1.0, 0.0), (0, 1): (1.0, 0.0)}
     small = vectors.label_nearest(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "label", "embedding", block=1)
     assert {(r["a"], r["b"], r["id"]): r["sim"] for r in small.collect()} == {(0, 0, 0): 1.0, (0, 0, 1): 1.0, (0, 1, 0): 1.0, (0, 1, 1): 1.0, (1, 1, 2): 1.0, (1, 1, 900): 1.0, (1, 1, 901): 1.0}
+
+
+def test_sanitize_covers_texts_with_entities(spark, tmp_path):
+    import html
+
+    from brookloom.plans.catalog import QUERIES
+
+    texts = ["a &lt; b", "R&D", "&amp;amp; &eacute;&#39;", "x&nbsp;&nbsp;y\\n z", "plain", None]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["text"] for r in QUERIES["q_sanitize_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(html.unescape(t or "").replace("\\n", " ").split()) for k, t in enumerate(texts)}
