@@ -53,8 +53,9 @@ def diffs(df: DataFrame, thread: str, idx: str, texts: list[str], scores: list[s
     return out.withColumns(added).drop(*(f"prev_{c}" for c in [*texts, *scores]))
 
 
-def wide(df: DataFrame, thread: str, idx: str, fields: list[str], most: int) -> DataFrame:
-    """One row for each thread with msg_<i>_<field> of its first `most` messages, for tables at the edge."""
+def wide(df: DataFrame, thread: str, idx: str, fields: list[str], least: int = 1) -> DataFrame:
+    """One row for each thread with msg_<i>_<field> of its messages, for tables at the edge: as many as the longest thread has, `least` at least."""
+    most = max(least, (df.agg(F.max(idx)).first()[0] or 0) + 1)
     own = {f"msg_{i}_{f}": F.max(F.when(F.col(idx) == i, F.col(f))) for i in range(most) for f in fields}
     return df.groupBy(thread).agg(*(v.alias(k) for k, v in own.items()))
 

@@ -241,6 +241,7 @@ def q_thread_document(spark, d):
 
 @query(sqlfmt("WITH {users} SELECT conv_id, " + ", ".join(f"max(CASE WHEN idx = {i} THEN text END) AS msg_{i}_text" for i in range(4)) + " FROM users GROUP BY 1"))
 def q_wide_flatten(spark, d):
+    """All messages of the longest thread; the SQL has the columns of the first four."""
     return conv.wide(conv.numbered(turns(spark, d, "user").select("conv_id", "turn", "text"), "conv_id", [F.col("turn")]), "conv_id", "idx", ["text"], 4)
 
 

@@ -162,3 +162,13 @@ def test_sanitize_covers_texts_with_entities(spark, tmp_path):
     spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["turn"]: r["text"] for r in QUERIES["q_sanitize_text"](spark, str(tmp_path)).collect()}
     assert got == {k: " ".join(html.unescape(t or "").replace("\\n", " ").split()) for k, t in enumerate(texts)}
+
+
+def test_wide_has_every_message(spark, tmp_path):
+    from brookloom.plans.catalog import QUERIES
+
+    rows = [(1, 2 * k, "user", f"m{k}") for k in range(7)] + [(1, 1, "assistant", "reply"), (2, 0, "user", "only")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r.asDict() for r in QUERIES["q_wide_flatten"](spark, str(tmp_path)).collect()}
+    assert got[1] == {"conv_id": 1} | {f"msg_{k}_text": f"m{k}" for k in range(7)}
+    assert got[2] == {"conv_id": 2} | {f"msg_{k}_text": None if k else "only" for k in range(7)}
