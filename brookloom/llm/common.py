@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,7 +28,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
-    column = batch.column(batch.schema.get_field_index(name))
+    return as_bytes(batch.column(batch.schema.get_field_index(name)))
+
+
+def as_bytes(column: pa.Array) -> list[bytes | None]:
+    """A string array as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
@@ -86,7 +91,7 @@ def add_columns(
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     sent = kept + [c for c in reads if c not in kept]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
-    types = [_arrow_type(f.dataType) for f in fields]
+    types = [arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -115,7 +120,45 @@ def bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at, step)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
+def state_udf(compute: Callable[[Iterator[list[pa.Array]]], Iterator], kind: T.DataType, *columns: Column) -> Column:
+    """A column computed batch by batch in Python from some others; the rest of a row stays in the JVM.
+
+    compute gets an iterator of slices (a list of arrays, one for each column) in the order of the rows of
+    a partition and yields the new values of each, so it may carry state from one to the next.  The
+    column is never moved across filters by the optimizer.
+    """
+    arrow = arrow_type(kind)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        parts: list[int] = []
+
+        def slices() -> Iterator[list[pa.Array]]:
+            for arrays in batches:
+                if isinstance(arrays, pa.Array):
+                    arrays = (arrays,)
+                batch = pa.RecordBatch.from_arrays(list(arrays), names=[str(k) for k in range(len(arrays))])
+                own = list(bounded(batch, 4 << 20)) or [batch]
+                parts.append(len(own))
+                for part in own:
+                    yield part.columns
+
+        found: list[pa.Array] = []
+        for values in compute(slices()):
+            found.append(values if isinstance(values, pa.Array) else pa.array(values, type=arrow))
+            if parts and len(found) == parts[0]:
+                yield pa.concat_arrays(found)
+                parts.pop(0)
+                found = []
+
+    from pyspark.sql.functions import ArrowUDFType
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # of hints that one column and several would need in two forms
+        udf = F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
+    return udf.asNondeterministic()(*columns)
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Classes whose sizes are broadcast; beyond, the join shuffles.
+MAX_BROADCAST = 100_000
+
+
 class Rows:
     """A sparse matrix by rows."""
 
@@ -61,17 +65,20 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def sampled(df: DataFrame, class_col: str, id_col: str, most: int) -> DataFrame:
+def sampled(df: DataFrame, class_col: str, id_col: str, most: int, sizes: dict | None = None) -> DataFrame:
     """About `most` rows of each class, chosen by a hash of the id; all rows of smaller classes.
 
     The chance of a row is `most` over the rows of its class, so the sample stays so large at any size
-    of the table, and a run again takes the same rows.
+    of the table, and a run again takes the same rows.  Classes meet their sizes (`sizes`, if they are
+    few and known) in a join; the driver holds none of them.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(class_col).count().where(F.col(class_col).isNotNull()).collect()}
-    if not sizes:
-        return df.where(F.lit(False))
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(20)), F.lit(1 << 40)) / float(1 << 40)
-    chance = F.lit(0.0)
-    for name, n in sizes.items():
-        chance = F.when(F.col(class_col) == F.lit(name), F.lit(min(1.0, most / n))).otherwise(chance)
-    return df.where(F.col(class_col).isNotNull() & (at < chance))
+    if sizes is not None:
+        chance = F.lit(0.0)
+        for name, n in sizes.items():
+            chance = F.when(F.col(class_col) == F.lit(name), F.lit(min(1.0, most / n))).otherwise(chance)
+        return df.where(F.col(class_col).isNotNull() & (at < chance))
+    counted = df.where(F.col(class_col).isNotNull()).groupBy(F.col(class_col).alias("_class")).agg(F.count("*").alias("_n"))
+    if counted.count() <= MAX_BROADCAST:  # decides the kind of join only
+        counted = F.broadcast(counted)
+    return df.join(counted, F.col(class_col) == F.col("_class")).where(at < F.lit(float(most)) / F.col("_n")).drop("_class", "_n")

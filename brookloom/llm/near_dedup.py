@@ -1,39 +1,42 @@
 """Operator 6, near-dedup with BagMinHash signatures.
 
 A text is the multiset of its shingles of SHINGLE consecutive words (a text of fewer words, but not
-none, is one shingle).  Each shingle owns a Poisson process over (weight, time).  Weights are discretised
-into dyadic intervals [0,1), [1,2), [2,4), ...: the process of an interval is independent of the others
-and has a rate in proportion to its length, so a shingle that occurs w times is read from about log2(w)
-processes; points of the last interval beyond w are left out.  Every point belongs to one of M signature
-components; a component is the earliest point of the text.  Two texts agree in a component with a chance
-equal to their weighted Jaccard similarity.  Points come in order of time from a hash of the shingle, so
-those after the time by which all components are filled are never made; a text with an unfilled
-component is done again with a longer time.
+none, is one shingle).  Each shingle owns a Poisson process over (weight, time), kept as a hierarchy of
+weight intervals: the root is split into dyadic intervals [0,1), [1,2), [2,4), ..., whose processes are
+independent with rates in proportion to their lengths, and an interval is split into its halves, a point
+going to one of them by the next bit of its place.  A shingle that occurs w times owns the points below
+w; the walk down to w is one comparison of a point's place with w, so about log2(w) processes are read.
+Every point belongs to one of M signature components; a component is the earliest point of the text.  Two
+texts agree in a component with a chance equal to their weighted Jaccard similarity.  Points come in order
+of time from a hash of the shingle, so those after the time by which all components are filled are never
+made; a text with an unfilled component is done again with a longer time.
 
 Signatures are banded (BANDS x ROWS).  Texts that share a bucket are candidates; every link is
 verified on the exact multisets: sum of minima over sum of maxima at least THRESHOLD.
 
 Texts of one word sequence are one node, so copies are never paired.  Buckets are never paired out
 either: the member that shares the most buckets (in a group of near copies the one that the others
-are edits of) is the bucket's pivot, and each member is verified against it.  Where a bucket then still
-holds several components, its members outside the pivot's component are compared with all members, exactly
-and in tiles of about BLOCK x BLOCK by matrix products; a tile returns a forest of its links.  A pair in
-one component needs no test, as its link changes nothing.  So no link between nodes that share a bucket
-is lost, no task gets more than tiles, and no pairs are written out.  Components come from alternating large-star and small-star
-rounds on tables in the shared folder.
+are edits of) is the bucket's pivot, and each member is verified against it.  The members of a pivot are
+cut into parts of about PART, and a part gets the pivot's text once.  Where a bucket then still holds
+several components, its members outside the pivot's component are compared with all members whose size
+allows the similarity, exactly and in tiles of about BLOCK x BLOCK by matrix products; a tile returns a
+forest of its links.  A pair in one component needs no test, as its link changes nothing.  So no link
+between nodes that share a bucket is lost, no task gets more than tiles, and no pairs are written out.
+Components come from alternating large-star and small-star rounds on tables in the shared folder, where
+the few nodes of many links (at most HOT of them) are joined by broadcast, so the hub of a star is not one task.
 
 At similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^ROWS)^BANDS, 2e-5.
 
-Defined cases: null texts and texts without a word are near nothing and are classes of their own;
-repeated rows are copies of each other; null ids are kept and count as larger than all others when the
-class id (the smallest id of the class) is chosen; an empty table gives an empty result.
+Defined cases: null texts and texts without a word are near nothing and are classes of their own; texts
+of any length are read whole; repeated rows are copies of each other; null ids are kept and count as larger
+than all others when the class id (the smallest id of the class) is chosen; an empty table gives an empty
+result; extra columns, of whatever name, are kept by `deduplicate` and make no difference elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, cut, drop, ship, texts_of, words_of
+from .common import WORD_TABLE, as_bytes, bounded, cut, drop, ship, state_udf, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -51,28 +54,14 @@ M = BANDS * ROWS
 BLOCK = 128
 #: Nodes whose keys may be broadcast (about 60 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 500_000
-#: Distinct words whose hashes a Python worker remembers.
-CACHE = 500_000
+#: Members of a pivot that are verified by one task at a time, and at most so many hot keys are broadcast.
+PART, HOT = 256, 1000
 _U = np.uint64
 
 
 # ---- shingles and signatures
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= CACHE:
-            older = dict(islice(self.items(), CACHE // 2))
-            self.clear()
-            self.update(older)
-        self[word] = value
-        return value
-
-
-_words = _WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -81,17 +70,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles_of(words: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending, and how often each occurs."""
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            total = mixed(total * _U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(total, return_counts=True)
+#: A random number for each byte, and the multiplier of the places in a word; odd, so it has an inverse.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_STEP = 0xD1342543DE82EF95
+_BACK = pow(_STEP, -1, 1 << 64)
+_SPACE = 0x20
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, n of each; those of up to 4 million places are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for step in (_STEP, _BACK):
+        p = np.full(n, step, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= 4 << 20:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and how many words each text has."""
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(WORD_TABLE), np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    blank = data == _SPACE
+    starts = np.flatnonzero(~blank & np.insert(blank[:-1], 0, True)) if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1 if len(data) else starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    power, back = _powers_to(len(data))
+    # a polynomial of a word's bytes, from running sums; the power of its place is taken out
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power, out=run[1:])
+    h = mixed((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return h, np.diff(np.searchsorted(starts, begins))
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its distinct shingle hashes, ascending, and how often each occurs."""
+    h, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    multiplier = _U(0x9E3779B97F4A7C15)
+    whole = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for k in range(n):
+        whole = mixed(whole * multiplier + h[k : k + len(whole)])
+    out = []
+    for end, size in zip(ends.tolist(), counts.tolist(), strict=True):
+        if size >= n:
+            out.append(np.unique(whole[end - size : end - n + 1], return_counts=True))
+        elif size:
+            total = np.full(1, size, np.uint64)
+            for x in h[end - size : end]:
+                total = mixed(total * multiplier + x)
+            out.append((total, np.ones(1, np.int64)))
+        else:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -133,6 +170,10 @@ def _fill(out: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], rows: np.n
             k += 1
             with np.errstate(over="ignore"):
                 x = mixed(state + _U(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            # most points come too late, which a comparison of the random numbers shows; the exact test follows
+            near = (x >> _U(11)) >= (np.exp((t - end) * (length * m)) * 2.0**53 * (1 - 1e-9)).astype(np.uint64)
+            if not near.all():
+                r, t, end, w, state, x = r[near], t[near], end[near], w[near], state[near], x[near]
             t = t - np.log(((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / (length * m)
             live = t <= end
             if not live.all():
@@ -161,33 +202,38 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 # ---- Spark
 
-_FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
-def node_of(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def node_of(text: bytes | None) -> bytes | None:
+    """A hash of a text's words; null without any."""
+    words = text.translate(WORD_TABLE).split() if text else None
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in bounded(whole, 2 << 20):
-            words = [words_of(t) for t in texts_of(batch, "t")]
-            nodes = [node_of(w) if w else None for w in words]
+        for batch in bounded(whole, 1 << 20):
+            texts = texts_of(batch, "t")
+            nodes = [node_of(t) for t in texts]
             first: dict[bytes, int] = {}
             for k, n in enumerate(nodes):
                 if n is not None:
                     first.setdefault(n, k)
-            bands = {}
-            if first:
-                bands = dict(zip(first, band_keys(signatures([shingles_of(words[k]) for k in first.values()])), strict=True))
             # of the rows of a node in this batch one carries its bands
-            carries = set(first.values())
+            bands: list[list[int] | None] = [None] * len(texts)
+            sizes: list[int | None] = [None] * len(texts)
+            if first:
+                sets = shingle_sets([texts[k] for k in first.values()])
+                for k, own, keys in zip(first.values(), sets, band_keys(signatures(sets)), strict=True):
+                    bands[k], sizes[k] = keys, int(own[1].sum())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("i").cast(pa.int64()),
                     batch.column("own").cast(pa.int64()),
                     pa.array(nodes, pa.binary()),
-                    pa.array([bands[n] if k in carries else None for k, n in enumerate(nodes)], pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=_FEATURES.names,
             )
@@ -213,26 +259,48 @@ class _Corpus:
 _PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
+def hot_above(total: int, least: int = 64) -> int:
+    """Rows that make a key hot where there are `total`: at most HOT keys have more, so they may be broadcast."""
+    return max(least, total // HOT)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """many (`total` rows at most) joined to one (a row for each key, with its rows in many as n); rows of hot keys don't travel."""
+    most = hot_above(total)
+    if total <= most:  # no key can be hot
+        return many.join(one.drop(n), key)
+    hot = F.broadcast(one.where(F.col(n) > most).withColumn("_hot", F.lit(True)).drop(n))  # HOT rows at most
+    names = [c for c in one.columns if c not in (key, n)]
+    met = many.join(hot, key, "left")
+    cold = met.where("_hot IS NULL").drop("_hot", *names).join(one.where(F.col(n) <= most).drop(n), key)
+    return met.where("_hot").drop("_hot").unionByName(cold)
+
+
 def verified(pairs: DataFrame, corpus: _Corpus, threshold: float) -> tuple[DataFrame, list[str]]:
-    """The pairs (a, b) of nodes at the threshold; paths to drop when they have been used."""
+    """The pairs (a, pivot b) of nodes at the threshold; paths to drop when they have been used."""
+    spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts, texts_at = cut(corpus.texts(nodes), "near-texts")
-    drop(pairs.sparkSession, corpus.path)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    drop(spark, corpus.path)
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > hot_above(pairs.count(), PART)))  # HOT rows at most
+    placed = pairs.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / PART), F.lit(1))))
+    members = placed.join(texts, F.col("a") == F.col("node")).select("b", "part", F.lit(1).alias("side"), "a", "t")
+    pivots = placed.select("b", "part").distinct().join(texts, F.col("b") == F.col("node")).select("b", "part", F.lit(0).alias("side"), F.col("b").alias("a"), "t")
+    rows = members.unionByName(pivots).repartition("b", "part").sortWithinPartitions("b", "part", "side")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held = None
         for whole in batches:
-            for batch in bounded(whole):
+            for batch in bounded(whole, 2 << 20):
                 keep = []
-                for b, ta, tb in zip(batch.column("b").to_pylist(), texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True):
-                    if b != last:  # rows of a pivot stand together
-                        last, held = b, shingles_of(words_of(tb))
-                    keep.append(similarity(shingles_of(words_of(ta)), held) >= threshold)
+                for side, own in zip(batch.column("side").to_pylist(), shingle_sets([t or b"" for t in texts_of(batch, "t")]), strict=True):
+                    if side == 0:  # the pivot of the rows that follow
+                        held = own
+                    keep.append(side == 1 and similarity(own, held) >= threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links, links_at = cut(both.select("a", "b", "ta", "tb").mapInArrow(check, _PAIR), "near-links")
-    drop(pairs.sparkSession, texts_at)
+    links, links_at = cut(rows.mapInArrow(check, _PAIR), "near-links")
+    drop(spark, texts_at)
     return links, [links_at]
 
 
@@ -240,17 +308,17 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     """node and root (the smallest node of its component) of all nodes of the links a-b; and the table's path."""
     spark = links.sparkSession
     edges, at = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both, low, "a", "n", 2 * rows).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = spread_join(large, low, "a", "n", rows).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         new, new_at = cut(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "near-edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(spark, at)
-        edges, at = new, new_at
+        edges, at, rows = new, new_at, now[0]
         if now == before:
             break
         before = now
@@ -295,7 +363,7 @@ def _links_of_tile(held: list[tuple], threshold: float) -> list[tuple[bytes, byt
     right = [r for r in held if r[0] == 1]
     if not left or not right:
         return []
-    x, y = ([shingles_of(words_of(r[3])) for r in side] for side in (left, right))
+    x, y = (shingle_sets([r[3] for r in side]) for side in (left, right))
     parent: dict[bytes, bytes] = {}
 
     def top(k: bytes) -> bytes:
@@ -321,7 +389,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     features, features_at = cut(rows.select("i", "own", "t").mapInArrow(_features, _FEATURES), "near-features")
     corpus = _Corpus(rows, features)
     signed = features.where("bands IS NOT NULL")
-    band_rows = signed.select("node", F.explode("bands").alias("key")).distinct()
+    band_rows = signed.select("node", "size", F.explode("bands").alias("key")).distinct()
     shared = band_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live, live_at = cut(band_rows.join(shared, "key"), "near-buckets")
     degree = live.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -333,19 +401,29 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     drop(spark, pairs_at, live_at)
 
     # buckets that still hold several components: compare who is outside the pivot's with all
-    roots = members.where("n > 2").join(found, "node", "left").select("key", "n", "node", "pivot", F.coalesce("root", "node").alias("root"))
+    roots = members.where("n > 2").join(found, "node", "left").select("key", "node", "size", "pivot", F.coalesce("root", "node").alias("root"))
     of_pivot = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     roots = roots.join(of_pivot, "pivot", "left").withColumn("apart", F.col("root") != F.coalesce("pivot_root", "pivot"))
-    outside = roots.where("apart").groupBy("key").agg(F.count("*").alias("out"))
-    still = roots.where("node <> pivot").join(outside, "key")
-    still, still_at = cut(still.select("key", "n", "node", "root", "apart", "out"), "near-still")
+    # similar members have sizes in one class or in neighbouring ones: classes are a factor of the threshold wide
+    roots = roots.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -float(np.log(threshold)) + 1e-9))
+    out = F.count_if("apart").alias("out")
+    per_bucket = roots.groupBy("key").agg(out).where("out > 0").select("key")
+    still, still_at = cut(roots.where("node <> pivot").join(per_bucket, "key").select("key", "class", "node", "root", "apart"), "near-still")
+    sizes, sizes_at = cut(still.groupBy("key", "class").agg(F.count("*").alias("n"), out), "near-classes")
     texts, texts_at = cut(corpus.texts(still.select("node").distinct()), "near-texts")
-    left_blocks, all_blocks = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("n") / BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = still.where("apart").withColumn("i", block(left_blocks)).withColumn("j", every(all_blocks)).withColumn("side", F.lit(0))
-    right = still.withColumn("j", block(all_blocks)).withColumn("i", every(left_blocks)).withColumn("side", F.lit(1))
-    tiles = left.unionByName(right).join(texts, "node").select("key", "i", "j", "side", "node", "root", "t")
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    # a tile: block i of the outsiders of one class, block j of the members of the same or a neighbouring class
+    other = sizes.select("key", F.col("class").alias("other"), F.col("n").alias("n_other"))
+    kinds = sizes.where("out > 0").select("key", "class", "out", near("class").alias("other")).join(other, ["key", "other"])
+    left = still.where("apart").join(kinds, ["key", "class"]).withColumn("i", block(blocks("out"))).withColumn("j", every(blocks("n_other"))).withColumn("side", F.lit(0))
+    as_other = still.select("key", F.col("class").alias("other"), "node", "root")
+    right = as_other.join(kinds, ["key", "other"]).withColumn("j", block(blocks("n_other"))).withColumn("i", every(blocks("out"))).withColumn("side", F.lit(1))
+    tile = ["key", "class", "other", "i", "j"]
+    cells = left.select(*tile, "side", "node", "root").unionByName(right.select(*tile, "side", "node", "root"))
+    tiles = cells.join(texts, "node").select(*tile, "side", "node", "root", "t")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -356,28 +434,28 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
             return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "root")]
-            for key, i, j, *row in zip(*columns, texts_of(batch, "t"), strict=True):
-                if (key, i, j) != last:
+            columns = [batch.column(c).to_pylist() for c in (*tile, "side", "node", "root")]
+            for *place, side, node, root, text in zip(*columns, texts_of(batch, "t"), strict=True):
+                if place != last:
                     yield found()
-                    last = (key, i, j)
+                    last = place
                     held.clear()
-                held.append(tuple(row))
+                held.append((side, node, root, text))
         yield found()
 
-    more, more_at = cut(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, _PAIR), "near-links")
-    drop(spark, corpus.path, texts_at, still_at)
+    more, more_at = cut(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, _PAIR), "near-links")
+    drop(spark, corpus.path, texts_at, still_at, sizes_at)
     whole = links.union(more).union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final, final_at = components(whole)
     drop(spark, more_at, members_at, found_at, *links_at)
 
     # a class is a component, or a node that is linked to none, or a row without words
     per_node = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
-    per_node = per_node.join(final, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"))
-    per_root = per_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("first"), F.sum("rows").alias("class_size"))
-    classes = per_node.join(per_root, "root").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("keep_node"), "class_size")
+    per_node, per_node_at = cut(per_node.join(final, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root")), "near-nodes")
+    per_root = per_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("first"), F.sum("rows").alias("class_size"), F.count("*").alias("n"))
+    classes = spread_join(per_node, per_root, "root", "n", per_node.count()).select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("keep_node"), "class_size")
     classes, classes_at = cut(classes, "near-classes")
-    drop(spark, final_at)
+    drop(spark, final_at, per_node_at)
     out = features.select("id", "node").join(classes, "node", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -399,13 +477,11 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     own = dict(zip(columns, inner, strict=True))
     renamed = docs.toDF(*inner)
 
-    def nodes(batches):
-        for batch in batches:
-            yield [[node_of(w) if (w := words_of(t)) else None for t in texts_of(batch, own[text_col])]]
-
-    from .common import add_columns
+    def nodes(slices):
+        for (texts,) in slices:
+            yield pa.array([node_of(t) for t in as_bytes(texts)], pa.binary())
 
-    with_node = add_columns(renamed, [T.StructField("_own_node", T.BinaryType())], nodes, [own[text_col]])
+    with_node = renamed.withColumn("_own_node", state_udf(nodes, T.BinaryType(), F.col(own[text_col]).cast("string")))
     matched = with_node.where("_own_node IS NOT NULL").join(keep, (F.col("_own_node") == F.col("_node")) & F.col(own[id_col]).eqNullSafe(F.col("_keep")))
     # rows that repeat an id and a word sequence are one document
     matched = matched.dropDuplicates(["_own_node"]).select(*inner)

@@ -19,11 +19,14 @@ name first.  A list of files (partition, number, ids before it) is kept beside t
 each file, not for each document.
 
 Defined cases: null and empty texts give the end id only; null ids come first; rows of one id come in
-the order of their texts; repeated rows are all written; an empty table writes no file.
+the order of a hash of their texts, then of their texts; repeated rows are all written; a text of any
+length is encoded whole, and stands in one file; an empty table writes no file; only the id and the text
+column are read, so other columns, of whatever name, make no difference.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,7 +34,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +42,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, drop, scratch, ship, texts_of
+from .common import bounded, cut, drop, scratch, ship, texts_of
 from .exact_dedup import file_system
 
 MAGIC = b"PFOR0001"
 BLOCK = 256
 PERCENTILE = 0.9
 FILE_TOKENS = 2_000_000
-#: Distinct pieces of text whose ids a Python worker remembers; beyond, it keeps the older half.
-CACHE = 800_000
+#: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps the half that was met most.
+CACHE = 400_000
 
 
 # ---- blocks
@@ -56,8 +59,20 @@ CACHE = 800_000
 def pack_rows(values: np.ndarray, width: int) -> np.ndarray:
     """Each row of values in width bits a number, as a row of bytes."""
     rows, n = values.shape
-    bits = np.unpackbits(values.astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, count=width, bitorder="little") if width else np.zeros((rows * n, 0), np.uint8)
-    return np.packbits(bits.reshape(rows, n * width), axis=1, bitorder="little")
+    length = (n * width + 7) // 8
+    if not length:
+        return np.zeros((rows, 0), np.uint8)
+    groups = -(-n // 8)  # eight numbers fill `width` bytes
+    eights = np.zeros((rows, groups * 8), np.uint64)
+    eights[:, :n] = values
+    eights = eights.reshape(rows * groups, 8)
+    out = np.zeros((rows * groups, width), np.uint8)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        shifted = eights[:, j] << np.uint64(shift)
+        for k in range(-(-(width + shift) // 8)):
+            out[:, first + k] |= (shifted >> np.uint64(8 * k)).astype(np.uint8)
+    return out.reshape(rows, groups * width)[:, :length]
 
 
 def unpack_rows(data: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -65,9 +80,44 @@ def unpack_rows(data: np.ndarray, n: int, width: int) -> np.ndarray:
     rows = len(data)
     if not width or not n:
         return np.zeros((rows, n), np.uint32)
-    bits = np.zeros((rows * n, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(data, axis=1, count=n * width, bitorder="little").reshape(rows * n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(rows, n)
+    groups = -(-n // 8)
+    whole = data if data.shape[1] == groups * width else np.pad(data, ((0, 0), (0, groups * width - data.shape[1])))
+    whole = np.ascontiguousarray(whole).reshape(rows * groups, width)
+    kind = np.uint32 if width <= 25 else np.uint64
+    out = np.empty((rows * groups, 8), np.uint32)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        value = np.zeros(rows * groups, kind)
+        for k in range(-(-(width + shift) // 8)):
+            value |= whole[:, first + k].astype(kind) << kind(8 * k)
+        out[:, j] = (value >> kind(shift)) & kind((1 << width) - 1)
+    return out.reshape(rows, groups * 8)[:, :n]
+
+
+def pack_ragged(values: np.ndarray, width: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of their own widths at their own first bits, in `size` bytes; no two share a bit."""
+    out = np.zeros(size, np.uint8)
+    if not len(values):
+        return out
+    shifted = values.astype(np.uint64) << (start & 7).astype(np.uint64)
+    first, most = start >> 3, -(-int((width + (start & 7)).max()) // 8)
+    total = np.zeros(size + most, np.int64)
+    for k in range(most):
+        # bits are apart, so a sum of bytes is their union
+        total += np.bincount(first + k, weights=(shifted >> np.uint64(8 * k)).astype(np.uint8), minlength=size + most).astype(np.int64)
+    return total[:size].astype(np.uint8)
+
+
+def unpack_ragged(data: np.ndarray, width: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The numbers that pack_ragged put at some bits."""
+    if not len(width):
+        return np.zeros(0, np.uint32)
+    first, shift = start >> 3, (start & 7).astype(np.uint64)
+    value = np.zeros(len(width), np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    for k in range(-(-int((width + (start & 7)).max()) // 8)):
+        value |= padded[first + k].astype(np.uint64) << np.uint64(8 * k)
+    return ((value >> shift) & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))).astype(np.uint32)
 
 
 _LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -75,89 +125,106 @@ _LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
     """Bits that each number below 2^32 needs."""
-    x = x.astype(np.uint32)
+    x = x.astype(np.uint32, copy=False)
     if not x.size or x.max() < 1 << 16:
         return _LENGTHS[x]
     high = x >> np.uint32(16)
     return np.where(high > 0, _LENGTHS[high] + np.uint8(16), _LENGTHS[x & np.uint32(0xFFFF)])
 
 
-#: Blocks that are packed or unpacked at once.
+#: Blocks that are packed at once.
 _AT_ONCE = 4096
+#: The head of a block.
+_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("high", "u1"), ("n", "<u2")])
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[list[bytes], np.ndarray]:
-    """The blocks of some ids, and their offsets."""
+    """The blocks of some ids, in stretches, and the offset of each block; the last offset is the end."""
     full = len(ids) // block
-    out = []
-    for at in range(0, full, _AT_ONCE):
-        out += _encode_rows(ids[at * block : min(full, at + _AT_ONCE) * block].reshape(-1, block), percentile)
+    out, offsets = [], [np.zeros(1, np.int64)]
+    stretches = [ids[at * block : min(full, at + _AT_ONCE) * block].reshape(-1, block) for at in range(0, full, _AT_ONCE)]
     if full * block < len(ids):
-        out += _encode_rows(ids[full * block :].reshape(1, -1), percentile)
-    return out, np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
+        stretches.append(ids[full * block :].reshape(1, -1))
+    for rows in stretches:
+        data, ends = _encode_rows(rows, percentile)
+        out.append(data)
+        offsets.append(offsets[-1][-1] + ends)
+    return out, np.concatenate(offsets)
 
 
-def _encode_rows(rows: np.ndarray, percentile: float) -> list[bytes]:
-    rows = rows.astype(np.int64)
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch of `size` numbers."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _encode_rows(rows: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray]:
+    """The blocks of some rows of ids, and where each ends."""
+    rows = rows.astype(np.uint32, copy=False)
     count, n = rows.shape
     low = rows.min(axis=1)
     rest = rows - low[:, None]
     need = _bit_length(rest)  # as bytes
     # the smallest width that holds the percentile of a block's ids
-    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * n)) - 1].astype(np.int64)
-    packed: list[bytes] = [b""] * count
-    for w in np.unique(width).tolist():
-        which = np.flatnonzero(width == w)
-        for k, data in zip(which.tolist(), pack_rows(rest[which] & ((1 << w) - 1), w), strict=True):
-            packed[k] = data.tobytes()
+    at = int(np.ceil(percentile * n)) - 1
+    width = np.partition(need, at, axis=1)[:, at].astype(np.int64)
     over = need > width[:, None]
     exceptions = over.sum(axis=1)
     high_width = np.where(exceptions > 0, need.max(axis=1).astype(np.int64) - width, 0)
+    packed, tail = (n * width + 7) // 8, (exceptions * high_width + 7) // 8
+    sizes = _HEAD.itemsize + packed + 2 * exceptions + tail
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    out = np.zeros(int(ends[-1]), np.uint8)
+    head = np.zeros(count, _HEAD)
+    head["low"], head["width"], head["high"], head["n"] = low, width, high_width, exceptions
+    out[starts[:, None] + np.arange(_HEAD.itemsize)] = head.view(np.uint8).reshape(count, _HEAD.itemsize)
+    for w in np.unique(width).tolist():
+        which = np.flatnonzero(width == w)
+        data = pack_rows(rest[which] & np.uint32((1 << w) - 1), w)
+        out[(starts[which] + _HEAD.itemsize)[:, None] + np.arange(data.shape[1])] = data
     row, column = np.nonzero(over)
-    high = rest[row, column] >> width[row]
-    positions = column.astype("<u2").tobytes()
-    ends = np.cumsum(exceptions)
-    out = []
-    for k in range(count):
-        e, h, end = int(exceptions[k]), int(high_width[k]), int(ends[k])
-        tail = positions[2 * (end - e) : 2 * end] + pack_rows(high[end - e : end].reshape(1, -1), h).tobytes() if e else b""
-        out.append(struct.pack("<IBBH", int(low[k]), int(width[k]), h, e) + packed[k] + tail)
-    return out
-
-
-def decode_blocks(body: memoryview, starts: list[int], sizes: list[int]) -> np.ndarray:
-    """The ids of some blocks: starts in body, and ids of each."""
-    heads = [struct.unpack_from("<IBBH", body, at) for at in starts]
+    places = starts + _HEAD.itemsize + packed
+    out[_ragged(places, 2 * exceptions)] = column.astype("<u2").view(np.uint8)
+    own = high_width[row]
+    number = np.arange(len(row)) - (np.cumsum(exceptions) - exceptions)[row]  # within its block
+    tails = np.cumsum(tail) - tail
+    high = pack_ragged(rest[row, column] >> width[row].astype(np.uint32), own, 8 * tails[row] + number * own, int(tail.sum()))
+    out[_ragged(places + 2 * exceptions, tail)] = high
+    return out.tobytes(), ends
+
+
+def decode_blocks(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of some blocks: where they start in body (bytes), and ids of each."""
+    heads = body[starts[:, None] + np.arange(_HEAD.itemsize)].reshape(-1).view(_HEAD)
     begins = np.concatenate(([0], np.cumsum(sizes)))
     out = np.zeros(int(begins[-1]), np.uint32)
-    alike: dict[tuple[int, int], list[int]] = {}
-    for k, (head, n) in enumerate(zip(heads, sizes, strict=True)):
-        alike.setdefault((n, head[1]), []).append(k)
-    for (n, width), which in alike.items():
-        length = (n * width + 7) // 8
-        data = np.frombuffer(b"".join([body[starts[k] + 8 : starts[k] + 8 + length] for k in which]), np.uint8).reshape(len(which), length)
-        out[(begins[which][:, None] + np.arange(n)).ravel()] = unpack_rows(data, n, width).ravel()
-    for k, ((low, width, high_width, e), n) in enumerate(zip(heads, sizes, strict=True)):
-        own = out[begins[k] : begins[k + 1]]
-        if e:
-            at = starts[k] + 8 + (n * width + 7) // 8
-            where = np.frombuffer(body, "<u2", e, at)
-            high = np.frombuffer(body, np.uint8, (e * high_width + 7) // 8, at + 2 * e)
-            own[where] |= unpack_rows(high.reshape(1, -1), e, high_width)[0] << np.uint32(width)
-        own += np.uint32(low)
-    return out
+    width, e, high_width = heads["width"].astype(np.int64), heads["n"].astype(np.int64), heads["high"].astype(np.int64)
+    packed = (sizes * width + 7) // 8
+    for n, w in {*zip(sizes.tolist(), width.tolist(), strict=True)}:
+        which = np.flatnonzero((sizes == n) & (width == w))
+        data = body[(starts[which] + _HEAD.itemsize)[:, None] + np.arange((n * w + 7) // 8)]
+        out[(begins[which][:, None] + np.arange(n)).ravel()] = unpack_rows(data, n, w).ravel()
+    places = starts + _HEAD.itemsize + packed
+    row = np.repeat(np.arange(len(e)), e)
+    column = body[_ragged(places, 2 * e)].view("<u2").astype(np.int64)
+    own = high_width[row]
+    number = np.arange(len(row)) - (np.cumsum(e) - e)[row]
+    high = unpack_ragged(body, own, 8 * (places + 2 * e)[row] + number * own)
+    out[begins[row] + column] |= high << width[row].astype(np.uint32)
+    return out + np.repeat(heads["low"], sizes)
 
 
 # ---- files
 
 
 def encode_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
-    blocks, offsets = encode_blocks(ids, block)
+    stretches, offsets = encode_blocks(ids, block)
     table = np.zeros(len(doc_ids), np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")]))
     table["id"] = [i or 0 for i in doc_ids]
     table["known"] = [i is not None for i in doc_ids]
     table["n"] = lengths
-    data = b"".join([MAGIC, struct.pack("<IIII", len(doc_ids), len(ids), len(blocks), block), table.tobytes(), offsets[:-1].astype("<u4").tobytes(), *blocks])
+    data = b"".join([MAGIC, struct.pack("<IIII", len(doc_ids), len(ids), len(offsets) - 1, block), table.tobytes(), offsets[:-1].astype("<u4").tobytes(), *stretches])
     return data + struct.pack("<I", zlib.crc32(data))
 
 
@@ -173,16 +240,16 @@ class TokenFile:
         self.doc_ids = [int(i) if k else None for i, k in zip(table["id"], table["known"], strict=True)]
         self.lengths = table["n"].astype(np.int64)
         at = 24 + documents * kind.itemsize
-        self.starts = np.frombuffer(data, "<u4", blocks, at)
-        self.body = memoryview(data)[at + 4 * blocks : -4]
+        self.starts = np.frombuffer(data, "<u4", blocks, at).astype(np.int64)
+        self.body = np.frombuffer(data, np.uint8, len(data) - 4 - at - 4 * blocks, at + 4 * blocks)
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         end = self.n if end is None else end
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        sizes = [min(self.block, self.n - k * self.block) for k in range(first, last + 1)]
-        return decode_blocks(self.body, self.starts[first : last + 1].tolist(), sizes)[start - first * self.block : end - first * self.block]
+        sizes = np.minimum(self.block, self.n - np.arange(first, last + 1) * self.block)
+        return decode_blocks(self.body, self.starts[first : last + 1], sizes)[start - first * self.block : end - first * self.block]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(id, first id's place in this file, ids) of each document, decoding a stretch of blocks at a time."""
@@ -202,110 +269,187 @@ class TokenFile:
 # ---- text to ids
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    ends_word = np.zeros(library.get_vocab_size(), bool)
-    ends_word[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
-    return library, _Ids(ends_word)
-
-
-class _Ids:
-    """Ids of pieces of text in one flat array."""
+#: What a tokenizer file must say for pieces to be encoded apart; any other file gets whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+#: Words that normaliser and pre-tokenizer leave as they are, once in lower case: their tokens are those of the BPE model alone.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-    def __init__(self, ends_word: np.ndarray) -> None:
-        self.ends_word = ends_word
-        self.place: dict[bytes, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def shrink(self, size: int) -> None:
-        """Keep the pieces that came first: frequent ones are among them."""
-        self.place = dict(islice(self.place.items(), size))
-        self.start, self.size = self.start[:size].copy(), self.size[:size].copy()
-        self.flat = self.flat[: int(self.start[-1] + self.size[-1]) if size else 0].copy()
-
-    def add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        base = len(self.place)
-        self.place.update(zip(pieces, range(base, base + len(pieces)), strict=True))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
-        self.flat = np.concatenate((self.flat, ids))
-        self.size = np.concatenate((self.size, size))
 
-
-_SPECIAL = b"<|endoftext|>"
-#: A stop or comma after a Latin letter is a piece of its own, as it is for the tokenizer.
-_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
-def cut_text(text: bytes) -> list[bytes]:
-    """Pieces that the tokenizer encodes alike on their own.
+class Vocabulary:
+    """A tokenizer file and the ids of pieces of text, in one flat array.
 
-    It lower-cases, drops white space, splits letters from stops and commas, and neither a token nor
-    a normalisation reaches across ASCII white space.  A text that may hold a special token stays whole.
+    Where the file lower-cases, drops white space and splits letters from other characters, neither a
+    token nor a normalisation reaches across ASCII white space; only then is a text cut into pieces.
     """
-    if b"<|" in text:
-        return [text]
-    return _STOP.sub(rb" \g<0>", text.lower()).split()  # of bytes: A-Z and ASCII white space only
 
-
-def _encode_pieces(library, pieces: list[bytes], ends_word: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Pieces in some order, their ids and how many each has; the library gets many pieces in a call.
-
-    A piece of letters only is one word to the tokenizer, and a word's last token ends in </w>: such
-    pieces stand between spaces and are told apart by that.  Others stand between special tokens.
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        model, before = said["model"], (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.special = [t["content"].encode() for t in said["added_tokens"]]
+        split = before[0] if before else {}
+        self.by_piece = (
+            said["normalizer"] == _NORMALIZER
+            and len(before) == 2
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+            and (before[1]["type"], before[1]["add_prefix_space"], before[1]["use_regex"]) == ("ByteLevel", False, False)
+            and (model["type"], model["end_of_word_suffix"], model["dropout"]) == ("BPE", _WORD_END, None)
+            and bool(self.special)
+            and all(t.startswith(b"<|") for t in self.special)
+        )
+        if self.by_piece:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith(_WORD_END)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.start, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keep the pieces that were met in the most batches."""
+        keep = np.zeros(len(self.size), bool)
+        keep[np.argsort(-self.met, kind="stable")[:most]] = True
+        names = [p for p, k in zip(self.place, keep.tolist(), strict=True) if k]
+        self.flat = self.flat[np.repeat(keep, self.size)]
+        self.size, self.met = self.size[keep], self.met[keep] // 2
+        self.start = np.cumsum(self.size) - self.size
+        self.place = dict(zip(names, range(len(names)), strict=True))
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """The place of each of some distinct pieces; new ones are encoded."""
+        new = [p for p in pieces if p not in self.place]
+        if new:
+            if len(self.place) + len(new) > CACHE:
+                self.shrink(CACHE // 2)
+                new = [p for p in pieces if p not in self.place]
+            names, ids, size = self.encode(new)
+            base = len(self.place)
+            self.place.update(zip(names, range(base, base + len(names)), strict=True))
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+            self.flat = np.concatenate((self.flat, ids))
+            self.size = np.concatenate((self.size, size))
+            self.met = np.concatenate((self.met, np.zeros(len(size), np.int64)))
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.met[at] += 1
+        return at
+
+    def encode(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Pieces in some order, their ids and how many each has; the library gets many pieces in a call.
+
+        A word's last token ends in </w>, so words stand between spaces and are told apart by that.
+        Other pieces stand between special tokens.
+        """
+        plain, words, others = [], [], []
+        for p in pieces:
+            if _PLAIN.fullmatch(p):
+                plain.append(p)
+            elif p in (b".", b",") or p.decode().isalpha():
+                words.append(p)
+            else:
+                others.append(p)
+        done, ids, size = [], [], []
+        for library, own, change in ((self.words, plain, str.lower), (self.library, words, str)):
+            said = library.encode_batch_fast([change(b" ".join(own[at : at + 64]).decode()) for at in range(0, len(own), 64)], add_special_tokens=False)
+            x = np.fromiter(chain.from_iterable(e.ids for e in said), np.uint32)
+            ends = np.flatnonzero(self.ends_word[x])
+            if len(ends) != len(own):
+                others += own
+                continue
+            done += own
+            ids.append(x)
+            size.append(np.diff(ends, prepend=-1))
+        number = self.library.token_to_id(self.special[-1].decode())
+        groups = [others[at : at + 256] for at in range(0, len(others), 256)]
+        for group, e in zip(groups, self.library.encode_batch_fast([self.special[-1].join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            x = np.array(e.ids, np.uint32)
+            done += group
+            ids.append(x[x != number])
+            size.append(np.diff(np.concatenate(([-1], np.flatnonzero(x == number), [len(x)]))) - 1)
+        return done, np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *size])
+
+    def whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that go to the library as they are, and how many each has."""
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+#: The second byte of Latin letters from U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+
+
+def cut_texts(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Runs without ASCII white space of all texts, A-Z lower-cased, and how many each text has.
+
+    A stop or comma at the end of a run, after a Latin letter, is a piece of its own, as it is for the tokenizer.
     """
-    words, others, whole = [], [], []
-    for p in pieces:
-        (whole if b"<|" in p else words if p in (b".", b",") or p.decode().isalpha() else others).append(p)
-    done, ids, size = [], [], []
-    groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-    for group, e in zip(groups, library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-        x = np.array(e.ids, np.uint32)
-        ends = np.flatnonzero(ends_word[x])
-        if len(ends) != len(group):
-            others += group
-            continue
-        done += group
-        ids.append(x)
-        size.append(np.diff(ends, prepend=-1))
-    between = library.token_to_id(_SPECIAL.decode())
-    groups = [others[at : at + 256] for at in range(0, len(others), 256)]
-    for group, e in zip(groups, library.encode_batch_fast([_SPECIAL.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-        x = np.array(e.ids, np.uint32)
-        done += group
-        ids.append(x[x != between])
-        size.append(np.diff(np.concatenate(([-1], np.flatnonzero(x == between), [len(x)]))) - 1)
-    for p, e in zip(whole, library.encode_batch([p.decode() for p in whole], add_special_tokens=False), strict=True):
-        done.append(p)
-        ids.append(np.array(e.ids, np.uint32))
-        size.append(np.array([len(e.ids)]))
-    return done, np.concatenate(ids), np.concatenate(size)
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    blank = _BLANK[data]
+    after = np.append(blank[1:], True)
+    at = np.flatnonzero(((data == 0x2E) | (data == 0x2C)) & after)
+    at = at[at > 1]
+    before, second = data[at - 1], data[at - 2]
+    at = at[((before >= 0x61) & (before <= 0x7A)) | (_LATIN[before] & (second == 0xC3))]
+    stop = np.zeros(len(data) + 1, bool)
+    stop[at] = True
+    starts = np.flatnonzero(~blank & (np.insert(blank[:-1], 0, True) | stop[:-1]))
+    ends = np.flatnonzero(~blank & (after | stop[1:]))
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts + 1, out=offsets[1:])
+    pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])])
+    return pieces, np.diff(np.searchsorted(starts, begins))
+
+
+def _listed(column: pa.BinaryArray) -> list[bytes]:
+    """A binary column without nulls as a list; cheaper than to_pylist."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[i:j] for i, j in pairwise(at)]
 
 
 def encode_texts(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, without special tokens, as the tokenizers library gives them for each whole text; where each text ends.
 
-    Each distinct piece is encoded by the library once, many pieces in one call with its special
-    token between them.
+    Each distinct piece is encoded by the library once, many pieces in a call.  A text that may hold a
+    special token goes to the library whole.
     """
-    library, known = tokenizer(path)
-    cut = [cut_text(t or b"") for t in texts]
-    new = list(set().union(*cut).difference(known.place))
-    if len(known.place) + len(new) > CACHE:
-        known.shrink(CACHE // 2)
-        new = list(set().union(*cut).difference(known.place))
-    if new:
-        known.add(*_encode_pieces(library, new, known.ends_word))
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
-    at = np.fromiter(map(known.place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    known = tokenizer(path)
+    texts = [t or b"" for t in texts]
+    alone = np.array([bool(t) and (not known.by_piece or b"<|" in t) for t in texts], bool)
+    pieces, counts = cut_texts([b"" if a else t for t, a in zip(texts, alone.tolist(), strict=True)])
+    coded = pieces.dictionary_encode()
+    at = known.places(_listed(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
     size = known.size[at]
+    out = known.flat[_ragged(known.start[at], size)]
     total = np.concatenate(([0], np.cumsum(size)))
-    # the k-th id of the result stands at start + (k - ids before its piece)
-    out = known.flat[np.repeat(known.start[at] - total[:-1], size) + np.arange(int(total[-1]))]
-    return out, total[np.cumsum(counts)]
+    ends = total[np.cumsum(counts)]
+    if not alone.any():
+        return out, ends
+    more, sizes = known.whole([texts[k] for k in np.flatnonzero(alone)])
+    out = np.insert(out, np.repeat(ends[alone], sizes), more)
+    added = np.zeros(len(texts), np.int64)
+    added[alone] = sizes
+    return out, ends + np.cumsum(added)
 
 
 # ---- Spark
@@ -361,7 +505,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
     list_at = f"{folder}/_files"
-    in_order = rows.repartitionByRange(F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), F.col("t").asc_nulls_first())
+    # rows of one id, or of no id, are spread over partitions by a hash of their texts
+    order = [F.col("i").asc_nulls_first(), F.xxhash64("t")]
+    in_order = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("t").asc_nulls_first())
     in_order.mapInArrow(write, _FILES).write.mode("overwrite").parquet(list_at)
     files = spark.read.schema(_FILES).parquet(list_at)
     # a partition's ids first, then running sums inside it: neither has more rows than there are files
@@ -406,12 +552,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return read_files(spark, folder).mapInArrow(read, schema)
 
 
-def token_digest(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Write docs to the shared folder, read them back and return a digest for each document."""
+def token_digest(docs: DataFrame, tokenizer_path: str, *, folder: str | None = None, **options) -> DataFrame:
+    """Write docs to a folder, read them back and return a digest for each document.
+
+    folder: where the token files stay; without it they are written to the shared folder and dropped when read back.
+    """
     spark = docs.sparkSession
-    folder = scratch(spark, "tokens")
-    files = write_token_files(docs, folder, tokenizer_path, **options)
-    out_at = scratch(spark, "token-digest")
-    digest_token_files(spark, folder, files).write.parquet(out_at)
-    drop(spark, folder)
-    return spark.read.parquet(out_at)
+    own = folder or scratch(spark, "tokens")
+    files = write_token_files(docs, own, tokenizer_path, **options)
+    found, _ = cut(digest_token_files(spark, own, files), "token-digest")
+    if folder is None:
+        drop(spark, own)
+    return found

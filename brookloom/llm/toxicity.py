@@ -8,19 +8,25 @@ The features are the distinct words of the whole text and their prefixes of 3 to
 A word's features depend on the word only, so a text's score is a sum over its distinct words, whose
 scores are remembered.
 
-The models are fitted on a sample of SAMPLE labelled rows, chosen by a hash of the id, so with the
-labels in the shares they have; all other work covers all rows.  Where only one label column is there, `weak_categories` makes finer
-categories of it: insults by a fixed list of words, other toxic rows, and toxic last, as the verdict.
-
-Defined cases: null and empty texts have no words and get the models' base rates; rows without a
-label teach nothing; a category that is constant in the sample gets that constant; repeated rows
-are scored one by one; an input column that has the name of an output column is replaced.
+Where the labels have several columns each is a category, in the given order.  Where only one label column
+is there, finer categories come from the data: the labelled toxic rows are put into KINDS groups by the
+features that tell them from other rows (k-means on unit vectors, started from rows far apart).  Each
+group is a category ("kind_1", the largest, first), and the label itself is the last one and the verdict.
+
+The models are fitted on a sample of at most SAMPLE labelled rows of each class, chosen by a hash of the
+id; a class that is larger weighs by its rows.  All other work covers all rows.
+
+Defined cases: null and empty texts have no words and get the models' base rates; texts of any length are
+read whole; rows without a label or an id teach nothing; where ids repeat among the labels the more toxic
+one holds; a category that is constant in the sample gets that constant; without labels all probabilities
+are 1/2 and nothing is toxic; repeated rows are scored one by one; an empty table gives an empty one; an
+input column that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,10 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, bounded, ship, texts_of, words_of
+from .common import add_columns, as_bytes, bounded, ship, state_udf, texts_of, words_of
 from .linear import Rows, descend, sampled, sigmoid
 
-SAMPLE = 5000
+#: Labelled rows of each class that the models are fitted on.
+SAMPLE = 2500
+#: Groups of toxic rows.
+KINDS = 2
 FOLDS = 3
 THRESHOLD = 0.5
 #: Times that a feature must be more frequent in toxic rows.
@@ -41,13 +50,7 @@ BITS = 18
 WIDTH = 1 << BITS
 PREFIXES = (3, 4, 5, 6, 7)
 #: Distinct words whose scores a Python worker remembers; beyond, it starts anew.
-CACHE = 400_000
-#: Words that make a toxic row an insult.
-INSULTS = ["clown", "disgusting", "fool", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
-#: The order of the chain.
-CATEGORIES = ("insult", "other_abuse", "toxic")
-
-
+CACHE = 150_000
 def features_of(word: bytes) -> list[int]:
     """The word and its prefixes (of characters), hashed."""
     found = [zlib.crc32(word, 1) & (WIDTH - 1)]
@@ -58,14 +61,27 @@ def features_of(word: bytes) -> list[int]:
     return found
 
 
-def weak_categories(words: set[bytes], toxic: int) -> tuple[int, ...]:
-    """insult, other_abuse and toxic of a labelled row."""
-    insult = int(bool(toxic) and any(w.encode() in words for w in INSULTS))
-    return insult, int(bool(toxic) and not insult), int(bool(toxic))
+def kinds_of(rows: Rows, of_word: Rows, kinds: int, rounds: int = 10, width: int = 64) -> np.ndarray:
+    """The group, from 0 (the largest), of each row of a table of features (rows of words, words of features): spherical k-means on random signs of the features."""
+    signs = np.where(np.random.default_rng(11).random((of_word.width, width)) < 0.5, -1.0, 1.0)
+    x = np.column_stack([rows.dot(of_word.dot(signs[:, k])) for k in range(width)])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = [x.sum(axis=0) / max(np.linalg.norm(x.sum(axis=0)), 1e-12)]
+    while len(centres) <= kinds:  # the first stands for all rows and only says which one is farthest
+        centres.append(x[np.argmin(np.max(x @ np.array(centres[1:] or centres).T, axis=1))])
+    centres = np.array(centres[1:])
+    for _ in range(rounds):
+        at = (x @ centres.T).argmax(axis=1)
+        sums = np.array([x[at == k].sum(axis=0) for k in range(kinds)])
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), centres)
+    at = (x @ centres.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-np.bincount(at, minlength=kinds), kind="stable"))
+    return place[at]
 
 
 class ToxicityChain:
-    def __init__(self, categories: tuple[str, ...]) -> None:
+    def __init__(self, categories: tuple[str, ...] = ()) -> None:
         self.categories = categories
         self.features = np.zeros(0, np.int64)  # the hashed features with weights, sorted
         self.weights = np.zeros((len(categories), 0))
@@ -75,11 +91,14 @@ class ToxicityChain:
         self._scores: list[np.ndarray] = []
 
     @classmethod
-    def fit(cls, words: Iterable[list[bytes]], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...] = CATEGORIES, rounds: int = 80, l2: float = 2e-4) -> ToxicityChain:
-        """words: distinct words of each row; labels: a column for each category."""
-        model = cls(categories)
+    def fit(cls, words: Iterable[list[bytes]], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...], weights: np.ndarray | None = None, kinds: int = 0, rounds: int = 80, l2: float = 2e-4) -> ToxicityChain:
+        """words: distinct words of each row; labels: a column for each category; kinds: groups that become categories before them."""
+        model = cls((*(f"kind_{k + 1}" for k in range(kinds)), *categories))
+        categories = model.categories
+        model.weights, model.bias, model.links = np.zeros((len(categories), 0)), np.zeros(len(categories)), np.zeros((len(categories), len(categories)))
         if not len(labels):
             return model
+        weights = np.ones(len(labels)) if weights is None else weights
         number: dict[bytes, int] = {}
         ids = [np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)) for own in words]
         # only features of at least three positive rows, and far rarer in the others, speak for a category
@@ -106,6 +125,9 @@ class ToxicityChain:
         # words without such a feature add nothing
         useful = per_word[rows.columns] > 0
         rows = Rows(np.bincount(rows.row[useful], minlength=rows.n), rows.columns[useful], None, rows.width)
+        if kinds:
+            group = np.where(toxic, kinds_of(Rows(np.where(toxic, np.bincount(rows.row, minlength=rows.n), 0), rows.columns[toxic[rows.row]], None, rows.width), of_word, kinds), -1)
+            labels = np.column_stack([*(group == k for k in range(kinds)), labels]).astype(int)
 
         def train(y: np.ndarray, before: np.ndarray, use: np.ndarray) -> np.ndarray:
             share = np.clip(np.average(y, weights=use), 1e-4, 1 - 1e-4)
@@ -129,12 +151,12 @@ class ToxicityChain:
         before = np.zeros((len(labels), 0))
         for c in range(len(categories)):
             y = labels[:, c].astype(float)
-            w = train(y, before, np.ones(len(y)))
+            w = train(y, before, weights)
             model.weights[c], model.links[c, :c], model.bias[c] = w[:width], w[width:-1], w[-1]
             if c + 1 < len(categories):
                 out_of_fold = np.zeros(len(y))
                 for k in range(FOLDS):
-                    part = predict(train(y, before, (folds != k).astype(float)), before) if (folds != k).any() else np.full(len(y), y.mean())
+                    part = predict(train(y, before, weights * (folds != k)), before) if (folds != k).any() else np.full(len(y), y.mean())
                     out_of_fold[folds == k] = part[folds == k]
                 before = np.column_stack((before, out_of_fold))
         return model
@@ -177,28 +199,33 @@ class ToxicityChain:
         return self.__dict__ | {"_known": {}, "_scores": []}
 
 
-_SENT = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("words", T.BinaryType())])
+_SENT = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", use: Column | None = None, sample: int = SAMPLE, categorise: Callable[[set[bytes], int], tuple[int, ...]] = weak_categories, categories: tuple[str, ...] = CATEGORIES) -> ToxicityChain:
-    """Learn from the labelled rows where `use` (a condition on the labels) holds."""
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_cols: tuple[str, ...] = ("toxic",), use: Column | None = None, sample: int = SAMPLE, kinds: int = KINDS) -> ToxicityChain:
+    """Learn from the labelled rows where `use` (a condition on the labels) holds; the last label column is the verdict, and with only one `kinds` groups stand before it."""
     ship(docs.sparkSession)
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if use is None else use))
+    last = label_cols[-1]
+    chosen = labels.where(F.col(last).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if use is None else use))
     # one label for an id: the more toxic one, if they differ
-    chosen = chosen.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    chosen = sampled(chosen.withColumn("all", F.lit(1)), "all", "i", sample)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")  # `sample` rows
+    chosen = chosen.groupBy(F.col(id_col).alias("i")).agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{k}") for k, c in enumerate(label_cols)))
+    verdict = f"y{len(label_cols) - 1}"
+    sizes = {r[0]: r[1] for r in chosen.groupBy(verdict).count().collect()}  # two classes
+    chosen = sampled(chosen, verdict, "i", sample, sizes).select("i", F.array(*(f"y{k}" for k in range(len(label_cols)))).alias("y"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")  # `sample` rows of a class
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bounded(whole):
                 out = [b" ".join(sorted(set(words_of(t)))) for t in texts_of(batch, "t")]
-                yield pa.RecordBatch.from_arrays([batch.column("i").cast(pa.string()), batch.column("y").cast(pa.int32()), pa.array(out, pa.binary())], names=_SENT.names)
+                yield pa.RecordBatch.from_arrays([batch.column("i").cast(pa.string()), batch.column("y").cast(pa.list_(pa.int32())), pa.array(out, pa.binary())], names=_SENT.names)
 
-    got = sorted((r["i"], r["y"], bytes(r["words"])) for r in rows.select("i", "y", "t").mapInArrow(gather, _SENT).collect())
-    y = np.array([categorise(set(g[2].split()), g[1]) for g in got]).reshape(len(got), len(categories))
+    got = sorted((r["i"], tuple(r["y"]), bytes(r["words"])) for r in rows.select("i", "y", "t").mapInArrow(gather, _SENT).collect())
+    y = np.array([g[1] for g in got], int).reshape(len(got), len(label_cols))
     folds = np.array([zlib.crc32(g[0].encode(), 7) % FOLDS for g in got])
-    return ToxicityChain.fit((g[2].split() for g in got), y, folds, categories)
+    verdicts = y[:, -1]
+    weights = np.array([sizes[v] / max(1, (verdicts == v).sum()) for v in verdicts.tolist()]) if len(got) else np.zeros(0)
+    return ToxicityChain.fit((g[2].split() for g in got), y, folds, label_cols, weights / weights.mean() if len(got) else weights, kinds if len(label_cols) == 1 else 0)
 
 
 def score(df: DataFrame, model: ToxicityChain, *, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -212,3 +239,14 @@ def score(df: DataFrame, model: ToxicityChain, *, text_col: str = "text", thresh
 
     return add_columns(df, fields, compute, [text_col], keep)
 
+
+def without_toxic(docs: DataFrame, model: ToxicityChain, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the chain doesn't find toxic; only verdicts come back from Python."""
+    ship(docs.sparkSession)
+
+    def compute(slices):
+        for (texts,) in slices:
+            yield pa.array(model.predict(as_bytes(texts))[:, -1] < threshold)
+
+    return docs.where(state_udf(compute, T.BooleanType(), F.col(f"`{text_col}`").cast("string")))
+
