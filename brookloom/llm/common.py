@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 import warnings
 from collections.abc import Callable, Iterable, Iterator
@@ -77,6 +79,28 @@ def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back to the system when a task ends: Python workers live on after their tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def release() -> None:
+    """Give what is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def add_columns(
     df: DataFrame, fields: list[T.StructField], compute: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], reads: list[str], keep: list[str] | None = None
 ) -> DataFrame:
@@ -108,10 +132,10 @@ def add_columns(
             arrays += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
 
-    return df.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(tidied(run), schema)
 
 
-def bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes, so that long texts don't add up in a Python worker."""
     if batch.num_rows == 0:
         return
@@ -137,7 +161,7 @@ def state_udf(compute: Callable[[Iterator[list[pa.Array]]], Iterator], kind: T.D
                 if isinstance(arrays, pa.Array):
                     arrays = (arrays,)
                 batch = pa.RecordBatch.from_arrays(list(arrays), names=[str(k) for k in range(len(arrays))])
-                own = list(bounded(batch, 4 << 20)) or [batch]
+                own = list(bounded(batch, 1 << 20)) or [batch]
                 parts.append(len(own))
                 for part in own:
                     yield part.columns
@@ -154,7 +178,7 @@ def state_udf(compute: Callable[[Iterator[list[pa.Array]]], Iterator], kind: T.D
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", UserWarning)  # of hints that one column and several would need in two forms
-        udf = F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
+        udf = F.arrow_udf(tidied(run), kind, ArrowUDFType.SCALAR_ITER)
     return udf.asNondeterministic()(*columns)
 
 

@@ -22,8 +22,8 @@ several components, its members outside the pivot's component are compared with
 allows the similarity, exactly and in tiles of about BLOCK x BLOCK by matrix products; a tile returns a
 forest of its links.  A pair in one component needs no test, as its link changes nothing.  So no link
 between nodes that share a bucket is lost, no task gets more than tiles, and no pairs are written out.
-Components come from alternating large-star and small-star rounds on tables in the shared folder, where
-the few nodes of many links (at most HOT of them) are joined by broadcast, so the hub of a star is not one task.
+Components come from alternating large-star and small-star rounds on tables in the shared folder; leaves
+of stars are pointed to one of their pivots first, so that the hub of a star is not one task.
 
 At similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^ROWS)^BANDS, 2e-5.
 
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, as_bytes, bounded, cut, drop, ship, state_udf, texts_of
+from .common import WORD_TABLE, as_bytes, bounded, cut, drop, ship, state_udf, texts_of, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -54,7 +54,7 @@ M = BANDS * ROWS
 BLOCK = 128
 #: Nodes whose keys may be broadcast (about 60 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 500_000
-#: Members of a pivot that are verified by one task at a time, and at most so many hot keys are broadcast.
+#: Members of a pivot that are verified at a time, and the most pivots of more members whose counts are broadcast.
 PART, HOT = 256, 1000
 _U = np.uint64
 
@@ -259,30 +259,13 @@ class _Corpus:
 _PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def hot_above(total: int, least: int = 64) -> int:
-    """Rows that make a key hot where there are `total`: at most HOT keys have more, so they may be broadcast."""
-    return max(least, total // HOT)
-
-
-def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """many (`total` rows at most) joined to one (a row for each key, with its rows in many as n); rows of hot keys don't travel."""
-    most = hot_above(total)
-    if total <= most:  # no key can be hot
-        return many.join(one.drop(n), key)
-    hot = F.broadcast(one.where(F.col(n) > most).withColumn("_hot", F.lit(True)).drop(n))  # HOT rows at most
-    names = [c for c in one.columns if c not in (key, n)]
-    met = many.join(hot, key, "left")
-    cold = met.where("_hot IS NULL").drop("_hot", *names).join(one.where(F.col(n) <= most).drop(n), key)
-    return met.where("_hot").drop("_hot").unionByName(cold)
-
-
 def verified(pairs: DataFrame, corpus: _Corpus, threshold: float) -> tuple[DataFrame, list[str]]:
     """The pairs (a, pivot b) of nodes at the threshold; paths to drop when they have been used."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts, texts_at = cut(corpus.texts(nodes), "near-texts")
     drop(spark, corpus.path)
-    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > hot_above(pairs.count(), PART)))  # HOT rows at most
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(PART, pairs.count() // HOT)))  # HOT rows at most
     placed = pairs.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / PART), F.lit(1))))
     members = placed.join(texts, F.col("a") == F.col("node")).select("b", "part", F.lit(1).alias("side"), "a", "t")
     pivots = placed.select("b", "part").distinct().join(texts, F.col("b") == F.col("node")).select("b", "part", F.lit(0).alias("side"), F.col("b").alias("a"), "t")
@@ -299,30 +282,45 @@ def verified(pairs: DataFrame, corpus: _Corpus, threshold: float) -> tuple[DataF
                     keep.append(side == 1 and similarity(own, held) >= threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links, links_at = cut(rows.mapInArrow(check, _PAIR), "near-links")
+    links, links_at = cut(rows.mapInArrow(tidied(check), _PAIR), "near-links")
     drop(spark, texts_at)
     return links, [links_at]
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """node and root (the smallest node of its component) of all nodes of the links a-b; and the table's path."""
+    """node and root (one node of its component) of all nodes of the links a-b, a node standing as a in few of them; and the table's path.
+
+    Every a points to one of its b; its others are linked to that one.  So the leaves of a star are gone before
+    any join on its hub, and rounds run on what is linked as b only.
+    """
     spark = links.sparkSession
-    edges, at = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-    before, rows = None, edges.count()
+    links = links.where("a <> b")
+    leaves, leaves_at = cut(links.groupBy("a").agg(F.min("b").alias("t")), "near-leaves")
+    inner = links.join(leaves, "a").select("b", "t").where("b <> t")
+    # a node that is an a and a b keeps its own pointer
+    both = leaves.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("b"), "t")
+    edges, at = cut(inner.unionByName(both).select(F.greatest("b", "t").alias("a"), F.least("b", "t").alias("b")).distinct(), "near-edges")
+    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = spread_join(both, low, "a", "n", 2 * rows).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        moved = spread_join(large, low, "a", "n", rows).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         new, new_at = cut(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "near-edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(spark, at)
-        edges, at, rows = new, new_at, now[0]
+        edges, at = new, new_at
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")), at
+    roots = edges.select(F.col("a").alias("t"), F.col("b").alias("r"))
+    # pointers of leaves, and those of inner nodes; a join of two written tables, so that a common root is split
+    found = leaves.join(roots, "t", "left").select(F.col("a").alias("node"), F.coalesce("r", "t").alias("root"))
+    inside = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    whole, whole_at = cut(found.join(inside.select("node"), "node", "left_anti").unionByName(inside), "near-roots")
+    drop(spark, leaves_at, at)
+    return whole, whole_at
 
 
 def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], width: int = 4096) -> np.ndarray:
@@ -386,7 +384,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     ship(spark)
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("own"), text.alias("t"))
-    features, features_at = cut(rows.select("i", "own", "t").mapInArrow(_features, _FEATURES), "near-features")
+    features, features_at = cut(rows.select("i", "own", "t").mapInArrow(tidied(_features), _FEATURES), "near-features")
     corpus = _Corpus(rows, features)
     signed = features.where("bands IS NOT NULL")
     band_rows = signed.select("node", "size", F.explode("bands").alias("key")).distinct()
@@ -443,19 +441,20 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
                 held.append((side, node, root, text))
         yield found()
 
-    more, more_at = cut(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, _PAIR), "near-links")
+    more, more_at = cut(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tidied(compare), _PAIR), "near-links")
     drop(spark, corpus.path, texts_at, still_at, sizes_at)
-    whole = links.union(more).union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final, final_at = components(whole)
     drop(spark, more_at, members_at, found_at, *links_at)
 
     # a class is a component, or a node that is linked to none, or a row without words
     per_node = features.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     per_node, per_node_at = cut(per_node.join(final, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root")), "near-nodes")
-    per_root = per_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("first"), F.sum("rows").alias("class_size"), F.count("*").alias("n"))
-    classes = spread_join(per_node, per_root, "root", "n", per_node.count()).select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("keep_node"), "class_size")
+    per_root = per_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("first"), F.sum("rows").alias("class_size"))
+    per_root, per_root_at = cut(per_root, "near-roots")
+    classes = per_node.join(per_root, "root").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("keep_node"), "class_size")
     classes, classes_at = cut(classes, "near-classes")
-    drop(spark, final_at, per_node_at)
+    drop(spark, final_at, per_node_at, per_root_at)
     out = features.select("id", "node").join(classes, "node", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, cut, drop, scratch, ship, texts_of
+from .common import bounded, cut, drop, scratch, ship, texts_of, tidied
 from .exact_dedup import file_system
 
 MAGIC = b"PFOR0001"
@@ -50,7 +50,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps the half that was met most.
-CACHE = 400_000
+CACHE = 200_000
 
 
 # ---- blocks
@@ -487,7 +487,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
             held, number = 0, number + 1
 
         for whole in batches:
-            for batch in bounded(whole, 4 << 20):
+            for batch in bounded(whole, 2 << 20):
                 ids, ends = encode_texts(texts_of(batch, "t"), tokenizer_path)
                 ids = np.insert(ids, ends, end_id)  # after each document
                 ends = (ends + np.arange(1, len(ends) + 1)).tolist()
@@ -508,7 +508,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     # rows of one id, or of no id, are spread over partitions by a hash of their texts
     order = [F.col("i").asc_nulls_first(), F.xxhash64("t")]
     in_order = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("t").asc_nulls_first())
-    in_order.mapInArrow(write, _FILES).write.mode("overwrite").parquet(list_at)
+    in_order.mapInArrow(tidied(write), _FILES).write.mode("overwrite").parquet(list_at)
     files = spark.read.schema(_FILES).parquet(list_at)
     # a partition's ids first, then running sums inside it: neither has more rows than there are files
     totals = files.groupBy("partition").agg(F.sum("tokens").alias("t"))
@@ -534,7 +534,7 @@ def digest_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Da
                 rows = [(i, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())) for i, at, ids in TokenFile(content.as_py()).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))], names=_DIGEST.names)
 
-    found = read_files(spark, folder).mapInArrow(read, _DIGEST)
+    found = read_files(spark, folder).mapInArrow(tidied(read), _DIGEST)
     return found.join(files.select("file", "before"), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
