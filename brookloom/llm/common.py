@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shipping import ship
+from ..sources.shipping import ship as _ship
 
 #: Maps a UTF-8 byte to itself if it belongs to a word (0-9, a-z, bytes of non-ASCII
 #: characters), to lower case for A-Z, and to a space otherwise.
@@ -23,6 +23,19 @@ WORD_TABLE = bytes(
 )
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker and its task hold several batches.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, and bound Arrow batches for long texts unless the session says otherwise."""
+    _ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The lower-cased words of a text; none for null."""
     return text.translate(WORD_TABLE).split() if text else []
