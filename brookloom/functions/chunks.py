@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     mark, finer = separators[at], separators[at + 1 :]
     pieces = [p for p in (text.split(mark) if mark else list(text)) if p]
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    held = 0  # characters of run, joined by marks
 
-    def length(parts: list[str]) -> int:
-        return sum(map(len, parts)) + len(mark) * max(0, len(parts) - 1)
+    def longer(piece: str) -> int:
+        return held + len(piece) + (len(mark) if run else 0)
 
     def flush() -> None:
         joined = mark.join(run).strip()
@@ -39,13 +42,14 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     for piece in pieces:
         if len(piece) > size and finer:
             flush()
-            run = []
+            run, held = deque(), 0
             out += split_text(piece, size, overlap, finer)
             continue
-        if run and length([*run, piece]) > size:
+        if run and longer(piece) > size:
             flush()
-            while run and (length(run) > overlap or length([*run, piece]) > size):
-                run.pop(0)
+            while run and (held > overlap or longer(piece) > size):
+                held -= len(run.popleft()) + (len(mark) if run else 0)
+        held = longer(piece)
         run.append(piece)
     flush()
     return out
@@ -56,6 +60,13 @@ def recursive_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_text(t) if t else [])
 
 
+def token_chunks(df: DataFrame, tokens: str, size: int, stride: int) -> DataFrame:
+    """Rows of df with chunk_idx and chunk: windows of `size` tokens, each beginning `stride` after the last; none without tokens."""
+    n = F.greatest(F.lit(1), F.ceil((F.size(tokens) - (size - stride)) / stride))
+    windows = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.slice(F.col(tokens), (i * stride + 1).cast("int"), F.lit(size)))
+    return df.where(F.size(tokens) > 0).select(*(c for c in df.columns if c != tokens), F.posexplode(windows).alias("chunk_idx", "chunk"))
+
+
 def chunk_id(doc_id: Column, index: Column) -> Column:
     """The same id for the same chunk at every run."""
     return F.sha2(F.concat_ws(":", doc_id.cast("string"), index.cast("string")), 256)

@@ -10,18 +10,54 @@ import html
 import json
 import re
 import unicodedata
+from functools import reduce
+from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Punctuation that compat cleaning rewrites.
-SMART = {" ": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
-#: UTF-8 read as Windows-1252, and what was meant.
-MOJIBAKE = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\x9d": "”", "â€“": "–", "â€”": "—", "â€¦": "…", "Â ": " ", "Ã©": "é", "Ã¨": "è", "Ã±": "ñ", "Ã¼": "ü"}
-#: Fixed value: signs of mathematics, each counted once where it stands.
-MATH = r"(?U)\d+\s*[+\-*/=^]\s*\d+|\\frac|\\sqrt|\\sum|\\int|[=<>≤≥≠±√π∑∫]|\b\d+/\d+\b|\b\d+%|\bx\^?\d*\b"
+# ---- fixed values: what the results depend on
+
+#: Characters that come in UTF-8 read as Latin-1; "Â" alone is a stray prefix and goes last.
+MISREAD = "—–…“”‘’•éèâêîôûöäç"
+STRAY = "Â"
+#: What filter cleaning takes out, in this order.  Rules for style, script and other tags after the general one can't match any more and are left out.
+REMOVED = [
+    r"(?i)data:[^;]+;base64,[A-Za-z0-9+/=\s]+",
+    r"(?i)\[[^\[\]]*?Image \d+[^\[\]]*?\]",
+    r"(?s)/\*.*?\*/",
+    r"(?s)<!--.*?-->",
+    r"<[^>]+>",
+    r"\{\\\*[^{}]*\}",
+    r"\{\\\w+[^{}]*\}",
+    r"(?s)Normal 0 false false false.*?MicrosoftInternetExplorer4",
+    r"mso-[\w\-]+:[^;]+;",
+    r"table\.MsoNormalTable\s*\{[^}]+\}",
+    r"(?s)/\*.*?\*/",
+    r"(?is)Normal\.dotm.*?false false false",
+    r"(?i)mso-[^:]+:[^;\"]+;?",
+    r"(?i)class=[\"']?Mso\w*[\"']?",
+]
+#: Punctuation that cleaning rewrites.
+PUNCTUATION = {"\u00a0": " ", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
+#: Signs of mathematics.
+MATH = [
+    r"\$[^$]+\$", r"\\\[[\s\S]*?\\\]", r"\\begin\{equation\}[\s\S]*?\\end\{equation\}",
+    r"\\frac\{", r"\\sqrt\{", r"\\sum", r"\\int", r"\\lim",
+    r"[∀∃∑∫∞≈≃≅≡≤≥√±÷×⋅∠°′″→⇒⇔≈≠∈∉∩∪⊂⊆⊇⊃∅∴∵∝]",
+    r"[^\w]\^[^\s]", r"_[^\s\w]",
+]
+#: A tag that holds an image, with the image.
+IMAGE = r"(?i)<[^>]+?base64,([^\"'>\s]+)[^>]*>"
+#: Tags that the image-preserving form keeps, and all others.
+KEPT_TAGS = re.compile(r"(?i)(?P<img><img\s+[^>]*?src=[\"']data:image/[^;]+;base64,[^\"']+[\"'][^>]*?>)|(?P<br><br\s*/?>)|<[^>]*>")
+#: Characters of file names and what stands for them.
+NAME_CHARS = {"/": "_", "\\": "_", ":": " - ", "*": "_", "?": "_", '"': "'", "<": "(", ">": ")", "|": "_"}
+#: Changes of a word diff.
+CHANGES = {"replace": "[~~{0}~~ ➝ **{1}**]", "delete": "[~~{0}~~]", "insert": "[**{1}**]"}
 
 _IMAGE = T.StructType([T.StructField("field", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("base64", T.StringType())])
 _PLACED = T.StructType([T.StructField("text", T.StringType()), T.StructField("images", T.ArrayType(_IMAGE))])
@@ -52,42 +88,132 @@ def sanitize(c: Column) -> Column:
     return squeeze(F.regexp_replace(unescape(c), r"\\r|\\n|\\t", " "))
 
 
-def _compat(text: str) -> str:
-    text = re.sub(r"<[^>]+>", "", html.unescape(text))
-    text = text.encode("utf-8").decode("unicode_escape", errors="ignore") if not text.endswith("\\") else (text + "x5c").encode().decode("unicode_escape", errors="ignore")
-    for a, b in SMART.items():
-        text = text.replace(a, b)
-    text = re.sub(r"[\x00-\x1f\x7f]", "", text)
-    return re.sub(r" {2,}", " ", text).strip()
+def compat_of(text: str | None) -> str:
+    """A text cleaned by the order of steps that filter runs have: bytes beyond ASCII become Latin-1, escapes are read, control characters go."""
+    for pattern in REMOVED:
+        text = re.sub(pattern, "", text or "")
+    text = html.unescape(text).encode("utf-8").decode("unicode_escape", errors="backslashreplace")
+    for sign, plain in PUNCTUATION.items():
+        text = text.replace(sign, plain)
+    return re.sub(r" +", " ", re.sub(r"[\x00-\x1f\x7f]", "", text)).strip()
 
 
 @F.pandas_udf(T.StringType())
 def sanitize_compat(s: pd.Series) -> pd.Series:
-    """The outcome of escape decoding as it happens: bytes beyond ASCII become Latin-1, control characters go."""
-    return s.map(lambda x: "" if x is None else _compat(x))
+    return s.map(compat_of)
+
+
+def sanitize_clean(c: Column) -> Column:
+    """What the cleaning means: tags to spaces, entities and smart punctuation in plain form, white space squeezed; empty for null."""
+    bare = unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "))
+    return squeeze(reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), PUNCTUATION.items(), bare))
+
+
+def misread(sign: str) -> str:
+    return sign.encode().decode("latin-1")
+
+
+def fix_mojibake(c: Column) -> Column:
+    pairs = [(misread(sign), sign) for sign in MISREAD] + [(STRAY, "")]
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+
+
+def without_illegal(c: Column) -> Column:
+    """Without the control characters that XML forbids."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+
+
+@F.pandas_udf(T.StringType())
+def safe_decode(s: pd.Series) -> pd.Series:
+    """Bytes as UTF-8, with U+FFFD where they are none."""
+    return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="replace"))
+
+
+def _lines(text: str) -> str:
+    """At most one empty line, single blanks, none at the ends of lines."""
+    return re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)))
+
+
+def web_text(text: str | None, keep_images: bool = False) -> str:
+    """A text for a web page: printable ASCII, line ends that were written out as <br>; with images, their tags stay between line breaks."""
+    text = html.unescape(text or "")
+    for sign in MISREAD:
+        text = text.replace(misread(sign), sign)
+    text = "".join(c for c in text.replace(STRAY, "") if unicodedata.category(c)[0] != "C")
+    text = re.sub(r"\\r\\n|\\r|\\n", "\n", text).replace("\\t", "&nbsp;" * 4)
+
+    def put(m: re.Match) -> str:
+        if not keep_images:
+            return ""
+        return f"<br>{m['img']}<br>" if m["img"] else "<br>" if m["br"] else ""
+
+    def ascii_only(t: str) -> str:
+        return re.sub(r"[^\x20-\x7E\n]", "", t.replace("\xa0", " "))
+
+    # without images characters go before tags do, with them after
+    text = ascii_only(KEPT_TAGS.sub(put, text)) if keep_images else KEPT_TAGS.sub(put, ascii_only(text))
+    return _lines(text).replace("\n", "<br>").strip()
+
+
+@F.pandas_udf(T.StringType())
+def for_web(s: pd.Series) -> pd.Series:
+    return s.map(web_text)
 
 
 @F.pandas_udf(T.StringType())
-def sanitize_clean(s: pd.Series) -> pd.Series:
-    """What the cleaning means: entities and smart punctuation in plain form, white space squeezed."""
+def for_web_with_images(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: web_text(t, keep_images=True))
 
-    def clean(x: str | None) -> str:
-        x = re.sub(r"<[^>]+>", " ", html.unescape(x or ""))
-        for a, b in SMART.items():
-            x = x.replace(a, b)
-        return re.sub(r"\s+", " ", x).strip()
 
-    return s.map(clean)
+def viewer_text(text: str | None) -> str | None:
+    """A text for the desktop viewer: escapes are read, '[... Image n]' stays as it is; null for broken escapes."""
+    parts = re.split(r"(\[[^\[\]]+? Image \d+\])", text or "")
+    held = "".join(p if k % 2 == 0 else f"\x1e{k}\x1e" for k, p in enumerate(parts))
+    try:
+        plain = re.sub(r"<[^>]+?>", "", html.unescape(held)).encode("utf-8").decode("unicode_escape")
+    except UnicodeDecodeError:
+        return None
+    plain = _lines(plain.replace("\r\n", "\n").replace("\r", "\n"))
+    for k in range(1, len(parts), 2):
+        plain = plain.replace(f"\x1e{k}\x1e", parts[k])
+    return plain.strip()
 
 
 @F.pandas_udf(T.StringType())
-def fix_mojibake(s: pd.Series) -> pd.Series:
-    def fix(x: str | None) -> str | None:
-        for a, b in MOJIBAKE.items():
-            x = None if x is None else x.replace(a, b)
-        return x
+def for_viewer(s: pd.Series) -> pd.Series:
+    return s.map(viewer_text)
+
+
+class _Strings(HTMLParser):
+    """The texts of a page, without those of scripts, styles and templates."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+        self.silent = 0
+
+    def handle_starttag(self, tag, attrs) -> None:
+        self.silent += tag in ("script", "style", "template")
 
-    return s.map(fix)
+    def handle_endtag(self, tag) -> None:
+        self.silent -= tag in ("script", "style", "template") and self.silent > 0
+
+    def handle_data(self, data) -> None:
+        if not self.silent:
+            self.found.append(data)
+
+
+def page_text(page: str | None) -> str:
+    parser = _Strings()
+    parser.feed(page or "")
+    parser.close()
+    return re.sub(r"\s+", " ", html.unescape(" ".join(parser.found))).strip()
+
+
+@F.pandas_udf(T.StringType())
+def parsed_text(s: pd.Series) -> pd.Series:
+    """The text of a page as a parser reads it, white space squeezed."""
+    return s.map(page_text)
 
 
 def remove_control(c: Column) -> Column:
@@ -111,26 +237,21 @@ def image_placeholders(field: pd.Series, text: pd.Series) -> pd.DataFrame:
             images.append({"field": name, "index": len(images) + 1, "base64": m[1]})
             return f"[{name} Image {len(images)}]"
 
-        return {"text": re.sub(r"<img[^>]*?base64,([A-Za-z0-9+/=]+)[^>]*>", put, value or ""), "images": images}
+        return {"text": re.sub(IMAGE, put, value or ""), "images": images}
 
     return pd.DataFrame([one(f, t) for f, t in zip(field, text, strict=True)], columns=["text", "images"])
 
 
+def shortened(words: list[str], context: int) -> list[str]:
+    """A run of words, its middle as '...' where it has more than `context` at both ends."""
+    return words if len(words) <= 2 * context else words[:context] + ["..."] + words[-context:]
+
+
 def word_diff_of(old: str | None, new: str | None, context: int = 3) -> str:
-    a, b = (old or "").split(), (new or "").split()
-    out: list[str] = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
-        gone, come = " ".join(a[i:j]), " ".join(b[k:m])
-        if tag == "equal":
-            run = a[i:j]
-            out += [*run[:context], "...", *run[-context:]] if len(run) > 2 * context else run
-        elif tag == "replace":
-            out.append(f"[~~{gone}~~ ➝ **{come}**]")
-        elif tag == "delete":
-            out.append(f"[~~{gone}~~]")
-        else:
-            out.append(f"[**{come}**]")
-    return " ".join(out)
+    before, after = (old or "").split(), (new or "").split()
+    steps = difflib.SequenceMatcher(None, before, after).get_opcodes()
+    marked = ([CHANGES[tag].format(" ".join(before[i:j]), " ".join(after[k:m]))] if tag in CHANGES else shortened(before[i:j], context) for tag, i, j, k, m in steps)
+    return " ".join(chain.from_iterable(marked))
 
 
 @F.pandas_udf(T.StringType())
@@ -159,16 +280,15 @@ def signed_delta(before: Column, now: Column) -> Column:
 
 def mathiness(c: Column) -> Column:
     """Signs of mathematics for each digit of the text's length; 0 for none."""
-    found = F.regexp_count(c, F.lit(MATH))
+    found = F.regexp_count(c, F.lit("(?U)" + "|".join(MATH)))
     return F.coalesce(F.when(F.length(c) > 0, found / F.greatest(F.lit(1.0), F.log10(F.length(c) + 1))), F.lit(0.0))
 
 
 def first_json(text: str | None) -> str | None:
-    """The first braces up to the first closing one, after missing closing braces are added; null if it isn't JSON."""
-    if not text:
-        return None
-    text += "}" * max(0, text.count("{") - text.count("}"))
-    m = re.search(r"\{.*?\}", text, re.DOTALL)
+    """The first braces up to the first closing one, missing braces being put at the ends first; null if it isn't JSON."""
+    text = text or ""
+    more = text.count("{") - text.count("}")
+    m = re.search(r"\{.*?\}", "{" * -more + text + "}" * more, re.DOTALL)
     try:
         return json.dumps(json.loads(m[0])) if m else None
     except ValueError:
@@ -180,14 +300,34 @@ def extract_json(s: pd.Series) -> pd.Series:
     return s.map(first_json)
 
 
+def _braces(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+
+
 def greedy_json(c: Column, schema: str) -> Column:
     """The outermost braces as a struct of a schema; null where they are missing or broken."""
-    return F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), schema)
+    found = _braces(c)
+    return F.when(F.try_parse_json(found).isNotNull(), F.from_json(found, schema))
+
+
+def verdict_json(c: Column, schema: str) -> Column:
+    """answer (greedy_json), and error and raw where there is none."""
+    found = _braces(c)
+    missing, broken = found.isNull(), found.isNotNull() & F.try_parse_json(found).isNull()
+    error = F.when(missing, "No JSON found in response").when(broken, "not valid JSON")
+    return F.struct(greedy_json(c, schema).alias("answer"), error.alias("error"), F.when(missing, c).alias("raw"))
 
 
 def safe_name(c: Column, most: int = 160) -> Column:
-    """A file name: other characters to _, runs of _ to one, cut."""
-    return F.substring(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_"), "_+", "_"), 1, most)
+    """A file name: path characters replaced, white space squeezed, cut; NULL for null and for nothing."""
+    plain = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), NAME_CHARS.items(), c.cast("string"))
+    cut = F.regexp_replace(F.substring(squeeze(plain), 1, most), r"(?U)\s+$", "")
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("NULL"))
+
+
+def shown(c: Column, most: int) -> Column:
+    """A text cut for display."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())

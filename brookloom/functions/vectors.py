@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    """a at length 1; zeros stay zeros."""
+    # the norm is bound once, as the element of an array
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12)))), 0)
 
 
 def aligned(a: Column, n: int) -> Column:
@@ -38,10 +41,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
 
     queries and corpus have id and embedding.  The queries are a stated set that is collected in blocks;
     the corpus streams past each block as matrix products, each task keeps its k best of each query, and
-    only those meet in a window.  So the corpus is neither shuffled nor multiplied out.
+    only those meet in a window.  So the corpus is neither shuffled nor multiplied out.  Rows without an
+    embedding, or with one of another length than the first query's, are near nothing and are left out.
     """
     out = None
     held: list = []
+    size = None
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("sim", T.DoubleType())])
 
     def scan(rows: list) -> DataFrame:
@@ -52,10 +57,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
             for b in batches:
-                own = np.array(b.column("id").to_pylist(), np.int64)
-                if not len(own):
+                pairs = [(i, e) for i, e in zip(b.column("id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if i is not None and e is not None and len(e) == q.shape[1] and None not in e]
+                if not pairs:
                     continue
-                x = np.array(b.column("embedding").to_pylist(), np.float64)
+                own = np.array([p[0] for p in pairs], np.int64)
+                x = np.array([p[1] for p in pairs], np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 s = np.concatenate((best_s, np.round(q @ x.T, digits)), axis=1)
                 i = np.concatenate((best_i, np.broadcast_to(own, (len(q), len(own)))), axis=1)
@@ -66,15 +72,20 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
 
         return corpus.select("id", "embedding").mapInArrow(run, schema)
 
-    for row in queries.select("id", "embedding").toLocalIterator():
+    for row in queries.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator():
+        size = len(row["embedding"]) if size is None else size
+        if len(row["embedding"]) != size or None in row["embedding"]:
+            continue
         held.append((row["id"], row["embedding"]))
         if len(held) == block:
             out = scan(held) if out is None else out.union(scan(held))
             held = []
-    if held or out is None:
-        out = scan(held or [(-1, [0.0])]) if out is None else out.union(scan(held))
+    if held:
+        out = scan(held) if out is None else out.union(scan(held))
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return out.where("query_id >= 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def label_nearest(df: DataFrame, id_col: str, label: str, embedding: str, *, digits: int = 6, block: int = 2048) -> DataFrame:
@@ -107,6 +118,45 @@ def label_nearest(df: DataFrame, id_col: str, label: str, embedding: str, *, dig
     return pairs.mapInArrow(run, schema).groupBy("a", "b", "id").agg(F.max("sim").alias("sim"))
 
 
+def projection(size: int, to: int, seed: int) -> np.ndarray:
+    """A Gaussian matrix of a seed, with deviation 1 / sqrt(to)."""
+    return np.random.default_rng(seed).normal(0.0, 1.0 / np.sqrt(to), (size, to))
+
+
+def projected(a: Column, size: int, to: int, seed: int) -> Column:
+    """The first `size` numbers of a, zeros added, times a projection of a seed."""
+    matrix = projection(size, to, seed)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def multiply(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else [float(y) for y in np.asarray(x, float) @ matrix])
+
+    return multiply(aligned(a, size))
+
+
+def mean_cosines(df: DataFrame, label: str, embedding: str) -> DataFrame:
+    """a, b and the mean cosine of all pairs of a vector of label a and one of label b: the product of the labels' mean unit vectors, in one aggregation."""
+    long = df.where(F.col(embedding).isNotNull()).select(F.col(label).alias("label"), F.posexplode(unit(F.col(embedding))).alias("at", "x"))
+    means = long.groupBy("label", "at").agg(F.avg("x").alias("m"))  # a row for each label and place
+    pairs = means.select(F.col("label").alias("a"), "at", F.col("m").alias("ma")).join(means.select(F.col("label").alias("b"), "at", F.col("m").alias("mb")), "at")
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("v"))
+
+
+def hashed_embedding(text: Column, size: int = 64) -> Column:
+    """An embedding without a model, for tests and runs: signed counts of hashed words, at length 1."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    each = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(size)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
+    return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), each))
+
+
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors that the mask (0 or 1) keeps, at length 1."""
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m > 0, t)), lambda t: t.isNotNull())
+    total = F.aggregate(F.slice(kept, 2, 1 << 30), F.get(kept, 0).cast("array<double>"), lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
+    return unit(F.transform(total, lambda x: x / F.greatest(F.size(kept).cast("double"), F.lit(1e-9))))
+
+
 def fused(ranked: DataFrame, weight: float = 1.0, c: int = 60) -> DataFrame:
     """Reciprocal-rank fusion: id and score, summed over all lists it stands in."""
     return ranked.groupBy("query_id", "vec_id").agg(F.sum(F.lit(weight) / (c + F.col("rank"))).alias("score"))

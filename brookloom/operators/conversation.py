@@ -38,6 +38,32 @@ def rendered(conversation: Column, question: str, answer: str) -> Column:
     return F.array_join(F.flatten(F.transform(conversation, lines)), "\n")
 
 
+def exported(conversation: Column, *, problem: Column, student: Column, age: Column, school: Column, mentor: Column, scores: list[str]) -> Column:
+    """A thread as a text file: a header of what is known, then both answers, the reply, images and scores of each message, an empty line after each part."""
+    known = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    blank = F.lit("")
+    about = [known("Student Name", student), known("Age", age), known("School", school)]
+    by = known("Mentor Name", mentor)
+    head = F.array(F.concat(F.lit("Problem statement: "), F.coalesce(problem, blank)), blank, *about, blank, by, F.when(by.isNotNull(), blank))
+
+    def dated(word: str, date: Column) -> Column:
+        return F.coalesce(F.when(date != "", F.concat(F.lit(f"({word} on "), date, F.lit(") "))), blank)
+
+    def lines(m: Column, i: Column) -> Column:
+        n = (i + 1).cast("string")
+        sent = dated("submitted", m["submission_date"])
+        answers = [F.concat(F.lit("Student Submission "), sent, F.lit(f"{kind} Answer "), n, F.lit(": "), F.coalesce(m[f"{kind.lower()}_answer"], blank)) for kind in ("Short", "Long")]
+        reply = F.coalesce(m["response"], blank)
+        response = F.when(reply == "", "Mentor Response: (No reply yet)").otherwise(F.concat(F.lit("Mentor Response "), dated("responded", m["response_date"]), n, F.lit(": "), reply))
+        images = F.transform(m["images"], lambda x: F.concat(F.lit("Embedded image: "), x["field"], F.lit(" Image "), x["index"].cast("string"), F.lit(" "), x["base64"]))
+        given = F.array_compact(F.array(*(F.concat(F.lit(f"{s.capitalize()}: "), m["rubrics"][s].cast("string")) for s in scores)))
+        scored = F.when(F.size(given) > 0, F.array(F.concat(F.lit("Rubric "), n, F.lit(": "), F.array_join(given, "; ")), blank))
+        none = F.array().cast("array<string>")
+        return F.concat(F.array(answers[0], blank, answers[1], blank, response, blank), F.when(F.size(images) > 0, F.concat(images, F.array(blank))).otherwise(none), F.coalesce(scored, none))
+
+    return F.array_join(F.concat(F.array_compact(head), F.flatten(F.transform(conversation, lines))), "\n")
+
+
 def with_previous(df: DataFrame, thread: str, idx: str, columns: list[str]) -> DataFrame:
     """prev_<column> of the message before."""
     w = Window.partitionBy(thread).orderBy(idx)

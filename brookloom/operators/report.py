@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_half_even, pearson, percent
+from ..functions.text import safe_name
 
 #: The six rubric categories.
 RUBRIC = ["strategy", "interpretation", "accuracy", "completeness", "clarity", "reflection"]
@@ -70,8 +71,8 @@ def hours_bin(seconds: Column) -> Column:
 
 
 def membership(df: DataFrame, key: str, member: str) -> DataFrame:
-    """The sorted distinct members of each key."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("members"))
+    """The distinct members of each key, a row for each: a key may have any number of them."""
+    return df.select(key, member).distinct()
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -105,3 +106,44 @@ def label(key: Column, name: Column) -> Column:
 
 def not_deleted(column: Column, ignore_deleted: bool) -> Column:
     return F.coalesce(column, F.lit(0)) == 0 if ignore_deleted else F.lit(True)
+
+
+def histogram(df: DataFrame, value: str, bins: int, digits: int = 6) -> DataFrame:
+    """bin, count and density of equal bins between the least and the largest value.  Nulls are left out; a constant column is one bin of width 1; none without values."""
+    known = df.where(F.col(value).isNotNull()).select(value)
+    ends = known.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))  # one row
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(1.0)
+    binned = known.crossJoin(F.broadcast(ends)).withColumn("_width", width)
+    place = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_width")), F.lit(bins - 1)).cast("bigint")
+    counted = binned.groupBy(place.alias("bin"), "_n", "_width").agg(F.count("*").alias("count"))
+    return counted.select("bin", "count", F.round(F.col("count") / (F.col("_n") * F.col("_width")), digits).alias("density"))
+
+
+#: The columns of a report.
+COLUMNS = {"section": "string", "group": "string", "key": "string", "count": "bigint", "percent": "double", "metric": "string", "value": "double", "category": "string"}
+
+
+def report_rows(df: DataFrame) -> DataFrame:
+    """df in the columns of a report; those it doesn't have are null."""
+    return df.select(*((F.col(f"`{c}`").cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()))
+
+
+def assembled(parts: list[DataFrame]) -> DataFrame:
+    """All sections of a report as one table."""
+    return reduce(DataFrame.unionByName, map(report_rows, parts))
+
+
+def metrics(df: DataFrame, section: str, group: str, names: list[str]) -> DataFrame:
+    """A row with metric and value for each of some columns of a one-row table."""
+    values = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
+    return df.select(F.explode(F.array(*values)).alias("_m")).select(F.lit(section).alias("section"), F.lit(group).alias("group"), "_m.metric", "_m.value")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Report rows by section and group, keys ascending as numbers, rows without a key last."""
+    return df.orderBy("section", "group", F.try_to_number(F.col("key"), F.lit("S9999999999")).asc_nulls_last(), F.asc_nulls_last("key"), F.asc_nulls_last("metric"))
+
+
+def archive_name(section: Column, group: Column, key: Column) -> Column:
+    """The name of the archive of a report row's members."""
+    return F.concat(safe_name(F.concat_ws("_", section, group, F.concat(F.lit("key_"), F.coalesce(key.cast("string"), F.lit("NULL"))))), F.lit(".zip"))

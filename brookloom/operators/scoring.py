@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: States of a service after which another try may help.
+RETRIED = (408, 409, 425, 429)
 Client = Callable[[str], dict | None]
 
 
@@ -19,7 +22,80 @@ def fake_client(prompt: str) -> dict:
     return {"clarity": h % 3 + 1, "accuracy": h // 3 % 3 + 1, "comment": f"c{h % 7}"}
 
 
-def scored(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.StructType, cache: DataFrame | None = None, tries: int = 3) -> DataFrame:
+def called(client: Client, prompt: str, tries: int = 3, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> tuple[dict | None, str | None]:
+    """The client's answer, or the last error; between tries it waits 1, 2, 4, ... times `wait` seconds.  Errors that another try can't mend end it."""
+    error = None
+    for k in range(tries):
+        try:
+            return client(prompt), None
+        except Exception as e:  # noqa: BLE001  a client's failures are its own kinds
+            error = f"{type(e).__name__}: {e}"
+            if getattr(e, "status", None) is not None and e.status not in RETRIED and e.status < 500:
+                break
+            if k + 1 < tries:
+                pause(wait * 2**k)
+    return None, error
+
+
+def stored_scores(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.StructType, store: str, **options) -> DataFrame:
+    """As `scored`, with the store (Parquet by key) as its cache: new answers are appended before they are read, so no row is paid for twice."""
+    spark = rows.sparkSession
+    try:
+        cache = spark.read.parquet(store)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        cache = None
+    todo = rows if cache is None else rows.join(cache.select(key), key, "left_anti")
+    scored(todo, key, prompt, client, schema, **options).write.mode("append").parquet(store)
+    return spark.read.parquet(store).join(rows.select(key).distinct(), key, "left_semi")
+
+
+def compared(questions: DataFrame, question: str, clients: dict[str, Callable[[str], str]], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """question, model, answer (or a tagged error) and latency of each client for each question."""
+    schema = T.StructType([questions.schema[question], T.StructField("model", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("latency", T.DoubleType())])
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q in f[question]:
+                for name, client in clients.items():
+                    start = clock()
+                    try:
+                        answer, ok = client(q), True
+                    except Exception as e:  # noqa: BLE001
+                        answer, ok = f"[error] {e}", False
+                    out.append([q, name, answer, ok, clock() - start])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return questions.select(question).mapInPandas(call, schema)
+
+
+def answered(retrieved: DataFrame, query: str, text: str, rank: str, client: Callable[[str], str], how: str = "stuff", question: str = "question") -> DataFrame:
+    """query and answer from the retrieved texts of each query: 'stuff' puts all in one prompt, 'refine' goes on from text to text, 'none' asks without.
+
+    The texts of a query are its top k, so a group is small.
+    """
+    joined = retrieved.groupBy(query, question).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, text))), lambda s: s[text]).alias("texts"))
+    schema = T.StructType([retrieved.schema[query], T.StructField("answer", T.StringType())])
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, asked, texts in zip(f[query], f[question], f["texts"], strict=True):
+                if how == "refine":
+                    answer = ""
+                    for t in texts:
+                        answer = client(f"Question: {asked}\nSo far: {answer}\nContext: {t}")
+                else:
+                    answer = client(f"Question: {asked}" + ("" if how == "none" else "\nContext: " + "\n\n".join(texts)))
+                out.append([q, answer])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return joined.mapInPandas(call, schema)
+
+
+def scored(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.StructType, cache: DataFrame | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """key and the client's fields; rows that the client fails on after `tries` are dropped.
 
     cache: rows of an earlier run by key; only the others are sent.
@@ -31,13 +107,7 @@ def scored(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.Str
         for f in frames:
             out = []
             for k, p in zip(f[key], f[prompt], strict=True):
-                answer = None
-                for _ in range(tries):
-                    try:
-                        answer = client(p)
-                        break
-                    except Exception:  # noqa: BLE001  a client's failures are its own kinds
-                        continue
+                answer, _ = called(client, p, tries, wait)
                 if answer is not None:
                     out.append([k, *(answer.get(c) for c in schema.names)])
             yield pd.DataFrame(out, columns=out_schema.names)

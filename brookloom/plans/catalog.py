@@ -192,10 +192,10 @@ def q_reply_time_hours(spark, d):
 
 
 @query("""WITH c AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-SELECT n AS key, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS members FROM c GROUP BY n""")
+SELECT n AS key, o_orderkey AS member FROM c""")
 def q_row_membership(spark, d):
     counted = report.zero_filled_counts(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "n")
-    return report.membership(counted, "n", "o_orderkey").select(F.col("n").alias("key"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    return report.membership(counted, "n", "o_orderkey").select(F.col("n").alias("key"), F.col("o_orderkey").alias("member"))
 
 
 # ---- maps
@@ -377,7 +377,7 @@ def q_strip_tags(spark, d):
 
 @query()
 def q_strip_html(spark, d):
-    return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"), X.plain_text(F.col("html")).alias("plain"))
+    return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"), X.plain_text(F.col("html")).alias("plain"), X.parsed_text(F.col("html")).alias("parsed"))
 
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\r|\\n|\\t', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM conversations WHERE text NOT LIKE '%&%'")
@@ -388,7 +388,8 @@ def q_sanitize_text(spark, d):
 
 @query()
 def q_sanitize_compat(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.sanitize_compat(F.col("text")).alias("compat"), X.sanitize_clean(X.fix_mojibake(F.col("text"))).alias("clean"))
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.sanitize_compat(t).alias("compat"), X.sanitize_clean(X.fix_mojibake(t)).alias("clean"), X.for_web(t).alias("web"), X.for_web_with_images(t).alias("web_images"), X.for_viewer(t).alias("viewer"))
 
 
 @query()
@@ -402,7 +403,8 @@ def q_base64_placeholders(spark, d):
     return table(spark, d, "pages").select("page_id", X.image_placeholders(F.lit("Page"), F.col("html")).alias("x")).select("page_id", "x.text", F.size("x.images").alias("images"))
 
 
-@query()
+@query(r"""SELECT doc_id, round_even(coalesce(len(regexp_extract_all(text, '\$[^$]+\$|\\\[[\s\S]*?\\\]|\\begin\{equation\}[\s\S]*?\\end\{equation\}|\\frac\{|\\sqrt\{|\\sum|\\int|\\lim|[∀∃∑∫∞≈≃≅≡≤≥√±÷×⋅∠°′″→⇒⇔≈≠∈∉∩∪⊂⊆⊇⊃∅∴∵∝]|[^\p{L}\p{M}\p{N}_]\^[^\s]|_[^\s\p{L}\p{M}\p{N}_]'))
+/ greatest(1.0, log10(length(text) + 1)), 0.0), 6) AS score FROM documents""")
 def q_mathiness(spark, d):
     return table(spark, d, "documents").select("doc_id", F.bround(X.mathiness(F.col("text")), 6).alias("score"))
 
@@ -465,17 +467,14 @@ def q_knn_max(spark, d):
     return best.select(F.col("query_id").alias("vec_id"), F.round("sim", 4).alias("max_sim"))
 
 
-@query(f"""WITH m AS (SELECT a.label AS a, b.label AS b, avg({_COS}) AS v FROM embeddings a JOIN embeddings b ON a.vec_id // 50 = b.vec_id // 50 GROUP BY 1, 2)
-SELECT m.a, m.b, round(m.v, 4) AS mean_cosine, round(CASE WHEN m.a = m.b THEN 0.0 ELSE (s.v - m.v) / s.v * 100 END, 2) AS relative_drift_pct FROM m JOIN m s ON s.a = m.a AND s.b = m.a WHERE m.a <= m.b""")
+@query(f"""WITH m AS (SELECT a.label AS a, b.label AS b, avg({_COS}) AS v FROM embeddings a JOIN embeddings b ON a.label <= b.label GROUP BY 1, 2)
+SELECT m.a, m.b, round(m.v, 4) AS mean_cosine, round(CASE WHEN m.a = m.b THEN 0.0 ELSE (s.v - m.v) / s.v * 100 END, 2) AS relative_drift_pct FROM m JOIN m s ON s.a = m.a AND s.b = m.a""")
 def q_drift_pairs(spark, d):
-    """Mean cosine of labels within blocks of 50 row ids only, and the drift of each pair against its first label; q_drift_nearest covers whole labels."""
-    rows = table(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 50))
-    left = rows.select("block", F.col("label").alias("a"), F.col("embedding").alias("x"))
-    pairs = left.join(rows.select("block", F.col("label").alias("b"), F.col("embedding").alias("y")), "block")
-    means = pairs.groupBy("a", "b").agg(F.avg(vectors.cosine(F.col("x"), F.col("y"))).alias("v"))
+    """Mean cosine of all pairs of two labels, and the drift of each pair against its first label."""
+    means = vectors.mean_cosines(table(spark, d, "embeddings"), "label", "embedding").where("a <= b")
     own = means.where("a = b").select("a", F.col("v").alias("s"))
     drift = F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("s") - F.col("v")) / F.col("s") * 100)
-    return means.where("a <= b").join(own, "a").select("a", "b", F.round("v", 4).alias("mean_cosine"), F.round(drift, 2).alias("relative_drift_pct"))
+    return means.join(own, "a").select("a", "b", F.round("v", 4).alias("mean_cosine"), F.round(drift, 2).alias("relative_drift_pct"))
 
 
 @query(f"""WITH n AS (SELECT a.vec_id, a.label AS a, b.label AS b, max(round({_COS}, 6)) AS sim FROM embeddings a JOIN embeddings b ON a.label <= b.label GROUP BY 1, 2, 3), m AS (SELECT a, b, avg(sim) AS v FROM n GROUP BY 1, 2)
@@ -499,11 +498,7 @@ def q_align_truncate_pad(spark, d):
 b AS (SELECT least(floor((value - lo) / ((hi - lo) / 50)), 49)::BIGINT AS bin, lo, hi, n FROM events, r)
 SELECT bin, count(*) AS count, round(count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 50)), 6) AS density FROM b GROUP BY bin""")
 def q_histogram50(spark, d):
-    events = table(spark, d, "events").select("value")
-    ends = events.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).first()  # one row
-    width = (ends["hi"] - ends["lo"]) / 50
-    binned = events.select(F.least(F.floor((F.col("value") - ends["lo"]) / width), F.lit(49)).cast("bigint").alias("bin"))
-    return binned.groupBy("bin").agg(F.count("*").alias("count"), F.round(F.count("*") / F.lit(ends["n"] * width), 6).alias("density"))
+    return report.histogram(table(spark, d, "events"), "value", 50)
 
 
 # ---- JSON, training pairs, scoring
@@ -555,3 +550,6 @@ def q_usage_stats(spark, d):
 def q_source_sets(spark, d):
     counted = table(spark, d, "documents").groupBy("source").agg(F.count_distinct(F.sha2("text", 256)).alias("documents"), F.count("*").alias("rows"))
     return counted.withColumn("percent", percent(F.col("rows"), F.sum("rows").over(Window.partitionBy(F.lit(0)))))
+
+
+from . import reports, retrieval, viewer  # noqa: E402, F401  they register their queries

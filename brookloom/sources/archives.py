@@ -3,35 +3,51 @@
 from __future__ import annotations
 
 import io
+import json
+import logging
 import sqlite3
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+_log = logging.getLogger(__name__)
 MEMBERS = "archive string, member string, content binary"
 _TARS = (".tar", ".tar.gz", ".tgz", ".tar.bz2")
 
 
 def members_of(name: str, data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
-    """Members with a suffix that aren't empty; ValueError for other kinds of files."""
+    """Members with a suffix that aren't empty; ValueError for other kinds of files.  A broken archive, or member, is logged and passed over."""
     low = name.lower()
+    if not low.endswith((".zip", *_TARS)):
+        raise ValueError(f"not an archive: {name}")
+    try:
+        yield from _members(low, data, suffix)
+    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError) as e:
+        _log.warning("%s is broken: %s", name, e)
+
+
+def _members(low: str, data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for i in z.infolist():
                 if i.filename.endswith(suffix) and i.file_size:
-                    yield i.filename, z.read(i)
-    elif low.endswith(_TARS):
+                    try:
+                        content = z.read(i)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                        _log.warning("%s is broken: %s", i.filename, e)
+                        continue
+                    yield i.filename, content
+    else:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for i in t:
                 if i.isfile() and i.name.endswith(suffix) and i.size:
                     yield i.name, t.extractfile(i).read()
-    else:
-        raise ValueError(f"not an archive: {name}")
 
 
 def read_archives(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -47,8 +63,10 @@ def read_archives(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 def read_json_archives(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parsed members of ZIPs of JSON; malformed members are left out."""
-    rows = read_archives(spark, path, ".json").select("archive", "member", F.from_json(F.decode("content", "UTF-8"), schema, {"mode": "PERMISSIVE"}).alias("thread"))
-    return rows.where("thread IS NOT NULL").select("archive", "member", "thread.*")
+    rows = read_archives(spark, path, ".json").select("archive", "member", F.decode("content", "UTF-8").alias("json"))
+    # a broken member would be a struct of nulls
+    rows = rows.where(F.try_parse_json("json").isNotNull()).withColumn("thread", F.from_json("json", schema))
+    return rows.select("archive", "member", "thread.*")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +78,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def thread_files(spark: SparkSession, path: str) -> DataFrame:
     """thread_id with its .txt and .json path; of several the first by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    name = F.regexp_extract("path", r"(?i)thread_(\d+)\.(txt|json)$", 1)
-    kind = F.lower(F.regexp_extract("path", r"(?i)thread_(\d+)\.(txt|json)$", 2))
+    pattern = r"(?i)(?:^|/)thread_(\d+)\.(txt|json)$"
+    name = F.regexp_extract("path", pattern, 1)
+    kind = F.lower(F.regexp_extract("path", pattern, 2))
     found = files.select("path", name.alias("id"), kind.alias("kind")).where("id <> ''")
     return found.groupBy(F.col("id").cast("long").alias("thread_id")).agg(*(F.min(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in ("txt", "json")))
 
@@ -86,7 +105,7 @@ class SqliteReader(DataSourceReader):
         return [InputPartition(k) for k in range(self.parts if self.column else 1)]
 
     def read(self, partition: InputPartition):
-        sql = self.query if not self.column else f"SELECT * FROM ({self.query}) WHERE abs({self.column}) % {self.parts} = {partition.value}"
+        sql = self.query if not self.column else f"SELECT * FROM ({self.query}) WHERE coalesce(abs(CAST({self.column} AS INTEGER) % {self.parts}), 0) = {partition.value}"  # rows without a value come with the first part
         connection = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
         try:
             cursor = connection.execute(sql)
@@ -106,3 +125,30 @@ def read_sqlite(spark: SparkSession, path: str, query: str, schema: str, column:
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A database table in parallel ranges of a column; the driver's jar must be there."""
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+
+
+def read_config(path: str, known: set[str]) -> dict[str, dict]:
+    """A filter config (field to rules) from a JSON file on the driver; unknown rules are an error."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    for field, rules in config.items():
+        if not isinstance(rules, dict) or set(rules) - known:
+            raise ValueError(f"unknown rules of {field}: {sorted(set(rules) - known) if isinstance(rules, dict) else rules}")
+    return config
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; lines that aren't JSON are left out."""
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("row")).select("row.*")
+
+
+def read_store(spark: SparkSession, path: str, batches: list[int] | None = None, most: int | None = None, collection: str = "batch", order: str = "id") -> DataFrame:
+    """A Parquet store, all batches or some, at most `most` rows of each collection in an order; the limit is the feature."""
+    rows = spark.read.parquet(path)
+    if batches is not None:
+        rows = rows.where(F.col("batch").isin(batches))  # prunes folders
+    if most is None:
+        return rows
+    w = Window.partitionBy(collection).orderBy(order)
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,27 +18,50 @@ def thread_json(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Each (path, content) as a file in a folder that all executors share; temporary name first."""
-    os.makedirs(folder, exist_ok=True)
+    """Each (path, content: text or bytes) as a file in a folder of a shared file system; temporary name first.
+
+    Names are one step below the folder: any that leads elsewhere is an error.  A file of the name and content is left as it is.
+    """
 
     def put(rows: Iterator) -> None:
+        fs, top = shared_folder(folder)
         for r in rows:
-            part = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-            os.replace(part, os.path.join(folder, r["path"]))
+            name, data = r["path"], r["content"]
+            data = data.encode() if isinstance(data, str) else bytes(data)
+            if not name or name in (".", "..") or "/" in name or "\\" in name:
+                raise ValueError(f"not a file name: {name}")
+            there = fs.get_file_info(f"{top}/{name}")
+            if there.is_file and there.size == len(data):
+                with fs.open_input_stream(f"{top}/{name}") as f:
+                    if f.read() == data:
+                        continue
+            part = f"{top}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as f:
+                f.write(data)
+            fs.move(part, f"{top}/{name}")
 
     files.select("path", "content").foreachPartition(put)
 
 
+def shared_folder(folder: str):
+    """The file system and path of a folder (a path, or a URI that pyarrow knows), made if it isn't there."""
+    from pyarrow import fs
+
+    found, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    found.create_dir(path, recursive=True)
+    return found, path
+
+
 def zipped(files: DataFrame, group: str) -> DataFrame:
     """archive and content: a ZIP of the files of each group, one member for a name.  A group must fit a task."""
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for path, content in sorted(set(zip(f["path"], f["content"], strict=True))):
-                if path not in z.namelist():
+            seen = set()
+            for path, content in sorted(zip(f["path"], f["content"], strict=True)):
+                if path not in seen:
+                    seen.add(path)
                     z.writestr(zipfile.ZipInfo(path), content)
         return pd.DataFrame([(str(f[group].iloc[0]), out.getvalue())], columns=["archive", "content"])
 
@@ -61,5 +83,17 @@ def append_store(df: DataFrame, path: str, batch: str = "batch") -> None:
 
 
 def upsert_metadata(store: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """The store with a column taken from the updates where they have the key."""
+    """The store with a column taken from the updates where they have the key; of several updates the largest value."""
+    updates = updates.groupBy(key).agg(F.max(column).alias(column))
     return store.join(updates.select(key, F.col(column).alias("_new")), key, "left").withColumn(column, F.coalesce("_new", column) if column in store.columns else F.col("_new")).drop("_new")
+
+
+def replace_batches(df: DataFrame, path: str, batch: str = "batch") -> None:
+    """Rows of some batches of a store written anew; other batches stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+
+
+def append_feedback(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Rows (thread_id and free columns) added to a feedback log, as thread_id and a JSON entry with the time."""
+    entry = F.to_json(F.struct("thread_id", *(c for c in columns if c != "thread_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp")))
+    df.select("thread_id", entry.alias("entry")).write.mode("append").parquet(path)

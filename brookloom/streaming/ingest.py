@@ -38,12 +38,15 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, che
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def numbered_batches(df: DataFrame, order: str, size: int, start: int = 0) -> DataFrame:
+def numbered_batches(df: DataFrame, order: str, size: int, work: str, start: int = 0) -> DataFrame:
     """batch number of each row, in an order, `size` rows to a batch, on from `start`.
 
-    Rows are numbered by partition offsets, so no task sees all of them.
+    Rows are numbered by partition offsets, so no task sees all of them.  The ranged rows are written once,
+    to the folder `work` of a shared file system, so that numbers and offsets are of one execution.
     """
     ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ranged.write.mode("overwrite").parquet(work)
+    ranged = df.sparkSession.read.parquet(work)
     sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a row for each partition
     offsets, at = [], 0
     for p in sorted(sizes):

@@ -138,7 +138,7 @@ def test_ingest(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "b"]
-    assert sorted(values(ingest.numbered_batches(spark.range(7).repartition(3), "id", 3, 5))) == [(i, 5 + i // 3) for i in range(7)]
+    assert sorted(values(ingest.numbered_batches(spark.range(7).repartition(3), "id", 3, str(tmp_path / "work"), 5))) == [(i, 5 + i // 3) for i in range(7)]
 
 
 def test_drift_covers_whole_labels(spark, tmp_path):
@@ -172,3 +172,115 @@ def test_wide_has_every_message(spark, tmp_path):
     got = {r["conv_id"]: r.asDict() for r in QUERIES["q_wide_flatten"](spark, str(tmp_path)).collect()}
     assert got[1] == {"conv_id": 1} | {f"msg_{k}_text": f"m{k}" for k in range(7)}
     assert got[2] == {"conv_id": 2} | {f"msg_{k}_text": None if k else "only" for k in range(7)}
+
+
+def test_cleaning_golden():
+    """Worked out by hand from the order of the cleaning steps."""
+    assert text.compat_of("a\\frac <b>caf\u00e9</b> &amp; x\ty {\\*\\fld x} end\\") == "arac caf\u00c3\u00a9 & xy end\\x5c"
+    assert text.compat_of("<style>p {}</style> [Long Image 1]x /* gone */y\\u2019s") == "p {} x y's"
+    assert text.compat_of(None) == "" and text.compat_of("  ") == ""
+    assert text.web_text("a<b>b</b>\\nline caf\u00e9 <br/> z") == "ab<br>line caf z"
+    assert text.web_text('a<img src="data:image/png;base64,AA=="> <i>z</i>', keep_images=True) == 'a<br><img src="data:image/png;base64,AA=="><br> z'
+    assert text.web_text("t\\tx") == "t&nbsp;&nbsp;&nbsp;&nbsp;x"
+    assert text.viewer_text("a [Long Image 1] \\u0041 &lt;x&gt;b <i>c</i>") == "a [Long Image 1] A b c"
+    assert text.viewer_text("bad \\u12") is None
+    assert text.page_text("<p>a&amp;b</p><script>x</script> <i>c</i>") == "a&b c"
+    assert text.first_json("x 1}") is None and text.first_json('"a": 1}') == '{"a": 1}'
+
+
+def test_text_columns_golden(spark):
+    rows = [("a/b:c*?", "\u00e2\u0080\u0099 \u00c3\u00a9 \u00c2x", "$x$ and \\frac{1}{2} \u00e9^2"), (None, None, None), (" ", "", "")]
+    df = spark.createDataFrame(rows, "n string, m string, t string")
+    got = values(df.select(text.safe_name(F.col("n")), text.fix_mojibake(F.col("m")), text.mathiness(F.col("t"))))
+    assert [r[0] for r in got] == ["a_b - c__", "NULL", "NULL"]
+    assert [r[1] for r in got] == ["\u2019 \u00e9 x", None, ""]
+    assert [round(r[2], 3) for r in got] == [round(2 / max(1, __import__("math").log10(len(rows[0][2]) + 1)), 3), 0.0, 0.0]
+    page = spark.createDataFrame([("<IMG x=\"data:a;base64,AA\"> <embed src='data:;base64,B_-'/>",)], "t string")
+    assert [(i["index"], i["base64"]) for i in page.select(text.image_placeholders(F.lit("Long"), F.col("t")).alias("x")).first()["x"]["images"]] == [(1, "AA"), (2, "B_-")]
+    said = spark.createDataFrame([('x {"k": 1} y',), ("none",), ("{broken}",)], "t string")
+    assert values(said.select(text.verdict_json(F.col("t"), "k int").alias("v")).select("v.answer.k", "v.error", "v.raw")) == [(1, None, None), (None, "No JSON found in response", "none"), (None, "not valid JSON", None)]
+    assert values(said.select(text.greedy_json(F.col("t"), "k int").isNull())) == [(False,), (True,), (True,)]
+    assert values(spark.createDataFrame([(b"a\xff",)], "b binary").select(text.safe_decode(F.col("b")))) == [("a\ufffd",)]
+
+
+def test_histogram_cases(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,), (3.0,)], "v double")
+    assert sorted(values(report.histogram(df, "v", 2))) == [(0, 1, 0.333333), (1, 2, 0.666667)]
+    assert values(report.histogram(df.where("v = 2"), "v", 50)) == [(0, 1, 1.0)]
+    assert values(report.histogram(df.where("false"), "v", 50)) == []
+
+
+def test_wide_has_every_message(spark):
+    df = spark.createDataFrame([(1, i, f"m{i}") for i in range(6)] + [(2, 0, "x")], "t int, idx int, text string")
+    got = conversation.wide(df, "t", "idx", ["text"])
+    assert got.columns == ["t", *(f"msg_{i}_text" for i in range(6))]
+    assert sorted(values(got))[0] == (1, "m0", "m1", "m2", "m3", "m4", "m5")
+
+
+def test_top_k_of_odd_rows(spark):
+    df = spark.createDataFrame([(-1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (None, [1.0, 1.0]), (5, [1.0, 0.1])], "id long, embedding array<float>")
+    got = sorted(values(vectors.top_k(df, df, 2).select("query_id", "vec_id", "rank")))
+    assert got == [(-1, -1, 1), (-1, 5, 2), (2, 2, 1), (2, 5, 2), (5, -1, 2), (5, 5, 1)]
+    assert values(vectors.top_k(df.where("false"), df, 2)) == []
+
+
+def test_archives_of_odd_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("good.json", '{"k": 1}')
+        z.writestr("bad.json", '{"k": ')
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    got = archives.read_json_archives(spark, str(tmp_path / "*.zip"), "k int")
+    assert [(r["member"], r["k"]) for r in got.collect()] == [("good.json", 1)]
+
+
+def test_sqlite_rows_without_a_split_value(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    c = sqlite3.connect(path)
+    c.execute("CREATE TABLE t (k INTEGER, v TEXT)")
+    c.executemany("INSERT INTO t VALUES (?, ?)", [(1, "a"), (None, "b"), (-3, "c"), (4, "d")])
+    c.commit()
+    c.close()
+    got = archives.read_sqlite(spark, path, "SELECT * FROM t", "k int, v string", column="k", parts=3)
+    assert sorted(r["v"] for r in got.collect()) == ["a", "b", "c", "d"]
+
+
+def test_stored_scores_call_once(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, p string")
+    schema = T.StructType([T.StructField("clarity", T.LongType())])
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def client(prompt):
+        (log / f"{prompt}-{__import__('uuid').uuid4().hex}").write_text("")
+        return {"clarity": 2}
+
+    for _ in range(2):
+        got = scoring.stored_scores(rows, "k", "p", client, schema, str(tmp_path / "store"), wait=0.0)
+        assert sorted(values(got)) == [("a", 2), ("b", 2)]
+        got.count()
+    assert len(list(log.iterdir())) == 2
+    assert scoring.called(lambda p: 1 / 0, "x", tries=2, wait=0.0)[1].startswith("ZeroDivisionError")
+
+
+def test_answers_and_stores(spark, tmp_path):
+    found = spark.createDataFrame([(1, "why", 2, "b"), (1, "why", 1, "a")], "q int, question string, rank int, t string")
+    echo = lambda p: p.replace("\n", "|")
+    assert values(scoring.answered(found, "q", "t", "rank", echo)) == [(1, "Question: why|Context: a||b")]
+    assert "Context: b" in values(scoring.answered(found, "q", "t", "rank", echo, how="refine"))[0][1]
+    assert values(scoring.answered(found, "q", "t", "rank", echo, how="none")) == [(1, "Question: why")]
+    store = str(tmp_path / "s")
+    rows = spark.createDataFrame([(1, "x", 0), (2, "y", 1)], "id int, v string, batch int")
+    sinks.append_store(rows, store)
+    sinks.replace_batches(rows.where("batch = 1").withColumn("v", F.lit("z")).select("id", "v", "batch"), store)
+    assert sorted((r["id"], r["v"]) for r in archives.read_store(spark, store).collect()) == [(1, "x"), (2, "z")]
+    assert [r["id"] for r in archives.read_store(spark, store, batches=[0]).collect()] == [1]
+    sinks.append_feedback(spark.createDataFrame([(7, "good")], "thread_id int, note string"), str(tmp_path / "f"), ["note"])
+    assert '"note":"good"' in spark.read.parquet(str(tmp_path / "f")).first()["entry"]
+    (tmp_path / "c.json").write_text('{"short_answer": {"min_length": 3}}')
+    assert archives.read_config(str(tmp_path / "c.json"), {"min_length"}) == {"short_answer": {"min_length": 3}}
+    (tmp_path / "l.jsonl").write_text('{"k": 1}\nno\n')
+    assert values(archives.read_jsonl(spark, str(tmp_path / "l.jsonl"), "k int")) == [(1,)]
+    pooled = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<double>>, m array<int>")
+    assert values(pooled.select(vectors.mean_pooled(F.col("t"), F.col("m")))) == [([0.6, 0.8],)]
