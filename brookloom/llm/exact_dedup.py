@@ -18,13 +18,15 @@ met, the byte comparison would find them and the job would stop rather than merg
 Texts are equal when identical; null counts as empty.  Of equal texts the row with the largest id
 stays.  Rows with one id and one text are one document repeated: only one of them is kept (see
 `deduplicate`); the report gives each row the same answer.  Null ids are smaller than all others.
-Empty tables give empty results.
+Texts of any length are compared whole.  Empty tables give empty results.  Extra columns, of whatever name,
+are kept by `deduplicate` and make no difference elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -41,8 +43,8 @@ from .common import bounded, drop, scratch, ship, texts_of
 BUCKET = 64
 #: Text bytes that an owner holds before pages go to the shared folder.
 PAGE_BYTES = 64 << 20
-#: Leading key bits that make a range; an owner task takes several ranges.
-RANGE_BITS = 12
+#: Leading key bits that make a range, at least, and the rows of a range beyond which there are more; an owner task takes several ranges.
+RANGE_BITS, RANGE_ROWS = 12, 50_000
 #: Splits stop here: keys that agree in so many bits stay in one bucket and chain.
 MAX_DEPTH = 64
 
@@ -169,8 +171,6 @@ class PageStore:
             return f.read()
 
     def _put(self, path: str, data: bytes) -> None:
-        import uuid
-
         part = f"{path}.{uuid.uuid4().hex}.tmp"
         with self.fs.open_output_stream(part) as f:
             f.write(data)
@@ -178,7 +178,13 @@ class PageStore:
 
     def close(self, index: ExtendibleIndex) -> None:
         """The index as one file: depth, and each bucket with its depth and chains; pages go."""
-        self._put(f"{self.path}.ehx", pickle.dumps({"skip": index.skip, "depth": index.depth, "key_bits": index.key_bits, "buckets": [(b.depth, b.chains) for b in index.buckets()]}, 5))
+        part = f"{self.path}.ehx.{uuid.uuid4().hex}.tmp"
+        with self.fs.open_output_stream(part) as f:
+            pickle.dump({"skip": index.skip, "depth": index.depth, "key_bits": index.key_bits}, f, 5)
+            for b in index.buckets():  # a bucket at a time, so pages stay out
+                pickle.dump((b.depth, b.chains), f, 5)
+            pickle.dump(None, f, 5)
+        self.fs.move(part, f"{self.path}.ehx")
         for k in range(1, self.pages + 1):
             self.fs.delete_file(f"{self.path}.page{k}")
 
@@ -201,21 +207,17 @@ def file_system(folder: str):
 def load(folder: str, name: str) -> ExtendibleIndex:
     """A range's index as it was stored."""
     found, path = file_system(folder)
-    with found.open_input_stream(f"{path}/{name}.ehx") as f:
-        stored = pickle.loads(f.read())
-    index = ExtendibleIndex(skip=stored["skip"], key_bits=stored["key_bits"])
-    index.depth, index.directory = stored["depth"], []
-    for depth, chains in stored["buckets"]:
-        b = Bucket(depth)
-        b.chains = chains
-        index.directory += [b] * (1 << (index.depth - depth))
+    with found.open_input_file(f"{path}/{name}.ehx") as f:
+        stored = pickle.load(f)
+        index = ExtendibleIndex(skip=stored["skip"], key_bits=stored["key_bits"])
+        index.depth, index.directory = stored["depth"], []
+        while (bucket := pickle.load(f)) is not None:
+            b = Bucket(bucket[0])
+            b.chains = bucket[1]
+            index.directory += [b] * (1 << (index.depth - bucket[0]))
     return index
 
 
-def range_name(key: int, key_bits: int = 64) -> str:
-    return f"range-{key >> max(0, key_bits - RANGE_BITS):05d}"
-
-
 _FOUND = T.StructType([T.StructField("text_sha256", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
 _SENT = T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("largest", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -224,7 +226,7 @@ def build(docs: DataFrame, folder: str, *, text_col: str = "text", id_col: str =
     """Index all texts in `folder`; a row for each distinct text: text_sha256, keep_id, group_size."""
     spark = docs.sparkSession
     ship(spark)
-    skip = min(RANGE_BITS, key_bits)
+    skip = min(max(RANGE_BITS, (docs.select(F.lit(1)).count() // RANGE_ROWS).bit_length()), 24, key_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -300,6 +302,9 @@ def find_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 def deduplicate(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row for each distinct text: the one of the largest id."""
     keep = find_duplicates(docs, text_col=text_col, id_col=id_col, **options).where("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
-    out = rows.join(keep, (F.col("_text_sha") == F.col("_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep"))).drop("_text_sha", "_sha", "_keep")
-    return out.dropDuplicates([id_col, text_col]) if id_col != text_col else out.dropDuplicates([id_col])
+    columns = docs.columns
+    inner = [f"_in{k}" for k in range(len(columns))]  # no clash with the columns of the decision
+    own = dict(zip(columns, inner, strict=True))
+    rows = docs.toDF(*inner).withColumn("_own_sha", F.sha2(F.coalesce(F.col(own[text_col]).cast("string"), F.lit("")), 256))
+    out = rows.join(keep, (F.col("_own_sha") == F.col("_sha")) & F.col(own[id_col]).eqNullSafe(F.col("_keep")))
+    return out.dropDuplicates(["_own_sha"]).select(*(F.col(i).alias(c) for c, i in own.items()))

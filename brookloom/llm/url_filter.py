@@ -12,9 +12,11 @@ is DataFrame and SQL functions.  A model is a table of n-grams that grows with t
 distinct n-gram of the other URLs the log ratio is found once, by joins, and URLs are joined to these.
 Log ratios are added as whole numbers, so sums don't depend on the order of rows.
 
-Defined cases: a null URL, or one without "://", has an empty host and path and fits no rule; it has
-no character to judge and is blocked; without any accepted or any rejected URL the rest is allowed;
-repeated rows are judged one by one; an input column that has the name of an output column is replaced.
+Defined cases: a null URL, or one without "://", has an empty host and path and fits no rule; the models judge
+it as any other, by its characters as they are; one without a character has a log ratio of 0; without any
+accepted or any rejected URL the rest is allowed; URLs of any length are read whole; repeated rows are judged one
+by one; an empty table gives an empty one; an input column that has the name of an output column is replaced,
+and all others are kept.
 """
 
 from __future__ import annotations
@@ -26,10 +28,6 @@ from .common import cut
 
 #: Verdict, host and path of each rule of the query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: The array model of cells_of and markov_model, which judge doesn't use.  Symbols by their place from 1; digits are one symbol, 0; any other character is the symbol after the last.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_%?=&#:~+@,;"
-SIDE = len(ALPHABET) + 2  # with the start, 0, and other characters
-CELLS = SIDE**3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the longest context.
 ORDER = 5
@@ -49,10 +47,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def whole_url(url: Column) -> Column:
-    """The URL with scheme and host in lower case; empty for null or without "://"."""
+    """The URL with scheme and host in lower case; as it is without "://", empty for null."""
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
     scheme = F.translate(F.substring_index(url, "://", 1), _UPPER, _LOWER)
-    return F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_and_path(url)[0], F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1))), F.lit(""))
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_and_path(url)[0], F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1))), url, F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -66,44 +64,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if rule is None else (rule, verdict)
 
 
-def cells_of(text: Column) -> Column:
-    """For each character of a text the cell of it after the two before it."""
-    folded = F.translate(F.lower(text), "123456789", "000000000")
-    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(SIDE - 1)))
-    # two starts before the first character; bound as the element of an array, so it is made once and not for each character
-    padded = F.array(F.concat(F.array(F.lit(0), F.lit(0)), codes))
-    return F.get(F.transform(padded, _cells), 0)
-
-
-def _cells(codes: Column) -> Column:
-    some = F.when(F.size(codes) > 2, F.sequence(F.lit(2), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(some, lambda i: (F.get(codes, i - 2) * SIDE + F.get(codes, i - 1)) * SIDE + F.get(codes, i))
-
-
-def markov_model(counts: DataFrame) -> DataFrame:
-    """counts: cell, yes and no (how often in accepted and rejected URLs).  One row with `model`: the log ratio of each cell."""
-    spark = counts.sparkSession
-    grid = spark.range(0, CELLS, 1, 4).select(F.col("id").alias("cell"))
-    full = grid.join(counts, "cell", "left").select("cell", *(F.coalesce(F.col(k), F.lit(0)).cast("double").alias(k) for k in ("yes", "no")))
-    full = full.withColumn("ab", F.floor(F.col("cell") / SIDE)).withColumn("bc", F.col("cell") % (SIDE * SIDE)).withColumn("b", F.col("ab") % SIDE).withColumn("c", F.col("cell") % SIDE)
-    pairs = full.groupBy("bc").agg(*(F.sum(k).alias(f"{k}_bc") for k in ("yes", "no"))).withColumn("b1", F.floor(F.col("bc") / SIDE)).withColumn("c1", F.col("bc") % SIDE)
-    ones = pairs.groupBy("c1").agg(*(F.sum(f"{k}_bc").alias(f"{k}_c") for k in ("yes", "no")))
-    total = ones.agg(*(F.sum(f"{k}_c").alias(f"{k}_all") for k in ("yes", "no")))
-    # of each context: how often it was met, and how many characters followed it
-    contexts2 = full.groupBy("ab").agg(*(f(k).alias(f"{k}_{n}2") for k in ("yes", "no") for f, n in ((F.sum, "n"), (lambda x: F.count_if(F.col(x) > 0), "t"))))
-    contexts1 = pairs.groupBy("b1").agg(*(f(f"{k}_bc").alias(f"{k}_{n}1") for k in ("yes", "no") for f, n in ((F.sum, "n"), (lambda x: F.count_if(F.col(x) > 0), "t"))))
-    x = full.join(pairs.drop("b1", "c1"), "bc").join(ones, F.col("c") == F.col("c1")).join(contexts2, "ab").join(contexts1, F.col("b") == F.col("b1"))
-    for k in ("yes", "no"):
-        everything = F.coalesce(total.select(f"{k}_all").scalar(), F.lit(0.0))
-        p0 = (F.col(f"{k}_c") + 1.0) / (everything + float(SIDE))
-        p1 = (F.col(f"{k}_bc") + F.greatest(F.col(f"{k}_t1"), F.lit(1)) * p0) / (F.col(f"{k}_n1") + F.greatest(F.col(f"{k}_t1"), F.lit(1)))
-        p2 = (F.col(k) + F.greatest(F.col(f"{k}_t2"), F.lit(1)) * p1) / (F.col(f"{k}_n2") + F.greatest(F.col(f"{k}_t2"), F.lit(1)))
-        x = x.withColumn(f"log_{k}", F.log(p2))
-    cells = x.select("cell", (F.col("log_yes") - F.col("log_no")).alias("v"))
-    # CELLS rows at any size of the table
-    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda s: s["v"]).alias("model"))
-
-
 def grams_of(text: Column, order: int = ORDER) -> Column:
     """For each character of a text the `order` characters before it and itself."""
     # bound as the element of an array, so it is split once and not for each character
@@ -149,7 +109,8 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str,
     """pages with host, path, rule, log_ratio (mean of a character; null by rule) and verdict."""
     out = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "log_ratio", "verdict")]
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    parsed = pages.withColumns({"_host": host, "_path": path, "_text": whole_url(F.col(f"`{url_col}`").cast("string"))})
+    inner = [f"_in{k}" for k in range(len(out))]  # no clash with the columns of the judgement
+    parsed = pages.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(out, inner, strict=True)), host.alias("_host"), path.alias("_path"), whole_url(F.col(f"`{url_col}`").cast("string")).alias("_text"))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     parsed = parsed.withColumns({"_rule": rule, "_by_rule": verdict})
     open_ = parsed.where(F.col("_rule").isNull())
@@ -167,13 +128,13 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str,
     yes, no = (F.when(F.col("_by_rule") == k, F.col("r")) for k in ("allow", "block"))
     sd_yes, sd_no = F.stddev_pop(yes) + 1e-6, F.stddev_pop(no) + 1e-6
     threshold = held.agg(F.round((F.avg(yes) * sd_no + F.avg(no) * sd_yes) / (sd_yes + sd_no), 9).alias("t")).scalar()
-    by_model = F.when(F.col("_ratio").isNull(), "block").when(F.col("_ratio") >= F.coalesce(threshold, F.lit(float("-inf"))), "allow").otherwise("block")
+    by_model = F.when(F.coalesce("_ratio", F.lit(0.0)) >= F.coalesce(threshold, F.lit(float("-inf"))), "allow").otherwise("block")
     judged = open_.withColumn("_key", F.unhex(F.md5("_text"))).join(scores, "_key", "left").withColumn("_verdict", by_model)
     ruled = parsed.where(F.col("_rule").isNotNull()).withColumns({"_ratio": F.lit(None).cast("double"), "_verdict": F.col("_by_rule")})
 
     def columns(df: DataFrame) -> DataFrame:
         return df.select(
-            *(F.col(f"`{c}`") for c in out), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+            *(F.col(i).alias(c) for c, i in zip(out, inner, strict=True)), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
             F.col("_ratio").alias("log_ratio"), F.col("_verdict").alias("verdict"),
         )
 

@@ -29,13 +29,13 @@ def brute_copies(rows):
 def test_exact_copies(spark, options):
     rng = random.Random(1)
     rows = ODD + [(1000 + k, rng.choice(["a", "b", "c" * 9, None, ""])) for k in range(60)] + [(2000 + k, f"text {k % 40}") for k in range(80)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, keep_id string").repartition(3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _keep string").repartition(3)
     found = exact_dedup.find_duplicates(df, **options)
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows_of(found)), key=repr)
     assert got == brute_copies(rows)
     left = rows_of(exact_dedup.deduplicate(df, **options))
     assert sorted(r["text"] or "" for r in left) == sorted({t or "" for _, t in rows})
-    assert set(left[0]) == {"doc_id", "text", "keep_id"}
+    assert set(left[0]) == {"doc_id", "text", "_keep"}
     assert rows_of(exact_dedup.find_duplicates(df.where("false"))) == []
 
 

@@ -149,7 +149,7 @@ def test_held_out(spark):
 
 def test_urls(spark):
     urls = [None, "", "nothing", "HTTP://WWW.A.ORG/x?y#z", "http://example.org/es/1", "http://m.example.org/en/12/", "http://b.com/fr/a", "http://b.com/de/a", "http://b.com/en/a", "http://b.net#f", "http://xorg/", "http://org", "http://a.org?q", "x://y://z/p", "http://Ünï.org/ä\nb?"]
-    df = spark.createDataFrame([(k, u, "mine", u) for k, u in enumerate(urls)] * 2, "page_id long, url string, verdict string, note string")
+    df = spark.createDataFrame([(k, u, "mine", u) for k, u in enumerate(urls)] * 2, "page_id long, url string, verdict string, _host string").withColumn("note", F.col("_host"))
     got = {r["page_id"]: r for r in rows_of(url_filter.judge(df))}
 
     def split(u):
@@ -167,54 +167,12 @@ def test_urls(spark):
         fit = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert got[k]["rule"] == (max(fit)[1] if fit else None)
         assert got[k]["verdict"] == (max(fit)[2] if fit else got[k]["verdict"]) and got[k]["verdict"] in ("allow", "block")
-        assert got[k]["note"] == u
+        assert got[k]["note"] == u and got[k]["_host"] == u
     assert url_filter.judge(df.where("false")).count() == 0
     unruled = url_filter.judge(df, rules=[])
     assert {r["verdict"] for r in rows_of(unruled.where("host <> ''"))} == {"allow"}
 
 
-def test_url_model_is_brute_force(spark):
-    """The model's log ratios equal a plain Witten-Bell interpolation."""
-    import math
-    from collections import Counter
-
-    yes, no = ["good.org/a", "good.org/ab"], ["bad.com/b", "x.bad"]
-    rows = [("allow", t) for t in yes] + [("block", t) for t in no]
-    df = spark.createDataFrame(rows, "c string, t string").select("c", F.explode(url_filter.cells_of(F.col("t"))).alias("cell"))
-    counts = df.groupBy("cell").agg(F.count_if(F.col("c") == "allow").alias("yes"), F.count_if(F.col("c") == "block").alias("no"))
-    model = url_filter.markov_model(counts).first()["model"]
-    side = url_filter.SIDE
-
-    def logs(texts):
-        three = Counter()
-        for t in texts:
-            codes = [0, 0] + [url_filter.ALPHABET.find(c) + 1 or side - 1 for c in t]
-            three.update(zip(codes, codes[1:], codes[2:], strict=False))
-        two, one, after2, after1 = Counter(), Counter(), Counter(), Counter()
-        for (a, b, c), n in three.items():
-            two[b, c] += n
-            one[c] += n
-        n2, n1 = Counter(), Counter()
-        for (a, b, _), n in three.items():
-            n2[a, b] += n
-            after2[a, b] += 1
-        for (b, _), n in two.items():
-            n1[b] += n
-            after1[b] += 1
-        total = sum(one.values())
-
-        def p(a, b, c):
-            p0 = (one[c] + 1) / (total + side)
-            p1 = (two[b, c] + max(1, after1[b]) * p0) / (n1[b] + max(1, after1[b]))
-            return math.log((three[a, b, c] + max(1, after2[a, b]) * p1) / (n2[a, b] + max(1, after2[a, b])))
-
-        return p
-
-    p, q = logs(yes), logs(no)
-    for a, b, c in [(0, 0, 7), (7, 15, 15), (1, 2, 3), (0, 0, 0), (15, 4, 28)]:
-        assert model[(a * side + b) * side + c] == pytest.approx(p(a, b, c) - q(a, b, c), abs=1e-9)
-
-
 def test_url_grams_are_brute_force(spark):
     """Log ratios from tables of n-grams equal a plain Witten-Bell interpolation over orders 0 to 5."""
     import math
