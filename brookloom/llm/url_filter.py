@@ -10,7 +10,8 @@ equal distance in standard deviations.
 Models see the whole URL, query and fragment too; only scheme and host are put in lower case.  Everything
 is DataFrame and SQL functions.  A model is a table of n-grams that grows with the labelled URLs; of each
 distinct n-gram of the other URLs the log ratio is found once, by joins, and URLs are joined to these.
-Log ratios are added as whole numbers, so sums don't depend on the order of rows.
+Ends of n-grams are made distinct before any join, so no short context is a hot key.  Log ratios are added as
+whole numbers, so sums don't depend on the order of rows.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and fits no rule; the models judge
 it as any other, by its characters as they are; one without a character has a log ratio of 0; without any
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Verdict, host and path of each rule of the query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -86,23 +87,31 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     return longest.select(F.explode(ends).alias("gram"), "yes", "no").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
 
-def gram_ratios(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram and v, the log ratio of its last character after the others, for each distinct gram of `order` + 1 characters."""
-    spark = counts.sparkSession
+def gram_ratios(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, str]:
+    """gram and v, the log ratio of its last character after the others, for each distinct gram of `order` + 1 characters; and a path to drop when it has been used.
+
+    Every distinct end of a gram is one row, so a context, or a shorter end, is met by no more rows than there are
+    characters: no key of a join is hot.  Probabilities are then found from the shortest ends to the longest.
+    """
     contexts = counts.groupBy(F.substring("gram", F.lit(1), F.length("gram") - 1).alias("ctx")).agg(*(f(k).alias(f"{k}_{n}") for k in ("yes", "no") for f, n in ((F.sum, "n"), (lambda x: F.count_if(F.col(x) > 0), "t"))))
-    # one more than the characters met
-    side = spark.range(1).select((counts.where(F.length("gram") == 1).agg(F.count("*")).scalar() + 1).cast("double").alias("side"))
-    levels = grams.distinct().select("gram", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("k")).select("gram", "k", F.right("gram", F.col("k")).alias("end"))
+    levels = grams.distinct().select("gram", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("k")).select("k", F.right("gram", F.col("k")).alias("end")).distinct()
     levels = levels.withColumn("ctx", F.substring("end", F.lit(1), F.col("k") - 1))
     met = levels.join(counts.withColumnRenamed("gram", "end"), "end", "left").join(contexts, "ctx", "left")
     numbers = [F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("yes", "no", "yes_n", "no_n", "yes_t", "no_t")]
-    folded = met.select("gram", F.struct("k", *numbers).alias("level")).groupBy("gram").agg(F.array_sort(F.collect_list("level")).alias("levels")).crossJoin(F.broadcast(side))  # one row
+    met, met_at = cut(met.select("k", "end", *numbers), "url-levels")
 
-    def log_of(c: str) -> Column:
-        weight = lambda l: F.greatest(l[f"{c}_t"], F.lit(1.0))
-        return F.log(F.aggregate("levels", 1.0 / F.col("side"), lambda p, l: (l[c] + weight(l) * p) / (l[f"{c}_n"] + weight(l))))
+    def chance(c: str, shorter: Column) -> Column:
+        weight = F.greatest(F.col(f"{c}_t"), F.lit(1.0))
+        return ((F.col(c) + weight * shorter) / (F.col(f"{c}_n") + weight)).alias(f"p_{c}")
 
-    return folded.select("gram", (log_of("yes") - log_of("no")).alias("v"))
+    # one more than the characters met
+    side = (counts.where(F.length("gram") == 1).agg(F.count("*")).scalar() + 1).cast("double")
+    found = met.where("k = 1").select("end", *(chance(c, 1.0 / side) for c in ("yes", "no")))
+    for k in range(2, order + 2):
+        shorter = found.select(F.col("end").alias("tail"), F.col("p_yes").alias("s_yes"), F.col("p_no").alias("s_no"))
+        longer = met.where(F.col("k") == k).withColumn("tail", F.right("end", F.lit(k - 1)))
+        found = longer.join(shorter, "tail").select("end", *(chance(c, F.col(f"s_{c}")) for c in ("yes", "no")))
+    return found.select(F.col("end").alias("gram"), (F.log("p_yes") - F.log("p_no")).alias("v")), met_at
 
 
 def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -116,12 +125,14 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str,
     open_ = parsed.where(F.col("_rule").isNull())
 
     labelled = parsed.where(F.col("_rule").isNotNull()).select("_text", "_by_rule", F.pmod(F.xxhash64("_text"), F.lit(HOLD)).alias("_fold"))
-    counts, _ = cut(gram_counts(labelled.where("_fold <> 0")), "url-counts")
+    counts, counts_at = cut(gram_counts(labelled.where("_fold <> 0")), "url-counts")
     # each URL once; a row of the held-out ones for each time they were met
     texts = open_.select("_text").union(labelled.where("_fold = 0").select("_text")).where("_text <> ''").distinct()
     places = texts.select(F.unhex(F.md5("_text")).alias("_key"), F.explode(grams_of(F.col("_text"))).alias("gram"))
-    ratios = gram_ratios(places.select("gram"), counts).select("gram", F.round(F.col("v") * UNITS).cast("long").alias("v"))
+    ratios, levels_at = gram_ratios(places.select("gram"), counts)
+    ratios = ratios.select("gram", F.round(F.col("v") * UNITS).cast("long").alias("v"))
     scores, _ = cut(places.join(ratios, "gram").groupBy("_key").agg((F.sum("v") / F.count("*") / UNITS).alias("_ratio")), "url-scores")
+    drop(parsed.sparkSession, counts_at, levels_at)
 
     key = F.unhex(F.md5("_text")).alias("_key")
     held = labelled.where("_fold = 0").select("_by_rule", key).join(scores, "_key").select("_by_rule", F.col("_ratio").alias("r"))
