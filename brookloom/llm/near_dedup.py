@@ -20,7 +20,8 @@ are edits of) is the bucket's pivot, and each member is verified against it.  Th
 cut into parts of about PART, and a part gets the pivot's text once.  Where a bucket then still holds
 several components, its members outside the pivot's component are compared with all members whose size
 allows the similarity, exactly and in tiles of about BLOCK x BLOCK by matrix products; a tile returns a
-forest of its links.  A pair in one component needs no test, as its link changes nothing.  So no link
+forest of its links.  What a bucket's members are told of it goes to parts of about PART of them, so that no
+join by bucket or by pivot has one task for a whole bucket.  A pair in one component needs no test, as its link changes nothing.  So no link
 between nodes that share a bucket is lost, no task gets more than tiles, and no pairs are written out.
 Components come from alternating large-star and small-star rounds on tables in the shared folder; leaves
 of stars are pointed to one of their pivots first, so that the hub of a star is not one task.
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -378,6 +379,17 @@ def _links_of_tile(held: list[tuple], threshold: float) -> list[tuple[bytes, byt
     return out
 
 
+def _part(n: str) -> Column:
+    """Which of its bucket's parts of about PART members a node is in, of n members (null: one part)."""
+    return F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col(n) / PART), F.lit(1)))
+
+
+def _parts(n: str | Column) -> Column:
+    """A row for each part of a bucket of n members (null: one part)."""
+    size = F.col(n) if isinstance(n, str) else n
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.ceil(size / PART), F.lit(1)) - 1))
+
+
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """For each row: id_col, class_id (the smallest id of its class), class_size (rows), kept, and node (null without words)."""
     spark: SparkSession = docs.sparkSession
@@ -387,26 +399,32 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     features, features_at = cut(rows.select("i", "own", "t").mapInArrow(tidied(_features), _FEATURES), "near-features")
     corpus = _Corpus(rows, features)
     signed = features.where("bands IS NOT NULL")
-    band_rows = signed.select("node", "size", F.explode("bands").alias("key")).distinct()
-    shared = band_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live, live_at = cut(band_rows.join(shared, "key"), "near-buckets")
+    band_rows, band_rows_at = cut(signed.select("node", "size", F.explode("bands").alias("key")).distinct(), "near-bands")
+    shared, shared_at = cut(band_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    most = max(PART, (shared.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(shared.where(F.col("n") > most).select("key", F.col("n").alias("of_hot")))  # HOT rows at most
+    dealt = band_rows.join(hot, "key", "left").withColumn("part", _part("of_hot")).drop("of_hot")
+    counts = shared.withColumn("part", _parts(F.when(F.col("n") > most, F.col("n"))))
+    live, live_at = cut(dealt.join(counts, ["key", "part"]).drop("part"), "near-buckets")
+    drop(spark, band_rows_at, shared_at)
     degree = live.groupBy("node").agg(F.sum("n").alias("degree"))
-    pivots = live.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
-    members, members_at = cut(live.join(pivots, "key"), "near-members")
+    pivots = live.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"), F.max("n").alias("n"))
+    pivots = pivots.select("key", F.col("top.node").alias("pivot"), _parts("n").alias("part"))
+    members, members_at = cut(live.withColumn("part", _part("n")).join(pivots, ["key", "part"]), "near-members")
     pairs, pairs_at = cut(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs")
     links, links_at = verified(pairs, corpus, threshold)
     found, found_at = components(links)
     drop(spark, pairs_at, live_at)
 
     # buckets that still hold several components: compare who is outside the pivot's with all
-    roots = members.where("n > 2").join(found, "node", "left").select("key", "node", "size", "pivot", F.coalesce("root", "node").alias("root"))
-    of_pivot = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    roots = roots.join(of_pivot, "pivot", "left").withColumn("apart", F.col("root") != F.coalesce("pivot_root", "pivot"))
+    roots = members.where("n > 2").join(found, "node", "left").select("key", "part", "n", "node", "size", "pivot", F.coalesce("root", "node").alias("root"))
     # similar members have sizes in one class or in neighbouring ones: classes are a factor of the threshold wide
     roots = roots.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -float(np.log(threshold)) + 1e-9))
+    per_bucket = roots.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("pivot_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"))
+    per_bucket = per_bucket.where("low <> high").select("key", "pivot_root", _parts("n").alias("part"))
+    still = roots.where("node <> pivot").join(per_bucket, ["key", "part"])
+    still, still_at = cut(still.select("key", "class", "node", "root", (F.col("root") != F.col("pivot_root")).alias("apart")), "near-still")
     out = F.count_if("apart").alias("out")
-    per_bucket = roots.groupBy("key").agg(out).where("out > 0").select("key")
-    still, still_at = cut(roots.where("node <> pivot").join(per_bucket, "key").select("key", "class", "node", "root", "apart"), "near-still")
     sizes, sizes_at = cut(still.groupBy("key", "class").agg(F.count("*").alias("n"), out), "near-classes")
     texts, texts_at = cut(corpus.texts(still.select("node").distinct()), "near-texts")
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
