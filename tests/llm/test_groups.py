@@ -104,6 +104,7 @@ def near_rows(seed, n=260):
 @pytest.mark.parametrize("seed", [1])
 def test_near_copies_are_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)  # several tiles in a bucket
+    monkeypatch.setattr(near_dedup, "PART", 32)  # several parts of a bucket and of a pivot
     rows = near_rows(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class_id int").repartition(3)
     found = rows_of(near_dedup.near_duplicates(df))
