@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, entropy_mix, exact_dedup, fill_middle, langid, near_dedup, quality, token_count, token_files, toxicity, url_filter
+from . import decontaminate, entropy_mix, exact_dedup, fill_middle, langid, name_join, near_dedup, quality, token_count, token_files, toxicity, url_filter
 from .common import held_out
 
 
@@ -79,6 +79,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), own.alias("restored_sha256"))
 
 
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = _table(spark, sf_dir, "clients").select("client_id", "name")
+    return name_join.summed_matches(clients, _table(spark, sf_dir, "vendors").select("vendor_id", "name"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_entropy_mix": op10_entropy_mix,
     "op11_fill_middle": op11_fill_middle,
+    "op13_name_join": op13_name_join,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
