@@ -84,11 +84,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
             return
 
 
-def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: its lineage ends there and survives lost executors."""
+def cut(df: DataFrame, tag: str, **options: int) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: its lineage ends there and survives lost executors.  options: of the writer."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

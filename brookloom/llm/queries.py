@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, entropy_mix, exact_dedup, fill_middle, langid, name_join, near_dedup, quality, token_count, token_files, toxicity, url_filter
+from . import class_lm, decontaminate, entropy_mix, exact_dedup, fill_middle, langid, name_join, near_dedup, quality, token_count, token_files, toxicity, url_filter
 from .common import held_out
 
 
@@ -79,6 +79,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), own.alias("restored_sha256"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held)
+    return class_lm.fit_and_score(docs, train=~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     clients = _table(spark, sf_dir, "clients").select("client_id", "name")
     return name_join.summed_matches(clients, _table(spark, sf_dir, "vendors").select("vendor_id", "name"))
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_entropy_mix": op10_entropy_mix,
     "op11_fill_middle": op11_fill_middle,
+    "op12_class_lm": op12_class_lm,
     "op13_name_join": op13_name_join,
 }
 
