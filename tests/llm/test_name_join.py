@@ -45,9 +45,13 @@ def test_descent_is_brute_force(most):
         width = rng.randint(1, 8)
         word = lambda n: "".join(rng.choice("abé") for _ in range(n))
         names = sorted({word(width) for _ in range(rng.randint(1, 40))})
-        texts = [word(rng.randint(max(1, width - most), width + most)) for _ in range(20)]
-        got = {(names[a], texts[b], int(k)) for a, b, k in zip(*name_join._search(names, width, texts, most), strict=True)}
-        assert got == {(a, b, osa(a, b)) for a in names for b in texts if osa(a, b) <= most}
+        texts = [word(rng.randint(max(1, width - most), width + most)) for _ in range(20)] + [x[:k] + x[k : k + 2][::-1] + x[k + 2 :] for x in names for k in [rng.randrange(width)]]
+        want = sorted((a, b, osa(a, b)) for a in names for b in texts if osa(a, b) <= most)
+        got = sorted((names[a], texts[b], int(k)) for a, b, k in zip(*name_join._search(names, width, texts, most), strict=True))
+        assert got == want
+        back = name_join._search([x[::-1] for x in names], width, [x[::-1] for x in texts], most, name_join.BACKWARD)
+        ahead = name_join._search(names, width, texts, most, name_join.FORWARD)
+        assert sorted((names[a], texts[b], int(k)) for part in (ahead, back) for a, b, k in zip(*part, strict=True)) == want
 
 
 NAMES = ["Anna Karlsson", "Ana Karlsson", "Anna Karlson", "nAna Karlsson", "Jo", "oJ", "J", "", None, "中文", "文中", "🙂", "a b", "ab ", "Anna Karlsson ", "Jo  Jo", "x" * 300, "x" * 299 + "y", "a\x00b", "ca", "abc"]
