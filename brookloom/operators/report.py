@@ -48,9 +48,9 @@ def first_last_deltas(scored: DataFrame, thread: str, order: list[str], categori
 
 
 def positive_share(deltas: DataFrame, categories: list[str] = RUBRIC) -> DataFrame:
-    """category, count of threads with a positive delta, and percent of all threads, in one pass."""
-    sums = deltas.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"delta_{c}") > 0).alias(c) for c in categories))
-    long = sums.unpivot("n", categories, "category", "count")
+    """category, count of threads with a positive delta, and its percent of the counts of all categories, in one pass."""
+    sums = deltas.agg(*(F.count_if(F.col(f"delta_{c}") > 0).alias(c) for c in categories))
+    long = sums.withColumn("n", reduce(lambda a, b: a + b, (F.col(c) for c in categories))).unpivot("n", categories, "category", "count")
     return long.select("category", F.col("count").cast("bigint").alias("count"), percent(F.col("count"), F.col("n")).alias("percent"))
 
 
@@ -144,6 +144,99 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy("section", "group", F.try_to_number(F.col("key"), F.lit("S9999999999")).asc_nulls_last(), F.asc_nulls_last("key"), F.asc_nulls_last("metric"))
 
 
+# ---- the whole report in one pass
+
+#: Section names of the report.
+SECTIONS = {
+    "replies": ("A. mentor_replies_distribution", "E1. mentor_replies_by_service", "E4. mentor_replies_by_mentor", "E7. mentor_replies_by_school"),
+    "revisions": ("B. student_revisions_distribution", "E2. student_revisions_by_service", "E5. student_revisions_by_mentor", "E8. student_revisions_by_school"),
+    "total": ("C. total_score_improvement_distribution", "E3. total_score_improvement_by_service", "E6. total_score_improvement_by_mentor", "E9. total_score_improvement_by_school"),
+    "category": ("C. {}_improvement_distribution", "E3_cat.{}_by_service", "E6_cat.{}_by_mentor", "E9_cat.{}_by_school"),
+    "scored": "C. scored_threads_summary",
+    "summary": "C. total_score_improvement_summary",
+    "share": "C. category_positive_improvement_share",
+    "by_replies": "D. correlation_replies_vs_score_change",
+    "by_revisions": "D. correlation_revisions_vs_score_change",
+    "hours": "F. time_to_reply_median_hours_distribution",
+    "by_time": "F. correlation_reply_time_vs_score_change",
+}
+FACTORS = ["service_name", "mentor_label", "school_name"]
+
+
+def thread_features(messages: DataFrame, thread: str, *, reply: Column, scored: Column, order: list[Column], seconds: Column, scores: dict[str, Column], carry: list[str]) -> DataFrame:
+    """One row for each thread: what the report counts, in one aggregation.
+
+    messages: a row for each reply, and one for a thread without any.  reply: not null where there is one;
+    scored: whether it has scores (missing ones count as 0); order: breaks all ties of first and last;
+    carry: columns of the thread.  Deltas are null without scored replies, the median without times.
+    """
+    own = F.struct(*(F.coalesce(c, F.lit(0)).alias(k) for k, c in scores.items()))
+    when = F.when(scored, F.struct(*order))
+    ends = messages.groupBy(thread, *carry).agg(
+        F.count(reply).alias("mentor_reply_count"), F.count_if(scored).alias("scored_replies"), F.median(seconds).alias("reply_seconds_median"),
+        F.min_by(own, when).alias("_first"), F.max_by(own, when).alias("_last"))
+    each = {f"delta_{k}": (F.col(f"_last.{k}") - F.col(f"_first.{k}")).cast("double") for k in scores}
+    out = ends.withColumns(each).drop("_first", "_last")
+    return out.withColumn("delta_total", reduce(lambda a, b: a + b, (F.col(k) for k in each)))
+
+
+def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFrame:
+    """All sections of the report (COLUMNS) from one table of features by thread, read once.
+
+    features: mentor_reply_count, student_revisions, scored_replies, delta_<category>, delta_total,
+    reply_seconds_median and FACTORS.  A thread makes a row for each cell that counts it; cells are summed
+    before they are shuffled, and percents, means, medians and correlations come from the sums.  Sections
+    that are there without threads (summaries, shares, correlations) get a row of weight 0.
+    """
+    null, number = F.lit(None), lambda c: F.col(c).cast("double")
+    eligible = F.col("delta_total").isNotNull() & (F.col("scored_replies") >= 2)
+
+    def cell(sections, key, *, every=F.lit(True), alone=False, category=None, x=null, y=null):
+        names = [sections] * 4 if isinstance(sections, str) else sections
+        return F.struct(
+            *(F.lit(n).alias(f"s{i}") for i, n in enumerate(names)), bin_half_even(key).alias("key"), every.alias("every"), F.lit(alone).alias("alone"),
+            F.lit(category).cast("string").alias("category"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(1).alias("weight"))
+
+    alone = lambda name, key=null, on=None, **more: F.when(on, cell(SECTIONS[name], key.cast("double"), alone=True, **more))
+    median = F.col("reply_seconds_median")
+    counted = [
+        cell(SECTIONS["replies"], number("mentor_reply_count")), cell(SECTIONS["revisions"], number("student_revisions")),
+        F.when(F.col("delta_total").isNotNull(), cell(SECTIONS["total"], number("delta_total"), every=eligible)),
+        *(F.when(F.col(f"delta_{c}").isNotNull(), cell([n.format(f"delta_{c}") for n in SECTIONS["category"]], number(f"delta_{c}"), every=eligible)) for c in categories),
+        alone("scored", on=F.col("scored_replies") >= 2), alone("summary", F.col("delta_total"), on=eligible),
+        *(alone("share", on=F.col(f"delta_{c}") > 0, category=c) for c in categories),
+        alone("by_replies", on=eligible, x=F.col("mentor_reply_count"), y=F.col("delta_total")), alone("by_revisions", on=eligible, x=F.col("student_revisions"), y=F.col("delta_total")),
+        alone("hours", median / 3600, on=median.isNotNull()), alone("by_time", on=median.isNotNull() & F.col("delta_total").isNotNull(), x=median, y=F.col("delta_total")),
+    ]
+    cells = features.select(*FACTORS, F.explode(F.array_compact(F.array(*counted))).alias("c"))
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("NULL"))
+    place = lambda k, group: F.struct(F.col(f"c.s{k}").alias("section"), group.alias("group"))
+    everywhere, by = place(0, F.lit("ALL")), [place(k + 1, named(c)) for k, c in enumerate(FACTORS)]
+    places = F.when(F.col("c.alone"), F.array(everywhere)).when(F.col("c.every"), F.array(everywhere, *by)).otherwise(F.array(*by))
+    cells = cells.select("c", F.explode(places).alias("p")).select("p.section", "p.group", "c.key", "c.category", "c.x", "c.y", "c.weight")
+    always = [(SECTIONS[n], None) for n in ("scored", "summary", "by_replies", "by_revisions", "by_time")] + [(SECTIONS["share"], c) for c in categories]
+    empty = features.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.lit("ALL").alias("group"), F.lit(None).cast("bigint").alias("key"), F.lit(c).cast("string").alias("category"), *(F.lit(None).cast("double").alias(k) for k in "xy"), F.lit(0).alias("weight")) for n, c in always))).alias("e")).select("e.*")
+    summed = cells.unionByName(empty).groupBy("section", "group", "key", "category").agg(
+        F.sum("weight").alias("count"), pearson(F.col("x"), F.col("y")).alias("_r"), F.count("x").alias("_pairs"))
+
+    group = Window.partitionBy("section", "group")
+    known = F.sum(F.when(F.col("key").isNotNull(), F.col("count"))).over(group)
+    up_to = F.sum("count").over(group.orderBy(F.asc_nulls_first("key")))
+    least = lambda reached: F.min(F.when(reached, F.col("key"))).over(group)
+    table = summed.withColumns({"_all": F.sum("count").over(group), "_known": known, "_to": up_to})
+    table = table.withColumns({"_mean": F.sum(F.col("key") * F.col("count")).over(group) / F.col("_known"), "_median": (least(2 * F.col("_to") >= F.col("_known")) + least(2 * F.col("_to") > F.col("_known"))) / 2})
+    at = lambda *names: F.col("section").isin(*(SECTIONS[n] for n in names))
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("percent"))
+    rows = (
+        F.when(at("scored"), F.array(metric("threads_with_2plus_scored_responses", F.col("count"))))
+        .when(at("summary") & F.col("key").isNull(), F.array(metric("mean_delta_total", F.bround("_mean", 3)), metric("median_delta_total", F.bround("_median", 3))))
+        .when(at("summary"), F.array().cast("array<struct<metric:string,value:double,count:bigint,percent:double>>"))
+        .when(at("by_replies", "by_revisions", "by_time"), F.array(metric("pearson_r", F.col("_r")), metric("n_pairs", F.col("_pairs"))))
+        .otherwise(F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("count"), percent(F.col("count"), F.col("_all")).alias("percent"))))
+    )
+    return report_rows(table.select("section", "group", "key", "category", F.explode(rows).alias("r")).select("section", "group", "key", "category", "r.*"))
+
+
 def archive_name(section: Column, group: Column, key: Column) -> Column:
     """The name of the archive of a report row's members."""
     return F.concat(safe_name(F.concat_ws("_", section, group, F.concat(F.lit("key_"), F.coalesce(key.cast("string"), F.lit("NULL"))))), F.lit(".zip"))

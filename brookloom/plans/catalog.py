@@ -168,7 +168,8 @@ def q_delta_by_mentor(spark, d):
     return _delta_by(spark, d, "mentor")
 
 
-@query(sqlfmt("WITH {scored}, {deltas}, n AS (SELECT count(*) AS n FROM deltas) ") + " UNION ALL ".join(f"SELECT '{c}' AS category, (SELECT count(*) FROM deltas WHERE delta_{c} > 0) AS count, round_even(100.0 * (SELECT count(*) FROM deltas WHERE delta_{c} > 0) / n, 2) AS percent FROM n" for c in SCORES))
+@query(sqlfmt("WITH {scored}, {deltas}, p AS (") + " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (delta_{c} > 0) AS count FROM deltas" for c in SCORES) + """)
+SELECT category, count, CASE WHEN sum(count) OVER () = 0 THEN 0.0 ELSE round_even(100.0 * count / sum(count) OVER (), 2) END AS percent FROM p""")
 def q_positive_share(spark, d):
     return report.positive_share(deltas(spark, d))
 
@@ -183,12 +184,12 @@ def q_pearson_ttr_delta(spark, d):
     return report.correlation(reply_times(spark, d).join(deltas(spark, d), "thread"), "reply_seconds_median", "delta_total")
 
 
-@query(sqlfmt("""WITH {ttr}, x AS (SELECT coalesce(round_even(med / 3600, 0)::BIGINT::VARCHAR, 'NULL') AS key FROM orders LEFT JOIN ttr ON o_orderkey = thread)
+@query(sqlfmt("""WITH {ttr}, x AS (SELECT round_even(med / 3600, 0)::BIGINT AS key FROM ttr WHERE med IS NOT NULL)
 SELECT 'F' AS section, 'hours' AS "group", key, count(*) AS count, round_even(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM x GROUP BY key"""))
 def q_reply_time_hours(spark, d):
-    all_threads = table(spark, d, "orders").select(F.col("o_orderkey").alias("thread"))
-    joined = all_threads.join(reply_times(spark, d), "thread", "left")
-    return report.distribution(joined, report.hours_bin(F.col("reply_seconds_median")), "F", "hours")
+    """Threads by the hours of their median reply time; those without one are left out."""
+    timed = reply_times(spark, d).where("reply_seconds_median IS NOT NULL")
+    return report.distribution(timed, bin_half_even(F.col("reply_seconds_median") / 3600), "F", "hours")
 
 
 @query("""WITH c AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)

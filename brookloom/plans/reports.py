@@ -9,37 +9,66 @@ from ..operators import conversation as conv
 from ..operators import report
 from ..sources import sinks
 from ..sources.tables import table
-from .catalog import ORACLE_SQL, QUERIES, deltas, query, sqlfmt, turns
-
-_SPARSE = 'section, "group", key::VARCHAR AS key, count, percent, NULL::VARCHAR AS metric, NULL::DOUBLE AS value, NULL::VARCHAR AS category'
-_COUNTED = ["q_reply_distribution", "q_revision_distribution", "q_score_delta_distribution", "q_reply_time_hours"]
-_BY = {"E1": "q_delta_by_service", "E2": "q_delta_by_school", "E3": "q_delta_by_mentor"}
-
-
-def _part(name: str, columns: str = _SPARSE) -> str:
-    return f"SELECT {columns} FROM ({ORACLE_SQL[name]})"
-
-
-_REPORT = [_part(n) for n in _COUNTED]
-_REPORT.append(_part("q_category_delta_distribution", "'C_' || substr(category, 7), 'category', key::VARCHAR, count, percent, NULL, NULL, NULL"))
-_REPORT += [_part(n, f"'{s}', \"group\", key::VARCHAR, count, percent, NULL, NULL, NULL") for s, n in _BY.items()]
-_REPORT.append(_part("q_positive_share", "'C', 'category_positive_improvement_share', NULL, count, percent, NULL, NULL, category"))
-_REPORT.append(_part("q_delta_mean_median", "'C', 'total', NULL, NULL, NULL, unnest(['threads_with_2plus_scored_responses', 'mean_delta_total', 'median_delta_total']), unnest([threads::DOUBLE, mean_delta_total, median_delta_total]), NULL"))
-for _s, _n in (("D", "q_pearson_replies_delta"), ("F", "q_pearson_ttr_delta")):
-    _REPORT.append(_part(_n, f"'{_s}', 'correlation', NULL, NULL, NULL, unnest(['pearson_r', 'n_pairs']), unnest([pearson_r, n_pairs::DOUBLE]), NULL"))
-
-
-@query(" UNION ALL ".join(_REPORT))
+from .catalog import ORDER, SCORES, deltas, query, sqlfmt, turns
+
+_NULL_KEY = "NULL::BIGINT AS key, NULL::VARCHAR AS category"
+_CELLS: list[str] = []
+for _kind, _value in [("replies", "replies_all"), ("revisions", "revisions"), ("total", "delta_total"), *((f"delta_{c}", f"delta_{c}") for c in SCORES)]:
+    _all, *_by = report.SECTIONS.get(_kind) or [n.format(_kind) for n in report.SECTIONS["category"]]
+    _CELLS.append(f"SELECT '{_all}' AS section, 'ALL' AS grp, {_value} AS key, NULL::VARCHAR AS category FROM f WHERE {_value} IS NOT NULL" + (" AND scored >= 2" if _value.startswith("delta") else ""))
+    _CELLS += [f"SELECT '{_s}', {_g}, {_value}, NULL FROM f WHERE {_value} IS NOT NULL" for _s, _g in zip(_by, ("service", "mentor", "school"), strict=True)]
+_CELLS.append(f"SELECT '{report.SECTIONS['hours']}', 'ALL', round_even(med / 3600, 0)::BIGINT, NULL FROM f WHERE med IS NOT NULL")
+
+
+def _metric(section: str, name: str, value: str, source: str) -> str:
+    return f"SELECT '{report.SECTIONS[section]}' AS section, 'ALL' AS \"group\", NULL::VARCHAR AS key, NULL::BIGINT AS count, NULL::DOUBLE AS percent, '{name}' AS metric, ({value})::DOUBLE AS value, NULL::VARCHAR AS category FROM {source}"
+
+
+def _correlated(section: str, x: str, where: str) -> list[str]:
+    r = f"CASE WHEN count(*) >= 3 AND stddev_pop({x}) * stddev_pop(delta_total) > 0 THEN round_even(covar_pop({x}::DOUBLE, delta_total::DOUBLE) / (stddev_pop({x}) * stddev_pop(delta_total)), 4) END"
+    return [_metric(section, "pearson_r", r, f"f WHERE {where}"), _metric(section, "n_pairs", "count(*)", f"f WHERE {where}")]
+
+
+_REPORT = [
+    "SELECT section, grp AS \"group\", key::VARCHAR AS key, count(*) AS count, round_even(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY section, grp), 2) AS percent, NULL::VARCHAR AS metric, NULL::DOUBLE AS value, category FROM cells GROUP BY section, grp, key, category",
+    _metric("scored", "threads_with_2plus_scored_responses", "count(*)", "f WHERE scored >= 2"),
+    _metric("summary", "mean_delta_total", "round_even(avg(delta_total), 3)", "f WHERE scored >= 2"),
+    _metric("summary", "median_delta_total", "round_even(median(delta_total), 3)", "f WHERE scored >= 2"),
+    *_correlated("by_replies", "replies_all", "scored >= 2"), *_correlated("by_revisions", "revisions", "scored >= 2"),
+    *_correlated("by_time", "med", "med IS NOT NULL AND delta_total IS NOT NULL"),
+    f"SELECT '{report.SECTIONS['share']}', 'ALL', NULL, count, CASE WHEN sum(count) OVER () = 0 THEN 0.0 ELSE round_even(100.0 * count / sum(count) OVER (), 2) END, NULL, NULL, category FROM shares",
+]
+_FEATURES = sqlfmt("""WITH {scored}, {deltas}, {ttr}, rep AS (SELECT l_orderkey AS thread, count(*) AS n FROM lineitem GROUP BY 1),
+rev AS (SELECT conv_id AS thread, greatest(count(*) FILTER (role = 'user') - 1, 0) AS n FROM conversations GROUP BY 1),
+f AS (SELECT o_orderkey AS thread, coalesce(rep.n, 0) AS replies_all, coalesce(rev.n, 0) AS revisions, coalesce(deltas.replies, 0) AS scored, delta_total, """ + ", ".join(f"delta_{c}" for c in SCORES) + """, med,
+  coalesce(nullif(c_mktsegment, ''), 'NULL') AS service, CASE WHEN o_custkey IS NULL THEN 'NULL' ELSE concat_ws(' - ', o_custkey::VARCHAR, nullif(trim(c_name), '')) END AS mentor, coalesce(nullif(n_name, ''), 'NULL') AS school
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN rep ON rep.thread = o_orderkey LEFT JOIN rev ON rev.thread = o_orderkey
+  LEFT JOIN deltas ON deltas.thread = o_orderkey LEFT JOIN ttr ON ttr.thread = o_orderkey),
+""")
+
+
+def thread_table(spark, d):
+    """Features of the threads: one scan of each table; orders and lineitem meet, and are aggregated, in one partitioning."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    replies = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", *ORDER)
+    joined = orders.join(replies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    seconds = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / 1000000
+    features = report.thread_features(
+        joined, "o_orderkey", reply=F.col("l_orderkey"), scored=F.col("l_returnflag") != "R", order=[F.col(c) for c in ORDER], seconds=seconds,
+        scores={k: F.expr(v) for k, v in SCORES.items()}, carry=["o_custkey"])
+    revised = table(spark, d, "conversations").groupBy("conv_id").agg(F.greatest(F.count_if(F.col("role") == "user") - 1, F.lit(0)).alias("student_revisions"))
+    mentors = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    schools = table(spark, d, "nation").select("n_nationkey", "n_name")
+    mentored = features.join(revised, F.col("o_orderkey") == F.col("conv_id"), "left").join(mentors.join(schools, F.col("c_nationkey") == F.col("n_nationkey"), "left"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return mentored.select(
+        F.col("o_orderkey").alias("thread"), "mentor_reply_count", F.coalesce("student_revisions", F.lit(0)).alias("student_revisions"), "scored_replies", "reply_seconds_median", "delta_total",
+        *(f"delta_{c}" for c in SCORES), F.col("c_mktsegment").alias("service_name"), report.label(F.col("o_custkey"), F.col("c_name")).alias("mentor_label"), F.col("n_name").alias("school_name"))
+
+
+@query(_FEATURES + "cells AS (" + " UNION ALL ".join(_CELLS) + "), shares AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (delta_{c} > 0) AS count FROM f" for c in SCORES) + ") " + " UNION ALL ".join(_REPORT))
 def q_base_report(spark, d):
     """Every section as rows of one sparse table, in order."""
-    run = {n: QUERIES[n](spark, d) for n in [*_COUNTED, *_BY.values(), "q_category_delta_distribution", "q_positive_share", "q_delta_mean_median", "q_pearson_replies_delta", "q_pearson_ttr_delta"]}
-    parts = [run[n] for n in _COUNTED]
-    parts.append(run["q_category_delta_distribution"].select(F.concat(F.lit("C_"), F.substring("category", 7, 99)).alias("section"), F.lit("category").alias("group"), "key", "count", "percent"))
-    parts += [run[n].withColumn("section", F.lit(s)) for s, n in _BY.items()]
-    parts.append(run["q_positive_share"].withColumns({"section": F.lit("C"), "group": F.lit("category_positive_improvement_share")}))
-    parts.append(report.metrics(run["q_delta_mean_median"].withColumnRenamed("threads", "threads_with_2plus_scored_responses"), "C", "total", ["threads_with_2plus_scored_responses", "mean_delta_total", "median_delta_total"]))
-    parts += [report.metrics(run[n], s, "correlation", ["pearson_r", "n_pairs"]) for s, n in (("D", "q_pearson_replies_delta"), ("F", "q_pearson_ttr_delta"))]
-    return report.in_order(report.assembled(parts))
+    return report.in_order(report.whole_report(thread_table(spark, d)))
 
 
 @query(sqlfmt("""WITH {scored}, {deltas}, r AS (SELECT conv_id AS thread, greatest(count(*) FILTER (role = 'user') - 1, 0) AS revisions FROM conversations GROUP BY 1)
