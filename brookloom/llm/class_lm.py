@@ -38,10 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, bounded, cut, drop, ship, texts_of, tidied
+from .common import arrow_type, bounded, cut, drop, forget, ship, texts_of, tidied
 
-CLASSES, SEEDS, FREQUENT, ROUNDS, SWEEPS = 64, 1024, 8192, 3, 8
-BLOCK = 500_000
+CLASSES, SEEDS, FREQUENT, ROUNDS, SWEEPS = 64, 1024, 8192, 2, 8
+BLOCK = 4_000_000
+#: A word that is at least one of so many tokens in some block may be a frequent one.
+SHARE = 500_000
 ALPHA = 5.0
 END = b""
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -50,7 +52,7 @@ SCORES = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens"
 
 
 class _Places(dict):
-    """The place of each word in a list that grows."""
+    """The place of each word in a list that grows; the end is the first."""
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -70,16 +72,16 @@ def encode(docs: DataFrame, *, text_col: str, train: Column, keep: list[str], bl
     spark = docs.sparkSession
     ship(spark)
     sent = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(train, F.lit(False)).alias("_train"), F.col(f"`{text_col}`").alias("_text"))
-    row = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_", T.BooleanType())])
+    row = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_lm", T.BooleanType())])
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("lengths", T.BinaryType()), T.StructField("train", T.BinaryType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+        T.StructField("ids", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType())])
     arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema])
     kind = arrow.field("rows").type.value_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        places, rows, lengths, marks, ids, size = _Places(), [], [], [], [], 0
+        places, rows, lengths, marks, ids, size = _Places({END: 0}), [], [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             every, long = np.concatenate(ids), np.array(lengths, np.int32)
@@ -88,7 +90,7 @@ def encode(docs: DataFrame, *, text_col: str, train: Column, keep: list[str], bl
             all_rows = pa.concat_arrays(rows)
             values = [
                 pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(all_rows)], pa.int32()), all_rows), pa.array([long.tobytes()]), pa.array([mark.tobytes()]),
-                pa.array([every.tobytes()]), pa.array([list(places)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32()))]
+                pa.array([every.tobytes()]), pa.array([list(places)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())), pa.array([int(counts.sum())])]
             return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for whole in batches:
@@ -108,7 +110,7 @@ def encode(docs: DataFrame, *, text_col: str, train: Column, keep: list[str], bl
                         if size >= block:
                             yield closed()
                             number += 1
-                            places, rows, lengths, marks, ids, size = _Places(), [], [], [], [], 0
+                            places, rows, lengths, marks, ids, size = _Places({END: 0}), [], [], [], [], 0
         if size:
             yield closed()
 
@@ -120,65 +122,71 @@ def _kept(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return cut(df, tag, **{"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 16, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 16})
 
 
-@dataclass
 class Block:
-    """One block as arrays; before holds the token before each token, the end for the first of a text."""
+    """One block as arrays; ids are places in its words, of which the end is the first."""
+
+    def __init__(self, one: pa.RecordBatch) -> None:
+        get = lambda name, kind: np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_buffer(), kind)
+        self.ids, self.lengths = get("ids", np.int32), get("lengths", np.int32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.train = get("train", np.bool_)
 
-    ids: np.ndarray
-    lengths: np.ndarray
-    train: np.ndarray
-    starts: np.ndarray
+    def before(self) -> np.ndarray:
+        """The token before each token."""
+        out = np.empty_like(self.ids)
+        out[1:] = self.ids[:-1]
+        out[self.starts] = 0
+        return out
 
-    def pairs(self, code: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The codes of each token and of the one before it."""
-        own = code[self.ids]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[self.starts] = end
-        return before, own
+    def learned(self, *columns: np.ndarray) -> list[np.ndarray]:
+        """The values of the training tokens."""
+        if self.train.all():
+            return list(columns)
+        mark = np.repeat(self.train, self.lengths)
+        return [c[mark] for c in columns]
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for batch in batches:
         for k in range(batch.num_rows):
             one = batch.slice(k, 1)
-            get = lambda name, kind: np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_buffer(), kind)  # noqa: B023, E731
-            lengths = get("lengths", np.int32)
-            yield one, Block(get("ids", np.int32), lengths, np.repeat(get("train", np.bool_), lengths), np.cumsum(lengths) - lengths)
+            yield one, Block(one)
 
 
 def _words(one: pa.RecordBatch) -> pa.Array:
     return one.column(one.schema.get_field_index("words")).flatten()
 
 
+def placed(words: pa.Array, place: dict[bytes, int]) -> np.ndarray:
+    """The places of some words in a list; the place after the last for those that aren't in it."""
+    n, get = len(place), place.get
+    return np.fromiter((get(w, n) for w in words.to_pylist()), np.int64, len(words))
+
+
 # ---- frequent words
 
 
-def frequent(blocks: DataFrame, seeds: int, most: int) -> tuple[list[bytes], np.ndarray, int]:
-    """The words above the count that at most `most` words are above, their counts, and the training tokens.
+def frequent(blocks: DataFrame, seeds: int, most: int) -> list[bytes]:
+    """At most about `most` frequent words, the most frequent first, the end among the first `seeds`.
 
-    The most frequent come first; the end is always among the first `seeds`, as texts begin after it.
+    Words are ranked by their number in the blocks in which they aren't rare; how many there are in all is
+    counted later.  The grade of a word, a step of the logarithm, decides, so a grade is in or out as a whole.
     """
-    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0").groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
-    counted, path = cut(counted, "lm-counts")
+    listed = blocks.select("n", F.explode(F.arrays_zip("words", "counts")).alias("x")).where((F.col("x.counts") > 0) & (F.col("x.counts") >= F.col("n") / SHARE))
+    counted, path = cut(listed.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n")), "lm-counts")
     grade = F.floor(F.log2("n") * 16)
-    grades = sorted(((r["g"], r["k"], r["n"]) for r in counted.groupBy(grade.alias("g")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()), reverse=True)
+    grades = sorted((r for r in counted.groupBy(grade.alias("g")).agg(F.count("*").alias("k")).collect()), key=lambda r: -r["g"])
     above, least = 0, 0
-    for g, k, _ in grades:
-        if above + k > most:
-            least = g + 1
+    for r in grades:
+        if above + r["k"] > most:
+            least = r["g"] + 1
             break
-        above += k
+        above += r["k"]
     found = {bytes(r["word"]): r["n"] for r in counted.where(grade >= least).collect()}
-    if END not in found:
-        own = counted.where(F.col("word") == F.lit(END)).collect()
-        found[END] = own[0]["n"] if own else 0
     drop(blocks.sparkSession, path)
-    words = sorted(found, key=lambda w: (-found[w], w))
-    if words.index(END) >= seeds:
-        words.remove(END)
-        words.insert(seeds - 1, END)
-    return words, np.array([found[w] for w in words], np.int64), sum(n for _, _, n in grades)
+    words = sorted((w for w in found if w != END), key=lambda w: (-found[w], w))
+    words.insert(min(len(words), seeds - 1), END)
+    return words
 
 
 def beside(blocks: DataFrame, words: list[bytes], code: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +195,21 @@ def beside(blocks: DataFrame, words: list[bytes], code: np.ndarray, n_codes: int
     code: of each of the words; all other words have the last code.  Tasks sum up what they read, parts of the
     sums by word follow; words times codes is bounded by parameters.
     """
-    n, place, end = len(words), {w: k for k, w in enumerate(words)}, words.index(END)
+    n, place = len(words), {w: k for k, w in enumerate(words)}
     code = np.append(code, n_codes - 1).astype(np.int64)
     schema = "word int, after binary, before binary"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after, before = np.zeros((n, n_codes), np.int64), np.zeros((n, n_codes), np.int64)
+        after, before = np.zeros((n + 1) * n_codes, np.int64), np.zeros((n + 1) * n_codes, np.int64)
         for one, block in _blocks(batches):
-            get = place.get
-            local = np.fromiter((get(w, n) for w in _words(one).to_pylist()), np.int64)
-            left, right = (x[block.train] for x in block.pairs(local, end))
-            for table, word, other in ((after, left, right), (before, right, left)):
-                ours = word < n
-                table += np.bincount(word[ours] * n_codes + code[other[ours]], minlength=n * n_codes).reshape(n, n_codes)
-        yield from _rows(after, before, range(n))
+            local = placed(_words(one), place)
+            row, column = local * n_codes, code[local]
+            left, right = block.learned(block.before(), block.ids)
+            for at in range(0, len(left), 1 << 20):
+                a, b = left[at : at + (1 << 20)], right[at : at + (1 << 20)]
+                after += np.bincount(row[a] + column[b], minlength=len(after))
+                before += np.bincount(row[b] + column[a], minlength=len(before))
+        yield from _rows(after.reshape(-1, n_codes), before.reshape(-1, n_codes), range(n))
 
     def _rows(after: np.ndarray, before: np.ndarray, which: Iterable[int]) -> Iterator[pa.RecordBatch]:
         which = [k for k in which if after[k].any() or before[k].any()]
@@ -262,7 +271,7 @@ def exchange_seeds(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.
             k = np.arange(classes)
             middle = cells[k, k]
             gain += _xlogx(middle + s[k] + p[k] + loop) - _xlogx(middle + s[k]) - _xlogx(middle + p[k]) + _xlogx(middle)
-            rows, columns = own.sum(1), cells[:, :classes].sum(0)
+            rows, columns = own.sum(1) + p[k], cells[:, :classes].sum(0) + s[k]  # the neighbours' sums have the word wherever it goes
             gain -= _xlogx(rows + out) - _xlogx(rows) + _xlogx(columns + into) - _xlogx(columns)
             best = int(np.argmax(gain))
             if gain[best] <= gain[g] + 1e-9:
@@ -314,8 +323,8 @@ def exchange_round(after: np.ndarray, before: np.ndarray, code: np.ndarray, clas
     return np.where(may | (code == classes), worth.argmax(1), code)
 
 
-def cluster(blocks: DataFrame, words: list[bytes], classes: int, seeds: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the frequent words, and the counts of class by next class that they give."""
+def cluster(blocks: DataFrame, words: list[bytes], classes: int, seeds: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and counts of the frequent words, and the counts of class by next class that they give."""
     n, few = len(words), min(seeds, len(words))
     after, before = beside(blocks, words[:few], np.arange(few), few + 1)
     pairs = np.zeros((few + 1, few + 1))
@@ -327,7 +336,7 @@ def cluster(blocks: DataFrame, words: list[bytes], classes: int, seeds: int, rou
             break
         may = np.zeros(n, bool) if k == 0 else (np.arange(n) + k) % 2 == 0  # the first pass places the words without a class
         code = exchange_round(after, before, code, classes, may)
-    return code, class_cells(after, before, code, classes)
+    return code, before.sum(1).astype(np.int64), class_cells(after, before, code, classes)
 
 
 # ---- all other words
@@ -343,13 +352,11 @@ def placed_rest(blocks: DataFrame, words: list[bytes], code: np.ndarray, cells:
         """The classes before and after each place of a word, two bytes a place, by block."""
         for one, block in _blocks(batches):
             own_words = _words(one)
-            local = np.fromiter(((place.get(w, n)) for w in own_words.to_pylist()), np.int64)
+            local = placed(own_words, place)
             of = code[local]
-            left, _ = block.pairs(of, code[end])
-            right = np.empty_like(left)
+            left, right = of[block.before()], np.full(len(block.ids), code[end])  # the end is last, and no rare word
             right[:-1] = of[block.ids[1:]]
-            right[-1] = code[end]  # after the last end; no rare word is there
-            at = np.flatnonzero(block.train & (local[block.ids] == n))
+            at = np.flatnonzero((local == n)[block.ids] & np.repeat(block.train, block.lengths))
             at = at[np.argsort(block.ids[at], kind="stable")]
             which, first = np.unique(block.ids[at], return_index=True)
             sides = np.stack([left[at], right[at]], 1).reshape(-1)
@@ -412,34 +419,43 @@ class ClassModel:
 
 def looked_up(blocks: DataFrame, words: list[bytes], counts: np.ndarray, code: np.ndarray, rest: DataFrame, classes: int) -> tuple[DataFrame, str]:
     """The blocks with the class and count of each word instead of the words, and counts of class by next class of their training texts."""
-    place, n, end = {w: k for k, w in enumerate(words)}, len(words), words.index(END)
+    place, n = {w: k for k, w in enumerate(words)}, len(words)
     listed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    met = listed.join(rest, "word").groupBy(F.col("block").alias("_of")).agg(F.collect_list(F.struct("at", "n", "class")).alias("met"))
-    joined = blocks.join(met, F.col("block") == F.col("_of"), "left").select("rows", "lengths", "train", "ids", "words", "met")
+    met = listed.join(rest, "word").select(F.col("block").alias("of"), "at", "n", "class")
     schema = T.StructType([blocks.schema[c] for c in ("rows", "lengths", "train", "ids")] + [T.StructField("classes", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("moves", T.ArrayType(T.IntegerType()))])
-    code, counts = np.append(code, _UNKNOWN).astype(np.uint8), np.append(counts, 0)
+    arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema])
+    code, counts = np.append(np.where(counts > 0, code, _UNKNOWN), _UNKNOWN).astype(np.uint8), np.append(counts, 0)
+
+    def run(one: pa.Table, found: pa.Table) -> pa.Table:
+        one = one.combine_chunks().to_batches()[0]
+        block, local = Block(one), placed(_words(one), place)
+        own, seen = code[local], counts[local]
+        at = found.column("at").to_numpy()
+        own[at], seen[at] = found.column("class").to_numpy(), found.column("n").to_numpy()
+        left, right = block.learned(block.before(), block.ids)
+        moves = np.bincount(own[left].astype(np.int64) * classes + own[right], minlength=classes * classes).astype(np.int32)
+        extra = [pa.array([own.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([moves], pa.list_(pa.int32()))]
+        return _table(one, extra, arrow)
+
+    joined = blocks.select("block", "rows", "lengths", "train", "ids", "words").groupBy("block").cogroup(met.groupBy("of"))
+    return _kept(joined.applyInArrow(run, schema), "lm-classes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, block in _blocks(batches):
-            local = np.fromiter((place.get(w, n) for w in _words(one).to_pylist()), np.int64)
-            own, seen = code[local], counts[local]
-            found = one.column(5).flatten()
-            if len(found):
-                at, times, kind = (np.array(c) for c in found.flatten())
-                own[at], seen[at] = kind, times
-            left, right = (x[block.train].astype(np.int64) for x in block.pairs(own, code[end]))
-            moves = np.bincount(left * classes + right, minlength=classes * classes).astype(np.int32)
-            extra = [pa.array([own.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([moves], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*one.columns[:4], *extra], names=schema.names)
 
-    return _kept(joined.mapInArrow(tidied(run), schema), "lm-classes")
+def _table(one: pa.RecordBatch, extra: list[pa.Array], arrow: pa.Schema) -> pa.Table:
+    """The first columns of a schema from a block, the others as given."""
+    names = arrow.names[: len(arrow) - len(extra)]
+    return pa.Table.from_arrays([*(one.column(one.schema.get_field_index(c)).cast(arrow.field(c).type) for c in names), *extra], schema=arrow)
 
 
 def _fit(blocks: DataFrame, classes: int, seeds: int, most: int, rounds: int) -> tuple[ClassModel, DataFrame]:
-    words, counts, total = frequent(blocks, seeds, most)
-    code, cells = cluster(blocks, words, classes, seeds, rounds)
+    spark = blocks.sparkSession
+    words = frequent(blocks, seeds, most)
+    code, counts, cells = cluster(blocks, words, classes, seeds, rounds)
     rest, _ = cut(placed_rest(blocks, words, code, cells), "lm-words")
+    forget(spark)
     known, _ = looked_up(blocks, words, counts, code, rest, classes)
+    forget(spark)
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     more = rest.agg(F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("singles")).first()
     moves = np.zeros(classes * classes)
     for r in known.select(F.posexplode("moves").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each cell at most
@@ -450,7 +466,7 @@ def _fit(blocks: DataFrame, classes: int, seeds: int, most: int, rounds: int) ->
 
 def _scored(known: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
     classes = len(model.moves)
-    n, types, end = model.n, model.types, int(model.code[model.words.index(END)])
+    n, types = model.n, model.types
     size = model.moves.sum(0)
     share = (size + 1e-300) / max(size.sum(), 1)
     after = (model.moves + ALPHA * share) / (model.moves.sum(1)[:, None] + ALPHA)
@@ -465,14 +481,15 @@ def _scored(known: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, block in _blocks(batches):
             own, seen = np.frombuffer(one.column(4)[0].as_buffer(), np.uint8), np.frombuffer(one.column(5)[0].as_buffer(), np.int64)
-            left, right = block.pairs(own, end)
-            times = seen[block.ids]
-            is_known = right != _UNKNOWN
-            value = np.where(is_known, step[np.minimum(left, classes), np.minimum(right, classes - 1)] + np.log10(np.maximum(times, 1)), rare)
+            kind, ends = own.astype(np.int64), np.log10(np.maximum(seen, 1))
+            left, right = np.minimum(kind, classes)[block.before()], np.minimum(kind, classes - 1)[block.ids]
+            is_known = (own != _UNKNOWN)[block.ids]
+            value = np.where(is_known, step[left, right] + ends[block.ids], rare)
+            base = (np.log10(seen + 1.0) + floor)[block.ids]
             of = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
             rows = one.column(0).flatten()
             columns = [rows.field(c) for c in keep]
-            columns += [block.lengths, of(is_known.astype(np.int64)), np.full(len(block.lengths), n), of(np.log10(times + 1.0) + floor), of(value)]
+            columns += [block.lengths, of(is_known.astype(np.int64)), np.full(len(block.lengths), n), of(base), of(value)]
             yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return known.select("rows", "lengths", "train", "ids", "classes", "seen").mapInArrow(tidied(run), schema)

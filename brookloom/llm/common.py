@@ -92,6 +92,12 @@ def cut(df: DataFrame, tag: str, **options: int) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def forget(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM collects its garbage: have it do so."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, giving freed memory back to the system when a task ends: Python workers live on after their tasks."""
 
