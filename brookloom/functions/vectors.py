@@ -36,17 +36,29 @@ def aligned(a: Column, n: int) -> Column:
     return F.when(F.size(a) >= n, F.slice(a, 1, n)).otherwise(F.concat(a, F.array_repeat(F.lit(0.0).cast("float"), F.lit(n) - F.size(a))))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, block: int = 4096) -> DataFrame:
+def usable(df: DataFrame, embedding: str, size: int | None) -> DataFrame:
+    """Rows whose vector is there, holds no null and has the one size; without `size`, several sizes are an error."""
+    whole = df.where(F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull()))
+    if size is not None:
+        return whole.where(F.size(embedding) == size)
+    ends = whole.agg(F.min(F.size(embedding)).alias("least"), F.max(F.size(embedding)).alias("most")).first()
+    if ends["least"] != ends["most"]:
+        raise ValueError(f"vectors of {ends['least']} to {ends['most']} numbers: name the size that counts")
+    return whole
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, size: int | None = None, digits: int = 6, block: int = 4096) -> DataFrame:
     """query_id, vec_id, sim and rank of the k most similar corpus rows of each query.
 
     queries and corpus have id and embedding.  The queries are a stated set that is collected in blocks;
     the corpus streams past each block as matrix products, each task keeps its k best of each query, and
     only those meet in a window.  So the corpus is neither shuffled nor multiplied out.  Rows without an
-    embedding, or with one of another length than the first query's, are near nothing and are left out.
+    embedding, or with a null in it, are near nothing and are left out, as are those of another length than
+    `size`; without it, queries of several lengths are an error.  For two large sets see `nearest`.
     """
     out = None
     held: list = []
-    size = None
+    queries = usable(queries, "embedding", size)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("sim", T.DoubleType())])
 
     def scan(rows: list) -> DataFrame:
@@ -72,10 +84,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
 
         return corpus.select("id", "embedding").mapInArrow(run, schema)
 
-    for row in queries.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator():
-        size = len(row["embedding"]) if size is None else size
-        if len(row["embedding"]) != size or None in row["embedding"]:
-            continue
+    for row in queries.select("id", "embedding").where("id IS NOT NULL").toLocalIterator():
         held.append((row["id"], row["embedding"]))
         if len(held) == block:
             out = scan(held) if out is None else out.union(scan(held))
@@ -88,36 +97,6 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, digits: int = 6, blo
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def label_nearest(df: DataFrame, id_col: str, label: str, embedding: str, *, digits: int = 6, block: int = 2048) -> DataFrame:
-    """a, b, id and sim: of each vector of label a the largest cosine to the vectors of label b, for all a <= b.
-
-    Blocks of about `block` vectors of a label meet as matrix products, all against all, so the work is square
-    in the rows of the labels.
-    """
-    sizes = df.groupBy(label).agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    placed = df.join(sizes, label).withColumn("_block", F.pmod(F.xxhash64(id_col), "_blocks"))
-    packed = placed.groupBy(label, "_block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(embedding).alias("x"))).alias("rows"))
-    left, right = packed.select(F.col(label).alias("a"), F.col("rows").alias("left")), packed.select(F.col(label).alias("b"), F.col("rows").alias("right"))
-    kind = packed.schema[label].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("id", T.LongType()), T.StructField("sim", T.DoubleType())])
-
-    def matrix(rows: list) -> np.ndarray:
-        x = np.array([r["x"] for r in rows], np.float64)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, p, q = (batch.column(c)[k].as_py() for c in ("a", "b", "left", "right"))
-                sims = np.round(matrix(p) @ matrix(q).T, digits).max(axis=1)
-                columns = [[a] * len(p), [b] * len(p), [r["id"] for r in p], sims]
-                names = batch.schema
-                yield pa.RecordBatch.from_arrays([pa.array(v, names.field(t).type if t else s) for v, t, s in zip(columns, ("a", "b", "", ""), (None, None, pa.int64(), pa.float64()), strict=True)], names=schema.names)
-
-    pairs = left.join(right, F.col("a") <= F.col("b"))
-    return pairs.mapInArrow(run, schema).groupBy("a", "b", "id").agg(F.max("sim").alias("sim"))
-
-
 def projection(size: int, to: int, seed: int) -> np.ndarray:
     """A Gaussian matrix of a seed, with deviation 1 / sqrt(to)."""
     return np.random.default_rng(seed).normal(0.0, 1.0 / np.sqrt(to), (size, to))

@@ -15,7 +15,7 @@ from ..functions import chunks, vectors
 from ..functions import text as X
 from ..functions.numeric import bin_half_even, percent
 from ..operators import conversation as conv
-from ..operators import filters, report, scoring
+from ..operators import filters, nearest, report, scoring
 from ..sources.tables import table
 from ..streaming.ingest import new_documents
 
@@ -482,7 +482,7 @@ def q_drift_pairs(spark, d):
 SELECT m.a, m.b, round(m.v, 4) AS mean_cosine, round(CASE WHEN m.a = m.b THEN 0.0 ELSE (s.v - m.v) / s.v * 100 END, 2) AS relative_drift_pct FROM m JOIN m s ON s.a = m.a AND s.b = m.a""")
 def q_drift_nearest(spark, d):
     """Mean cosine of each vector of a label to its nearest among all of another, and the drift of each pair against its first label."""
-    means = vectors.label_nearest(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "vec_id", "label", "embedding").groupBy("a", "b").agg(F.avg("sim").alias("v"))
+    means = nearest.label_nearest(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "vec_id", "label", "embedding").groupBy("a", "b").agg(F.avg("sim").alias("v"))
     own = means.where("a = b").select("a", F.col("v").alias("s"))
     drift = F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("s") - F.col("v")) / F.col("s") * 100)
     return means.join(own, "a").select("a", "b", F.round("v", 4).alias("mean_cosine"), F.round(drift, 2).alias("relative_drift_pct"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks, vectors
 from ..functions import text as X
-from ..operators import scoring
+from ..operators import nearest, scoring
 from ..sources.tables import table
 from .catalog import _COS, _TOP, ORACLE_SQL, query, vecs
 
@@ -35,14 +35,13 @@ def q_projected_cosine(spark, d):
     return pairs.select("vec_id", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("projected"))
 
 
-@query("WITH p AS (" + ORACLE_SQL["q_drift_nearest"] + """), v AS (SELECT a, b, mean_cosine FROM p UNION SELECT b, a, mean_cosine FROM p)
-SELECT a AS label, max(mean_cosine) FILTER (b = 0) AS "0", max(mean_cosine) FILTER (b = 1) AS "1" FROM v WHERE a <= 1 GROUP BY 1""")
+@query("WITH p AS (" + ORACLE_SQL["q_drift_nearest"] + ") SELECT a AS label, b AS other, mean_cosine FROM p UNION SELECT b, a, mean_cosine FROM p")
 def q_shift_matrix(spark, d):
-    """The drift of the first two labels as a matrix, for a table at the edge."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding").where("label <= 1 OR label > 1")
-    means = vectors.label_nearest(rows, "vec_id", "label", "embedding").groupBy("a", "b").agg(F.round(F.avg("sim"), 4).alias("v"))
-    both = means.unionByName(means.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
-    return both.where("a <= 1").groupBy(F.col("a").alias("label")).agg(*(F.max(F.when(F.col("b") == k, F.col("v"))).alias(str(k)) for k in (0, 1)))
+    """The drift between all labels as a matrix in long form: a row for each cell."""
+    found = nearest.label_nearest(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "vec_id", "label", "embedding")
+    means = found.groupBy("a", "b").agg(F.round(F.avg("sim"), 4).alias("mean_cosine"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return means.select(F.explode(sides).alias("s"), "mean_cosine").select(F.col("s.a").alias("label"), F.col("s.b").alias("other"), "mean_cosine")
 
 
 @query(f"""WITH h AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 5 <> 0), s AS (SELECT a.vec_id, max(round({_COS}, 6)) AS sim FROM h a, h b WHERE a.vec_id % 50 = 1 AND b.label = 0 GROUP BY 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brookloom.functions import chunks, text, vectors
 from brookloom.functions.numeric import bin_half_even, pearson, percent
-from brookloom.operators import conversation, filters, report, scoring
+from brookloom.operators import conversation, filters, nearest, report, scoring
 from brookloom.sources import archives, sinks
 from brookloom.streaming import ingest
 
@@ -149,7 +149,7 @@ def test_drift_covers_whole_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["a"], r["b"]): (r["mean_cosine"], r["relative_drift_pct"]) for r in QUERIES["q_drift_nearest"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): (1.0, 0.0), (1, 1): (1.0, 0.0), (0, 1): (1.0, 0.0)}
-    small = vectors.label_nearest(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "label", "embedding", block=1)
+    small = nearest.label_nearest(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "label", "embedding", block=1)
     assert {(r["a"], r["b"], r["id"]): r["sim"] for r in small.collect()} == {(0, 0, 0): 1.0, (0, 0, 1): 1.0, (0, 1, 0): 1.0, (0, 1, 1): 1.0, (1, 1, 2): 1.0, (1, 1, 900): 1.0, (1, 1, 901): 1.0}
 
 
@@ -164,7 +164,7 @@ def test_sanitize_covers_texts_with_entities(spark, tmp_path):
     assert got == {k: " ".join(html.unescape(t or "").replace("\\n", " ").split()) for k, t in enumerate(texts)}
 
 
-def test_wide_has_every_message(spark, tmp_path):
+def test_wide_query_has_every_message(spark, tmp_path):
     from brookloom.plans.catalog import QUERIES
 
     rows = [(1, 2 * k, "user", f"m{k}") for k in range(7)] + [(1, 1, "assistant", "reply"), (2, 0, "user", "only")]
@@ -219,7 +219,7 @@ def test_wide_has_every_message(spark):
 
 def test_top_k_of_odd_rows(spark):
     df = spark.createDataFrame([(-1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (None, [1.0, 1.0]), (5, [1.0, 0.1])], "id long, embedding array<float>")
-    got = sorted(values(vectors.top_k(df, df, 2).select("query_id", "vec_id", "rank")))
+    got = sorted(values(vectors.top_k(df, df, 2, size=2).select("query_id", "vec_id", "rank")))
     assert got == [(-1, -1, 1), (-1, 5, 2), (2, 2, 1), (2, 5, 2), (5, -1, 2), (5, 5, 1)]
     assert values(vectors.top_k(df.where("false"), df, 2)) == []
 
