@@ -1,19 +1,22 @@
-"""External scoring as a table operator: cached rows are reused, the rest goes to a client in batches."""
+"""External scoring as a table operator: cached rows are reused, the rest goes to clients, several calls at a time."""
 
 from __future__ import annotations
 
+import json
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: States of a service after which another try may help.
-RETRIED = (408, 409, 425, 429)
-Client = Callable[[str], dict | None]
+from .client import Client, asked
 
 
 def fake_client(prompt: str) -> dict:
@@ -22,33 +25,106 @@ def fake_client(prompt: str) -> dict:
     return {"clarity": h % 3 + 1, "accuracy": h // 3 % 3 + 1, "comment": f"c{h % 7}"}
 
 
-def called(client: Client, prompt: str, tries: int = 3, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> tuple[dict | None, str | None]:
-    """The client's answer, or the last error; between tries it waits 1, 2, 4, ... times `wait` seconds.  Errors that another try can't mend end it."""
-    error = None
-    for k in range(tries):
-        try:
-            return client(prompt), None
-        except Exception as e:  # noqa: BLE001  a client's failures are its own kinds
-            error = f"{type(e).__name__}: {e}"
-            if getattr(e, "status", None) is not None and e.status not in RETRIED and e.status < 500:
-                break
-            if k + 1 < tries:
-                pause(wait * 2**k)
-    return None, error
+def coerced(value: object, kind: T.DataType) -> object:
+    """A field of an answer as a column's type: integers are cut off, what can't be read is null."""
+    if value is None:
+        return None
+    try:
+        if isinstance(kind, T.IntegralType):
+            return int(value)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return float(value)
+        if isinstance(kind, T.BooleanType):
+            return value if isinstance(value, bool) else None
+        return value if isinstance(value, str) else json.dumps(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
 
 
-def stored_scores(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.StructType, store: str, **options) -> DataFrame:
-    """As `scored`, with the store (Parquet by key) as its cache: new answers are appended before they are read, so no row is paid for twice."""
-    spark = rows.sparkSession
+#: What is known of a call besides the answer: the last error, tries, seconds of the last try.
+CALL = [T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType()), T.StructField("seconds", T.DoubleType())]
+
+
+def answers(rows: DataFrame, key: str, prompt: str, client: Client | list[Client], schema: T.StructType, *, in_flight: int = 8, tries: int = 3, wait: float = 0.75, timeout: float | None = None) -> DataFrame:
+    """key, the fields of the answer (null where a client failed), error, tries and seconds of each row.
+
+    Several clients take turns.  A null prompt is an empty one.
+    """
+    clients = client if isinstance(client, list) else [client]
+    out_schema = T.StructType([rows.schema[key], *schema.fields, *CALL])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in out_schema])
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def prompts() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), (p or "" for p in batch.column(1).to_pylist()), strict=True)
+
+        done = asked(prompts(), clients, in_flight=in_flight, tries=tries, wait=wait, timeout=timeout)
+        while some := list(islice(done, 64)):
+            values = [[k for k, _ in some]]
+            values += [[coerced(a.answer.get(f.name), f.dataType) if a.answer is not None else None for _, a in some] for f in schema]
+            values += [[a.error for _, a in some], [a.tries for _, a in some], [a.seconds for _, a in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
+
+    return rows.select(key, prompt).mapInArrow(call, out_schema)
+
+
+def scored(rows: DataFrame, key: str, prompt: str, client: Client | list[Client], schema: T.StructType, cache: DataFrame | None = None, **options) -> DataFrame:
+    """key and the client's fields; rows that the client fails on after all tries are dropped.
+
+    cache: rows of an earlier run by key; only the others are sent.
+    """
+    todo = rows if cache is None else rows.join(cache.select(key), key, "left_anti")
+    fresh = answers(todo, key, prompt, client, schema, **options).where("error IS NULL").select(key, *schema.names)
+    return fresh if cache is None else cache.select(key, *schema.names).unionByName(fresh)
+
+
+def _there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table, empty where there is none yet."""
     try:
-        cache = spark.read.parquet(store)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
             raise
-        cache = None
-    todo = rows if cache is None else rows.join(cache.select(key), key, "left_anti")
-    scored(todo, key, prompt, client, schema, **options).write.mode("append").parquet(store)
-    return spark.read.parquet(store).join(rows.select(key).distinct(), key, "left_semi")
+        return spark.createDataFrame([], schema)
+
+
+def stored_scores(rows: DataFrame, key: str, prompt: str, client: Client | list[Client], schema: T.StructType, store: str, *, per_batch: int = 1000, **options) -> DataFrame:
+    """As `scored`, with a folder as cache: answers are committed every `per_batch` rows, while the job runs.
+
+    The rows that the store doesn't have an answer for are queued as files of `per_batch` rows; a stream takes
+    a file at a time, asks, and commits its answers under the batch's number before the next.  A failure
+    pays for one batch again at most, the next call goes on where the last one stopped, and a
+    batch done twice replaces itself.  Calls that failed are kept with their error, as a log, and
+    asked again by the next call.  One call works on a store at a time.
+    """
+    spark = rows.sparkSession
+    kept = T.StructType([rows.schema[key], *schema.fields, *CALL, T.StructField("batch", T.LongType())])
+    answered, queue = f"{store}/answers", f"{store}/queue"
+    waiting = T.StructType([rows.schema[key], rows.schema[prompt]])
+    good = lambda: _there(spark, answered, kept).where("error IS NULL")
+
+    def ask(batch: DataFrame, number: int) -> None:
+        told = good().where(F.col("batch") != number).select(key)
+        done = answers(batch.join(told, key, "left_anti"), key, prompt, client, schema, **options)
+        done.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(answered)
+
+    def work() -> None:
+        stream = spark.readStream.schema(waiting).option("maxFilesPerTrigger", 1).parquet(queue)
+        stream.writeStream.foreachBatch(ask).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    if not _there(spark, queue, waiting).isEmpty():  # what an earlier call has left
+        work()
+    todo = rows.select(key, prompt).dropDuplicates([key]).join(good().select(key), key, "left_anti")
+    todo.write.mode("append").option("maxRecordsPerFile", per_batch).parquet(queue)
+    if not _there(spark, queue, waiting).isEmpty():
+        work()
+    return good().select(key, *schema.names).join(rows.select(key).distinct(), key, "left_semi")
+
+
+def call_log(spark: SparkSession, store: str) -> DataFrame:
+    """Every call that a store of scores has paid for: its columns, error, tries, seconds and batch."""
+    return spark.read.parquet(f"{store}/answers")
 
 
 def compared(questions: DataFrame, question: str, clients: dict[str, Callable[[str], str]], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
@@ -95,27 +171,6 @@ def answered(retrieved: DataFrame, query: str, text: str, rank: str, client: Cal
     return joined.mapInPandas(call, schema)
 
 
-def scored(rows: DataFrame, key: str, prompt: str, client: Client, schema: T.StructType, cache: DataFrame | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """key and the client's fields; rows that the client fails on after `tries` are dropped.
-
-    cache: rows of an earlier run by key; only the others are sent.
-    """
-    todo = rows if cache is None else rows.join(cache.select(key), key, "left_anti")
-    out_schema = T.StructType([rows.schema[key], *schema.fields])
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, p in zip(f[key], f[prompt], strict=True):
-                answer, _ = called(client, p, tries, wait)
-                if answer is not None:
-                    out.append([k, *(answer.get(c) for c in schema.names)])
-            yield pd.DataFrame(out, columns=out_schema.names)
-
-    fresh = todo.select(key, prompt).mapInPandas(call, out_schema)
-    return fresh if cache is None else cache.select(*out_schema.names).unionByName(fresh)
-
-
 def usage(calls: DataFrame, model: str, ok: str, latency: str) -> DataFrame:
     """Successes, errors and mean latency by model."""
     return calls.groupBy(model).agg(F.count_if(F.col(ok)).alias("successes"), F.count_if(~F.col(ok)).alias("errors"), (F.sum(F.when(F.col(ok), F.col(latency)).otherwise(0.0)) / F.greatest(F.count_if(F.col(ok)), F.lit(1))).alias("avg_latency"))

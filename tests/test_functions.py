@@ -261,7 +261,6 @@ def test_stored_scores_call_once(spark, tmp_path):
         assert sorted(values(got)) == [("a", 2), ("b", 2)]
         got.count()
     assert len(list(log.iterdir())) == 2
-    assert scoring.called(lambda p: 1 / 0, "x", tries=2, wait=0.0)[1].startswith("ZeroDivisionError")
 
 
 def test_answers_and_stores(spark, tmp_path):
