@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import arrow_type, bounded, cut, drop, forget, ship, texts_of, tidied
 
 CLASSES, SEEDS, FREQUENT, ROUNDS, SWEEPS = 64, 1024, 8192, 2, 8
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 #: A word that is at least one of so many tokens in some block may be a frequent one.
 SHARE = 500_000
 ALPHA = 5.0
@@ -417,40 +417,40 @@ class ClassModel:
     singles: int
 
 
+_KNOWN = ["codes", "ends", "bases", "known", "moves"]
+
+
 def looked_up(blocks: DataFrame, words: list[bytes], counts: np.ndarray, code: np.ndarray, rest: DataFrame, classes: int) -> tuple[DataFrame, str]:
-    """The blocks with the class and count of each word instead of the words, and counts of class by next class of their training texts."""
-    place, n = {w: k for k, w in enumerate(words)}, len(words)
-    listed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    met = listed.join(rest, "word").select(F.col("block").alias("of"), "at", "n", "class")
-    schema = T.StructType([blocks.schema[c] for c in ("rows", "lengths", "train", "ids")] + [T.StructField("classes", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("moves", T.ArrayType(T.IntegerType()))])
+    """The blocks with the class of each token, what the counts of its words give each text, and counts of class by next class of the training texts."""
+    spark = blocks.sparkSession
+    few = spark.createDataFrame([(w, int(n), int(k)) for w, n, k in zip(words, counts, code, strict=True) if n], "word binary, n long, class int")  # bounded
+    listed = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
+    met = listed.join(rest.unionByName(few), "word").select("of", (F.col("at").cast("long") * 256 + F.col("class")).alias("place"), "n")
+    schema = T.StructType([*(blocks.schema[c] for c in ("rows", "lengths", "train")), *(T.StructField(c, T.BinaryType()) for c in _KNOWN[:-1]), T.StructField(_KNOWN[-1], T.ArrayType(T.IntegerType()))])
     arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema])
-    code, counts = np.append(np.where(counts > 0, code, _UNKNOWN), _UNKNOWN).astype(np.uint8), np.append(counts, 0)
 
     def run(one: pa.Table, found: pa.Table) -> pa.Table:
         one = one.combine_chunks().to_batches()[0]
-        block, local = Block(one), placed(_words(one), place)
-        own, seen = code[local], counts[local]
-        at = found.column("at").to_numpy()
-        own[at], seen[at] = found.column("class").to_numpy(), found.column("n").to_numpy()
-        left, right = block.learned(block.before(), block.ids)
-        moves = np.bincount(own[left].astype(np.int64) * classes + own[right], minlength=classes * classes).astype(np.int32)
-        extra = [pa.array([own.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([moves], pa.list_(pa.int32()))]
-        return _table(one, extra, arrow)
-
-    joined = blocks.select("block", "rows", "lengths", "train", "ids", "words").groupBy("block").cogroup(met.groupBy("of"))
-    return _kept(joined.applyInArrow(run, schema), "lm-classes")
+        block, size = Block(one), one.column(one.schema.get_field_index("types"))[0].as_py()
+        own, seen = np.full(size, _UNKNOWN, np.uint8), np.zeros(size, np.int64)
+        place = found.column("place").to_numpy()
+        own[place >> 8], seen[place >> 8] = place & 255, found.column("n").to_numpy()
+        codes, of = own[block.ids], lambda x: np.add.reduceat(x[block.ids], block.starts).tobytes()
+        left, right = block.learned(own[block.before()], codes)
+        moves = np.bincount(left.astype(np.int64) * classes + right, minlength=classes * classes).astype(np.int32)
+        made = [codes.tobytes(), of(np.log10(np.maximum(seen, 1))), of(np.log10(seen + 1.0)), of((seen > 0).astype(np.int64))]
+        columns = [one.column(one.schema.get_field_index(c)) for c in ("rows", "lengths", "train")] + [pa.array([x], pa.binary()) for x in made] + [pa.array([moves], pa.list_(pa.int32()))]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-
-def _table(one: pa.RecordBatch, extra: list[pa.Array], arrow: pa.Schema) -> pa.Table:
-    """The first columns of a schema from a block, the others as given."""
-    names = arrow.names[: len(arrow) - len(extra)]
-    return pa.Table.from_arrays([*(one.column(one.schema.get_field_index(c)).cast(arrow.field(c).type) for c in names), *extra], schema=arrow)
+    left = blocks.select("block", "rows", "lengths", "train", "ids", F.size("words").alias("types"))
+    return _kept(left.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(run, schema), "lm-classes")
 
 
 def _fit(blocks: DataFrame, classes: int, seeds: int, most: int, rounds: int) -> tuple[ClassModel, DataFrame]:
     spark = blocks.sparkSession
     words = frequent(blocks, seeds, most)
     code, counts, cells = cluster(blocks, words, classes, seeds, rounds)
+    forget(spark)
     rest, _ = cut(placed_rest(blocks, words, code, cells), "lm-words")
     forget(spark)
     known, _ = looked_up(blocks, words, counts, code, rest, classes)
@@ -470,29 +470,33 @@ def _scored(known: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
     size = model.moves.sum(0)
     share = (size + 1e-300) / max(size.sum(), 1)
     after = (model.moves + ALPHA * share) / (model.moves.sum(1)[:, None] + ALPHA)
-    # by class before it: the last row is an unknown word's
     unknown = (model.singles + 1) / (n + 2) if n else 1.0
     step = np.log10(np.vstack([after, share]))
     step = step - np.log10(np.maximum(size, 1)) + (np.log10(1 - unknown) if unknown < 1 else 0)
-    floor, rare = -np.log10(n + types + 1), np.log10(unknown)
+    # by class before and class, with the unknown word's last
+    table = np.full((256, 256), np.log10(unknown))
+    table[:classes, :classes], table[_UNKNOWN, :classes] = step[:classes], step[classes]
+    table, floor = table.reshape(-1), -np.log10(n + types + 1)
+    end = int(model.code[model.words.index(END)]) if model.counts[model.words.index(END)] else _UNKNOWN
     schema = T.StructType([*(known.schema["rows"].dataType.elementType[c] for c in keep), *(T.StructField(*f) for f in SCORES)])
     arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, block in _blocks(batches):
-            own, seen = np.frombuffer(one.column(4)[0].as_buffer(), np.uint8), np.frombuffer(one.column(5)[0].as_buffer(), np.int64)
-            kind, ends = own.astype(np.int64), np.log10(np.maximum(seen, 1))
-            left, right = np.minimum(kind, classes)[block.before()], np.minimum(kind, classes - 1)[block.ids]
-            is_known = (own != _UNKNOWN)[block.ids]
-            value = np.where(is_known, step[left, right] + ends[block.ids], rare)
-            base = (np.log10(seen + 1.0) + floor)[block.ids]
-            of = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
-            rows = one.column(0).flatten()
-            columns = [rows.field(c) for c in keep]
-            columns += [block.lengths, of(is_known.astype(np.int64)), np.full(len(block.lengths), n), of(base), of(value)]
-            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return known.select("rows", "lengths", "train", "ids", "classes", "seen").mapInArrow(tidied(run), schema)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(name))[k].as_buffer(), kind)  # noqa: B023, E731
+                codes, lengths = get("codes", np.uint8), get("lengths", np.int32)
+                starts = np.cumsum(lengths) - lengths
+                left = np.empty_like(codes)
+                left[1:] = codes[:-1]
+                left[starts] = end
+                value = table[left.astype(np.int32) * 256 + codes]
+                rows = batch.column(0).slice(k, 1).flatten()
+                columns = [rows.field(c) for c in keep]
+                columns += [lengths, get("known", np.int64), np.full(len(lengths), n), get("bases", np.float64) + lengths * floor, get("ends", np.float64) + np.add.reduceat(value, starts)]
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return known.select("rows", "lengths", *_KNOWN[:-1]).mapInArrow(tidied(run), schema)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", train: Column | None = None, classes: int = CLASSES, seeds: int = SEEDS, most: int = FREQUENT, rounds: int = ROUNDS) -> ClassModel:
