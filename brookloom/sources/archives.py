@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import logging
 import sqlite3
@@ -10,55 +9,108 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import closing
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import file_system, listed
+from .shipping import ship
+
 _log = logging.getLogger(__name__)
 MEMBERS = "archive string, member string, content binary"
 _TARS = (".tar", ".tar.gz", ".tgz", ".tar.bz2")
 
 
-def members_of(name: str, data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
-    """Members with a suffix that aren't empty; ValueError for other kinds of files.  A broken archive, or member, is logged and passed over."""
-    low = name.lower()
-    if not low.endswith((".zip", *_TARS)):
+class ArchiveSource(DataSource):
+    """spark.read.format("archive").option("path", path).option("suffix", ".txt"): the members of ZIP and TAR files.
+
+    A ZIP or a plain TAR is dealt out in ranges of `part_bytes`: a part reads the members that begin in its range,
+    one by one, so no task holds an archive.  A compressed TAR is one part, read as a stream.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive"
+
+    def schema(self) -> str:
+        return MEMBERS
+
+    def reader(self, schema) -> DataSourceReader:
+        return ArchiveReader(self.options)
+
+
+class Part(InputPartition):
+    def __init__(self, path: str, low: int, high: int) -> None:
+        self.path, self.low, self.high = path, low, high
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.path, self.suffix, self.step = options["path"], options.get("suffix", ""), int(options.get("part_bytes", str(64 << 20)))
+
+    def partitions(self) -> list[InputPartition]:
+        """Only names and sizes are looked at here."""
+        parts: list[InputPartition] = []
+        for info in listed(self.path):
+            low = info.path.lower()
+            if not low.endswith((".zip", *_TARS)):
+                raise ValueError(f"not an archive: {info.path}")
+            cuts = range(0, max(info.size, 1), self.step) if low.endswith((".zip", ".tar")) else [0]
+            parts += [Part(info.path, at, at + self.step if len(cuts) > 1 else 1 << 62) for at in cuts]
+        return parts
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        system, _ = file_system(self.path)
+        with system.open_input_file(partition.path) as f:
+            for member, content in members_of(partition.path, f, self.suffix, partition.low, partition.high):
+                yield partition.path, member, content
+
+
+def members_of(name: str, data: BinaryIO, suffix: str, low: int = 0, high: int = 1 << 62) -> Iterator[tuple[str, bytes]]:
+    """Members with a suffix that aren't empty and begin between two places; ValueError for other kinds of files.
+
+    A broken archive, or member, is logged and passed over.
+    """
+    kind = name.lower()
+    if not kind.endswith((".zip", *_TARS)):
         raise ValueError(f"not an archive: {name}")
     try:
-        yield from _members(low, data, suffix)
-    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError) as e:
+        yield from _zipped(data, suffix, low, high) if kind.endswith(".zip") else _tarred(kind, data, suffix, low, high)
+    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError, pa.ArrowInvalid) as e:  # the last: a place before the file's begin
         _log.warning("%s is broken: %s", name, e)
 
 
-def _members(low: str, data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
-    if low.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for i in z.infolist():
-                if i.filename.endswith(suffix) and i.file_size:
-                    try:
-                        content = z.read(i)
-                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
-                        _log.warning("%s is broken: %s", i.filename, e)
-                        continue
-                    yield i.filename, content
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for i in t:
-                if i.isfile() and i.name.endswith(suffix) and i.size:
-                    yield i.name, t.extractfile(i).read()
+def _zipped(data: BinaryIO, suffix: str, low: int, high: int) -> Iterator[tuple[str, bytes]]:
+    with zipfile.ZipFile(data) as z:
+        for i in z.infolist():
+            if i.filename.endswith(suffix) and i.file_size and low <= i.header_offset < high:
+                try:
+                    content = z.read(i)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                    _log.warning("%s is broken: %s", i.filename, e)
+                    continue
+                yield i.filename, content
 
 
-def read_archives(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """archive, member and content of the members of all archives at a path; archives are read in parallel."""
+def _tarred(kind: str, data: BinaryIO, suffix: str, low: int, high: int) -> Iterator[tuple[str, bytes]]:
+    with tarfile.open(fileobj=data, mode="r:" if kind.endswith(".tar") else "r|*") as t:
+        for i in t:
+            if i.offset >= high:
+                break
+            if i.isfile() and i.name.endswith(suffix) and i.size and i.offset >= low:
+                yield i.name, t.extractfile(i).read()
+            t.members = []  # else it remembers every header
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, data in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([(name, m, c) for m, c in members_of(name, data, suffix)], columns=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(expand, MEMBERS)
+def read_archives(spark: SparkSession, path: str, suffix: str = "", part_bytes: int = 64 << 20) -> DataFrame:
+    """archive, member and content of the members of all archives at a path, in parts of about part_bytes."""
+    ship(spark)
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("archive").option("path", path).option("suffix", suffix).option("part_bytes", str(part_bytes)).load()
 
 
 def read_json_archives(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -86,40 +138,77 @@ def thread_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite").option("path", file).option("query", sql).schema(...): read-only, split by `column` into `parts`."""
+    """spark.read.format("sqlite").option("path", file) and .option("table", name) or .option("query", sql), .schema(...): read-only.
+
+    Only the columns of the schema are asked for, the option `where` (SQL) goes into every part's query, and a table is
+    dealt out in ranges of its rowid.  Spark's own filters aren't taken over: Spark 4.1 keeps a reader for all
+    queries of a DataFrame, so filters pushed for one would hold for the next.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sqlite"
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options)
+        return SqliteReader(self.options, schema)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.query = options["path"], options["query"]
-        self.column, self.parts = options.get("column"), int(options.get("parts", "1"))
+    def __init__(self, options, schema) -> None:
+        self.path, self.table, self.query, self.parts = options["path"], options.get("table"), options.get("query"), int(options.get("parts", "1"))
+        if (self.table is None) == (self.query is None):
+            raise ValueError("name a table or a query")
+        self.columns, self.where = schema.fieldNames(), options.get("where")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(self.parts if self.column else 1)]
-
-    def read(self, partition: InputPartition):
-        sql = self.query if not self.column else f"SELECT * FROM ({self.query}) WHERE coalesce(abs(CAST({self.column} AS INTEGER) % {self.parts}), 0) = {partition.value}"  # rows without a value come with the first part
-        connection = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            cursor = connection.execute(sql)
+        """Equal ranges of the rowid; the first and the last are open, for rows that come meanwhile.  A query, or a table without a rowid, is one part."""
+        ends = (None, None)
+        if self.table is not None and self.parts > 1:
+            with closing(self.connect()) as c:
+                try:
+                    ends = c.execute(f"SELECT (SELECT min(rowid) FROM {_quoted(self.table)}), (SELECT max(rowid) FROM {_quoted(self.table)})").fetchone()
+                except sqlite3.OperationalError as e:  # WITHOUT ROWID, or a view
+                    _log.warning("%s is read in one part: %s", self.table, e)
+        low, high = ends
+        if low is None or high <= low:
+            return [InputPartition((None, None))]
+        cuts = sorted({low + (high - low + 1) * k // self.parts for k in range(1, self.parts)} - {low})
+        return [InputPartition(x) for x in zip([None, *cuts], [*cuts, None], strict=True)]
+
+    def sql(self, partition: InputPartition) -> tuple[str, list]:
+        """What a part asks, and the values in it."""
+        low, high = partition.value
+        where, values = [f"({self.where})"] if self.where else [], []
+        for sign, at in ((">=", low), ("<", high)):
+            if at is not None:
+                where.append(f"rowid {sign} ?")
+                values.append(at)
+        columns = ", ".join(_quoted(c) for c in self.columns) or "1"
+        source = _quoted(self.table) if self.table is not None else f"({self.query})"
+        return f"SELECT {columns} FROM {source}" + (f" WHERE {' AND '.join(where)}" if where else ""), values
+
+    def connect(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with closing(self.connect()) as c:
+            cursor = c.execute(*self.sql(partition))
             while rows := cursor.fetchmany(1000):
                 yield from map(tuple, rows)
-        finally:
-            connection.close()
 
 
-def read_sqlite(spark: SparkSession, path: str, query: str, schema: str, column: str | None = None, parts: int = 1) -> DataFrame:
-    """A query's rows; the file must be where all executors see it."""
+def read_sqlite(spark: SparkSession, path: str, schema: str, *, table: str | None = None, query: str | None = None, where: str | None = None, parts: int = 1) -> DataFrame:
+    """Columns of a table, in parts by rowid, or of a query; where: a condition that SQLite decides.  The file must be where all executors see it."""
+    ship(spark)
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("sqlite").schema(schema).option("path", path).option("query", query).option("parts", str(parts))
-    return (reader.option("column", column) if column else reader).load()
+    reader = spark.read.format("sqlite").schema(schema).option("path", path).option("parts", str(parts))
+    for name, value in (("table", table), ("query", query), ("where", where)):
+        reader = reader if value is None else reader.option(name, value)
+    return reader.load()
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:

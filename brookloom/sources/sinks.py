@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import file_system
+
 
 def thread_json(df: DataFrame, columns: list[str]) -> DataFrame:
     """path and content of one JSON file for each thread, null fields kept."""
@@ -45,29 +44,11 @@ def write_files(files: DataFrame, folder: str) -> None:
 
 def shared_folder(folder: str):
     """The file system and path of a folder (a path, or a URI that pyarrow knows), made if it isn't there."""
-    from pyarrow import fs
-
-    found, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    found, path = file_system(folder)
     found.create_dir(path, recursive=True)
     return found, path
 
 
-def zipped(files: DataFrame, group: str) -> DataFrame:
-    """archive and content: a ZIP of the files of each group, one member for a name.  A group must fit a task."""
-
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            seen = set()
-            for path, content in sorted(zip(f["path"], f["content"], strict=True)):
-                if path not in seen:
-                    seen.add(path)
-                    z.writestr(zipfile.ZipInfo(path), content)
-        return pd.DataFrame([(str(f[group].iloc[0]), out.getvalue())], columns=["archive", "content"])
-
-    return files.groupBy(group).applyInPandas(pack, "archive string, content binary")
-
-
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with a header and a fixed order of columns."""
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
