@@ -521,6 +521,7 @@ _DIGEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("do
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """file and content of all token files in a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
 
 
@@ -539,7 +540,10 @@ def digest_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Da
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Read the files back whole: doc_id and ids of each document."""
+    """Read the files that the folder's list names back whole: doc_id and ids of each document.
+
+    Files that an earlier run into the folder has left aren't in the list.
+    """
     ship(spark)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
 
@@ -549,7 +553,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 for i, _, ids in TokenFile(content.as_py()).documents():
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=schema.names)
 
-    return read_files(spark, folder).mapInArrow(read, schema)
+    named = spark.read.schema(_FILES).parquet(f"{folder}/_files").select("file")
+    return read_files(spark, folder).join(named, "file", "left_semi").select("content").mapInArrow(read, schema)
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, *, folder: str | None = None, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brookloom.llm import entropy_mix, exact_dedup, near_dedup, token_files
 from brookloom.llm.common import words_of
@@ -266,3 +267,13 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns and 0.5 * docs.count() < out.count() <= docs.count(), name
     rows = rows_of(corpus_pipeline.run(spark, sf))
     assert rows and sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+
+
+def test_a_second_run_into_a_folder_hides_the_first(spark, tmp_path):
+    path, folder = tokenizer_path("word_bpe_49k.json"), str(tmp_path / "tokens")
+    many = spark.createDataFrame([(k, f"text {k} of the first run") for k in range(60)], "doc_id long, text string").repartition(4)
+    token_files.write_token_files(many, folder, path, file_tokens=20)
+    assert token_files.read_tokens(spark, folder).count() == 60
+    token_files.write_token_files(many.where("doc_id < 3").withColumn("text", F.lit("second")), folder, path)
+    got = {r["doc_id"]: len(r["ids"]) for r in token_files.read_tokens(spark, folder).collect()}
+    assert sorted(got) == [0, 1, 2] and len(set(got.values())) == 1
