@@ -90,7 +90,7 @@ def encode(docs: DataFrame, *, text_col: str, train: Column, keep: list[str], bl
             all_rows = pa.concat_arrays(rows)
             values = [
                 pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(all_rows)], pa.int32()), all_rows), pa.array([long.tobytes()]), pa.array([mark.tobytes()]),
-                pa.array([every.tobytes()]), pa.array([list(places)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())), pa.array([int(counts.sum())])]
+                pa.array([pa.compress(every.tobytes(), "zstd", asbytes=True)]), pa.array([list(places)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())), pa.array([int(counts.sum())])]
             return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for whole in batches:
@@ -127,7 +127,8 @@ class Block:
 
     def __init__(self, one: pa.RecordBatch) -> None:
         get = lambda name, kind: np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_buffer(), kind)
-        self.ids, self.lengths = get("ids", np.int32), get("lengths", np.int32)
+        self.lengths = get("lengths", np.int32)
+        self.ids = np.frombuffer(pa.decompress(get("ids", np.uint8), 4 * int(self.lengths.sum()), "zstd"), np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = get("train", np.bool_)
 
