@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +85,46 @@ def diffs(df: DataFrame, thread: str, idx: str, texts: list[str], scores: list[s
 
 
 def wide(df: DataFrame, thread: str, idx: str, fields: list[str], least: int = 1) -> DataFrame:
-    """One row for each thread with msg_<i>_<field> of its messages, for tables at the edge: as many as the longest thread has, `least` at least."""
+    """One row for each thread with msg_<i>_<field> of its messages, for tables at the edge: as many as the longest thread has, `least` at least.
+
+    The messages of a thread are gathered once and taken by place.  For long threads see `wide_lines`.
+    """
+    most = max(least, (df.agg(F.max(idx)).first()[0] or 0) + 1)
+    placed = F.map_from_entries(F.collect_list(F.struct(F.col(idx), F.struct(*fields))))
+    rows = df.groupBy(thread).agg(placed.alias("_m"))
+    return rows.select(thread, *(F.try_element_at("_m", F.lit(i).cast(df.schema[idx].dataType))[f].alias(f"msg_{i}_{f}") for i in range(most) for f in fields))
+
+
+def wide_lines(df: DataFrame, thread: str, idx: str, fields: list[str], least: int = 1) -> DataFrame:
+    """`wide` as lines of CSV (value), a header before the lines of each partition, for threads of any length.
+
+    Lines are written as threads come, so their number of columns is a length, not a number of expressions.
+    """
     most = max(least, (df.agg(F.max(idx)).first()[0] or 0) + 1)
-    own = {f"msg_{i}_{f}": F.max(F.when(F.col(idx) == i, F.col(f))) for i in range(most) for f in fields}
-    return df.groupBy(thread).agg(*(v.alias(k) for k, v in own.items()))
+    rows = df.groupBy(thread).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("_at"), *fields))).alias("_m"))
+    header = [thread, *(f"msg_{i}_{f}" for i in range(most) for f in fields)]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            out = []
+            if first and batch.num_rows:
+                out.append(_line(header))
+                first = False
+            for key, messages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells: list = [""] * (most * len(fields))
+                for m in messages:
+                    cells[m["_at"] * len(fields) : (m["_at"] + 1) * len(fields)] = [m[f] for f in fields]
+                out.append(_line([key, *cells]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return rows.mapInArrow(lines, "value string")
+
+
+def _line(cells: list) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(cells)
+    return out.getvalue()
 
 
 def best_gain(values: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks, vectors
 from ..functions import text as X
-from ..operators import nearest, scoring
+from ..operators import embedding, nearest, scoring
 from ..sources.tables import table
 from .catalog import _COS, _TOP, ORACLE_SQL, query, vecs
 
@@ -124,8 +124,8 @@ def q_sample(spark, d):
 def q_embedded_chunks(spark, d):
     """New texts cut into chunks and embedded, as rows of a store."""
     rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(chunks.recursive_chunks(F.col("text"))).alias("chunk_idx", "chunk"))
-    out = rows.withColumn("id", chunks.chunk_id(F.col("doc_id"), F.col("chunk_idx")))
-    return out.select("id", "doc_id", "source", "chunk_idx", vectors.hashed_embedding(F.concat(F.lit("passage: "), "chunk"), 16).alias("embedding"))
+    out = embedding.embedded(rows, "chunk", embedding.hashing_embedder(16), "hashing-16", prefix="passage: ")
+    return out.select(chunks.chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("id"), "doc_id", "source", "chunk_idx", "embedding")
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, greatest(1, ceil((len(t) - 256) / 256.0)::BIGINT))) AS i FROM w WHERE len(t) > 0)

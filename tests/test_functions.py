@@ -135,7 +135,7 @@ def test_ingest(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         ingest.ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "b"]
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["a", "a", "b"]
     assert sorted(values(ingest.numbered_batches(spark.range(7).repartition(3), "id", 3, str(tmp_path / "work"), 5))) == [(i, 5 + i // 3) for i in range(7)]
 
 
