@@ -1,7 +1,8 @@
 """Operator 5, exact dedup with an extendible-hash index on shared files.
 
-Every batch of rows is first reduced to its distinct texts (a hot text so reaches its owner once
-for a batch, not once for a row).  Keys are the first 64 bits of the text's SHA-256.  The key space is
+Every task first reduces its rows to distinct texts: a text that comes again in a later slice is held
+back with its largest id and its number, and sent once more when the task ends.  So a hot text reaches
+its owner twice for a task, not once for a row.  Keys are the first 64 bits of the text's SHA-256.  The key space is
 cut into ranges by the leading bits of the key; an owner task takes all texts of a range, in key
 order, and puts them in its index: a directory of 2^depth slots that doubles when an overfull bucket
 that fills its slot must split.  Texts of one key are chained in a bucket and compared byte by byte.
@@ -9,7 +10,7 @@ Buckets are pages; an owner that holds more than PAGE_BYTES of them writes the o
 ago to the shared folder and reads them back when needed.  As texts arrive in key order, a page is
 seldom read again.  On completion each range is one file in the shared folder, named after its range
 and written under a temporary name first, so a task that runs again after a lost executor leaves the
-same file.  `probe` reads such files, so later texts can be checked against a stored index.
+same file.  `load` reads such files, so later texts can be checked against a stored index.
 
 The decision for each text (which row stays, how many there are) then joins the rows by the full
 SHA-256; Spark's skew join splits the rows of a hot text.  If two different texts of one SHA-256 ever
@@ -218,6 +219,8 @@ def load(folder: str, name: str) -> ExtendibleIndex:
     return index
 
 
+#: Bytes of repeated texts that a task holds back before it sends them on.
+HELD_BYTES = 8 << 20
 _FOUND = T.StructType([T.StructField("text_sha256", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
 _SENT = T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("largest", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -228,26 +231,44 @@ def build(docs: DataFrame, folder: str, *, text_col: str = "text", id_col: str =
     ship(spark)
     skip = min(max(RANGE_BITS, (docs.select(F.lit(1)).count() // RANGE_ROWS).bit_length()), 24, key_bits)
 
+    def sent_as(texts: dict[bytes, list], keys: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k >> (key_bits - skip) for k in keys], pa.int32()),
+                pa.array([k - (1 << 63) if key_bits == 64 else k for k in keys], pa.int64()),  # signed order as unsigned
+                pa.array(list(texts), pa.binary()),
+                pa.array([e[0] for e in texts.values()], pa.int64()),
+                pa.array([e[1] for e in texts.values()], pa.int64()),
+            ],
+            names=_SENT.names,
+        )
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # keys of what this task has sent
+        held: dict[bytes, list] = {}
+        size = 0
         for whole in batches:
             for batch in bounded(whole):
                 local: dict[bytes, list] = {}
                 for text, i in zip(texts_of(batch, "t"), batch.column("i").to_pylist(), strict=True):
-                    entry = local.setdefault(text or b"", [None, 0])
+                    text = text or b""
+                    entry = held.get(text) or local.setdefault(text, [None, 0])
                     entry[1] += 1
                     if i is not None and (entry[0] is None or i > entry[0]):
                         entry[0] = i
-                keys = [key_of(t) for t in local]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k >> (key_bits - skip) for k in keys], pa.int32()),
-                        pa.array([k - (1 << 63) if key_bits == 64 else k for k in keys], pa.int64()),  # signed order as unsigned
-                        pa.array(list(local), pa.binary()),
-                        pa.array([e[0] for e in local.values()], pa.int64()),
-                        pa.array([e[1] for e in local.values()], pa.int64()),
-                    ],
-                    names=_SENT.names,
-                )
+                keys = {t: key_of(t) for t in local}
+                again = [t for t, k in keys.items() if k in seen]
+                for text in again:
+                    held[text] = local.pop(text)
+                    size += len(text)
+                if local:
+                    yield sent_as(local, [keys[t] for t in local])
+                seen.update(keys.values())
+                if size > HELD_BYTES:
+                    yield sent_as(held, [key_of(t) for t in held])
+                    held, size = {}, 0
+        if held:
+            yield sent_as(held, [key_of(t) for t in held])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, name = None, None

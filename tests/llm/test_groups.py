@@ -277,3 +277,11 @@ def test_a_second_run_into_a_folder_hides_the_first(spark, tmp_path):
     token_files.write_token_files(many.where("doc_id < 3").withColumn("text", F.lit("second")), folder, path)
     got = {r["doc_id"]: len(r["ids"]) for r in token_files.read_tokens(spark, folder).collect()}
     assert sorted(got) == [0, 1, 2] and len(set(got.values())) == 1
+
+
+def test_a_hot_text_is_held_back_in_its_task(spark, tmp_path, monkeypatch):
+    """Copies over many slices of one task, beside texts of their own."""
+    rows = [(k, "hot " * 30_000 if k % 2 else f"{k} " * 30_000) for k in range(80)] + [(k, "warm") for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.find_duplicates(df))}
+    assert got == {i: (79, 40, i == 79) if t.startswith("hot") else (139, 40, i == 139) if t == "warm" else (i, 1, True) for i, t in rows}
