@@ -38,6 +38,8 @@ START = "\x01"
 UNITS = 1 << 32
 #: One rule-labelled URL in HOLD is kept for the threshold.
 HOLD = 5
+#: A gram with at least one of so many places is scored by a broadcast; there are no more of them than this.
+HOT = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -90,8 +92,8 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 def gram_ratios(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, str]:
     """gram and v, the log ratio of its last character after the others, for each distinct gram of `order` + 1 characters; and a path to drop when it has been used.
 
-    Every distinct end of a gram is one row, so a context, or a shorter end, is met by no more rows than there are
-    characters: no key of a join is hot.  Probabilities are then found from the shortest ends to the longest.
+    grams: each once.  Every distinct end of a gram is one row, so a context, or a shorter end, is met by no more
+    rows than there are characters: no key of a join here is hot.  Probabilities are then found from the shortest ends to the longest.
     """
     contexts = counts.groupBy(F.substring("gram", F.lit(1), F.length("gram") - 1).alias("ctx")).agg(*(f(k).alias(f"{k}_{n}") for k in ("yes", "no") for f, n in ((F.sum, "n"), (lambda x: F.count_if(F.col(x) > 0), "t"))))
     levels = grams.distinct().select("gram", F.explode(F.sequence(F.lit(1), F.lit(order + 1))).alias("k")).select("k", F.right("gram", F.col("k")).alias("end")).distinct()
@@ -129,10 +131,15 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str,
     # each URL once; a row of the held-out ones for each time they were met
     texts = open_.select("_text").union(labelled.where("_fold = 0").select("_text")).where("_text <> ''").distinct()
     places = texts.select(F.unhex(F.md5("_text")).alias("_key"), F.explode(grams_of(F.col("_text"))).alias("gram"))
-    ratios, levels_at = gram_ratios(places.select("gram"), counts)
-    ratios = ratios.select("gram", F.round(F.col("v") * UNITS).cast("long").alias("v"))
-    scores, _ = cut(places.join(ratios, "gram").groupBy("_key").agg((F.sum("v") / F.count("*") / UNITS).alias("_ratio")), "url-scores")
-    drop(parsed.sparkSession, counts_at, levels_at)
+    met, met_at = cut(places.groupBy("gram").agg(F.count("*").alias("n")), "url-grams")
+    ratios, levels_at = gram_ratios(met.select("gram"), counts)
+    # a gram with a thousandth of all places, as all URLs begin with, is one of a thousand at most: those are broadcast
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ratios, ratios_at = cut(ratios.join(met, "gram").select("gram", F.round(F.col("v") * UNITS).cast("long").alias("v"), (F.col("n") * HOT >= total).alias("hot")), "url-ratios")
+    hot, cold = F.broadcast(ratios.where("hot").select("gram", "v")), ratios.where("NOT hot").select("gram", "v")
+    valued = places.join(hot, "gram").unionByName(places.join(hot, "gram", "left_anti").join(cold, "gram"))
+    scores, _ = cut(valued.groupBy("_key").agg((F.sum("v") / F.count("*") / UNITS).alias("_ratio")), "url-scores")
+    drop(parsed.sparkSession, counts_at, levels_at, met_at, ratios_at)
 
     key = F.unhex(F.md5("_text")).alias("_key")
     held = labelled.where("_fold = 0").select("_by_rule", key).join(scores, "_key").select("_by_rule", F.col("_ratio").alias("r"))
