@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,24 @@ def token_chunks(df: DataFrame, tokens: str, size: int, stride: int) -> DataFram
     return df.where(F.size(tokens) > 0).select(*(c for c in df.columns if c != tokens), F.posexplode(windows).alias("chunk_idx", "chunk"))
 
 
+def tokenized(text: Column, path: str, special: bool = False) -> Column:
+    """The token ids of a text by a tokenizers file, read once a worker; none for null."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        found = _tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=special)
+        return pd.Series([None if t is None else e.ids for t, e in zip(texts, found, strict=True)])
+
+    return encode(text)
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def chunk_id(doc_id: Column, index: Column) -> Column:
     """The same id for the same chunk at every run."""
     return F.sha2(F.concat_ws(":", doc_id.cast("string"), index.cast("string")), 256)

@@ -243,8 +243,8 @@ def image_placeholders(field: pd.Series, text: pd.Series) -> pd.DataFrame:
 
 
 def shortened(words: list[str], context: int) -> list[str]:
-    """A run of words, its middle as '...' where it has more than `context` at both ends."""
-    return words if len(words) <= 2 * context else words[:context] + ["..."] + words[-context:]
+    """A run of words, its middle as '...' where it has more than `context` at both ends; whole for a context of 0."""
+    return words if context <= 0 or len(words) <= 2 * context else words[:context] + ["..."] + words[-context:]
 
 
 def word_diff_of(old: str | None, new: str | None, context: int = 3) -> str:
@@ -318,6 +318,11 @@ def verdict_json(c: Column, schema: str) -> Column:
     return F.struct(greedy_json(c, schema).alias("answer"), error.alias("error"), F.when(missing, c).alias("raw"))
 
 
+def chosen_answer(long: Column, short: Column) -> Column:
+    """The long answer without white space around it, else the short one."""
+    return F.coalesce(F.nullif(strip_u(long), F.lit("")), strip_u(short))
+
+
 def safe_name(c: Column, most: int = 160) -> Column:
     """A file name: path characters replaced, white space squeezed, cut; NULL for null and for nothing."""
     plain = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), NAME_CHARS.items(), c.cast("string"))

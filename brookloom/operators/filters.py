@@ -21,7 +21,9 @@ _NUMBER = r"^-?\d+(\.\d+)?$"
 def values_of(field: str, top: list[str], inner: list[str], rubric: list[str], conversation: str = "conversation") -> Column:
     """The values of a field in a thread, as texts, nulls left out."""
     messages = F.col(conversation)
-    if field in inner:
+    if field in inner and field in rubric:  # the message's own, where it has one
+        found = F.transform(messages, lambda m: F.coalesce(m[field].cast("string"), m["rubrics"][field].cast("string")))
+    elif field in inner:
         found = F.transform(messages, lambda m: m[field].cast("string"))
     elif field in rubric:
         found = F.transform(messages, lambda m: m["rubrics"][field].cast("string"))

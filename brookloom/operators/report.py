@@ -109,8 +109,9 @@ def not_deleted(column: Column, ignore_deleted: bool) -> Column:
 
 
 def histogram(df: DataFrame, value: str, bins: int, digits: int = 6) -> DataFrame:
-    """bin, count and density of equal bins between the least and the largest value.  Nulls are left out; a constant column is one bin of width 1; none without values."""
-    known = df.where(F.col(value).isNotNull()).select(value)
+    """bin, count and density of equal bins between the least and the largest value.  Nulls, NaN and infinite values are left out; a constant column is one bin of width 1; none without values."""
+    finite = F.abs(F.col(value).cast("double")) < float("inf")  # NaN is larger
+    known = df.where(F.col(value).isNotNull() & finite).select(value)
     ends = known.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))  # one row
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(1.0)
     binned = known.crossJoin(F.broadcast(ends)).withColumn("_width", width)

@@ -76,8 +76,8 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
     """Threads with service, mentor and school."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("thread"), "o_custkey", "o_orderdate")
     mentors = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    schools = table(spark, d, "nation").select("n_nationkey", "n_name")  # 25 rows
-    return orders.join(mentors, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(schools), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    schools = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return orders.join(mentors, F.col("o_custkey") == F.col("c_custkey"), "left").join(schools, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
 def reply_times(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,7 @@ def q_row_membership(spark, d):
 
 @query("SELECT n_name AS school, min(s_suppkey) AS teacher FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
 def q_teacher_map(spark, d):
-    nations = F.broadcast(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("school")))  # 25 rows
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("school"))
     first = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("teacher"))
     return first.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("school", "teacher")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import report
+from ..operators import report, threads
 from ..sources.tables import table
 from .catalog import query
 
@@ -17,8 +17,8 @@ LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_supp
 def q_detail_join(spark, d):
     """Each submission with everything that is known of it: nine tables joined from the left."""
     places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
-    pupils = F.broadcast(places.select(F.col("n_nationkey").alias("cn"), F.col("n_name").alias("school"), F.col("r_name").alias("region")))  # 25 rows
-    teachers = F.broadcast(places.select(F.col("n_nationkey").alias("sn"), F.col("n_name").alias("teacher_school"), F.col("r_name").alias("teacher_region")))
+    pupils = places.select(F.col("n_nationkey").alias("cn"), F.col("n_name").alias("school"), F.col("r_name").alias("region"))
+    teachers = places.select(F.col("n_nationkey").alias("sn"), F.col("n_name").alias("teacher_school"), F.col("r_name").alias("teacher_region"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     out = rows.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     out = out.join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left").join(pupils, F.col("c_nationkey") == F.col("cn"), "left")
@@ -30,7 +30,7 @@ def q_detail_join(spark, d):
 @query("""SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def q_viewer_threads(spark, d):
     """Threads with their publication and puzzle, which they must have, and the mentor, if there is one."""
-    nations = F.broadcast(table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"))  # 25 rows
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     joined = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name", "r_name")
 
@@ -53,7 +53,7 @@ def q_viewer_filters(spark, d):
 @query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 2, 4) AND coalesce(s_acctbal, 0) >= 0")
 def q_teachers_by_role(spark, d):
     """Members of some roles that aren't deleted."""
-    nations = F.broadcast(table(spark, d, "nation").where(F.col("n_regionkey").isin(1, 2, 4)))
+    nations = table(spark, d, "nation").where(F.col("n_regionkey").isin(1, 2, 4))
     return table(spark, d, "supplier").where(F.coalesce("s_acctbal", F.lit(0.0)) >= 0).join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
 
 
@@ -87,7 +87,7 @@ def q_reply_features(spark, d):
 @query("""SELECT o_orderkey, arg_max(c_name, (n_regionkey, n_nationkey)) AS pupil, arg_max(n_name, (n_regionkey, n_nationkey)) AS school FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey % 10 = c_custkey % 10 LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def q_last_membership_wins(spark, d):
     """Submissions with pupil, memberships and groups; of several groups the last one, in one order."""
-    nations = F.broadcast(table(spark, d, "nation"))
+    nations = table(spark, d, "nation")
     groups = table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("m"), "s_nationkey").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     # the last group of each member first, so that memberships don't multiply submissions
     last = groups.groupBy("m").agg(F.max_by("n_name", F.struct("n_regionkey", "n_nationkey")).alias("school"))
@@ -151,3 +151,51 @@ def q_round_robin(spark, d):
     own = F.row_number().over(Window.partitionBy("_range").orderBy("o_orderkey")) - 1
     placed = ranged.withColumn("_own", own).join(before, "_range")
     return placed.select("o_orderkey", ((F.coalesce("_before", F.lit(0)) + F.col("_own")) % 3).cast("bigint").alias("endpoint"))
+
+
+# ---- the viewers' own operators over submissions of the conversations
+
+_SUBS = """m AS (SELECT conv_id, turn, text, role, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+subs AS (SELECT conv_id AS thread_id, turn, coalesce(text, '') AS short_answer, coalesce('I think ' || text, '') AS long_answer, CASE WHEN nr = 'assistant' THEN coalesce(nt, '') ELSE '' END AS response,
+  CASE WHEN length(text) % 3 <> 0 THEN length(text) % 5 END AS strategy, CASE WHEN length(text) % 4 <> 0 THEN length(text) % 7 END AS clarity FROM m WHERE role = 'user'),
+metrics AS (SELECT thread_id, 'Problem ' || thread_id AS puzzle_text, 'mentor ' || thread_id % 3 AS mentor_name, count(*) AS num_subs, count(*) FILTER (strategy IS NOT NULL OR clarity IS NOT NULL) AS num_rubrics,
+  count(*) FILTER (trim(response, E' \\n\\t\\r') <> '') AS num_mentor_msgs, median(length(short_answer))::DOUBLE AS median_short, median(length(long_answer))::DOUBLE AS median_long, median(length(response))::DOUBLE AS median_mentor,
+  bool_or(regexp_matches(short_answer || ' ' || long_answer || ' ' || response, 'data:image/[^;]+;base64,', 'i')) AS has_images, 'School ' || thread_id % 5 AS school_name FROM subs GROUP BY thread_id)"""
+
+
+def submissions(spark, d):
+    """Each user turn of a conversation with the reply after it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("nr"), F.lead("text").over(w).alias("nt")).where("role = 'user'")
+    n = F.length("text")
+    return rows.select(
+        F.col("conv_id").alias("thread_id"), "turn", F.col("text").alias("short_answer"), F.concat(F.lit("I think "), "text").alias("long_answer"), F.when(F.col("nr") == "assistant", F.col("nt")).alias("response"),
+        F.when(n % 3 != 0, n % 5).alias("strategy"), F.when(n % 4 != 0, n % 7).alias("clarity"), F.concat(F.lit("School "), (F.col("conv_id") % 5).cast("string")).alias("school_name"),
+        F.concat(F.lit("Problem "), F.col("conv_id").cast("string")).alias("puzzle_text"), F.concat(F.lit("mentor "), (F.col("conv_id") % 3).cast("string")).alias("mentor_name"))
+
+
+def _metrics(spark, d):
+    return threads.thread_metrics(submissions(spark, d), "thread_id", "turn", ["strategy", "clarity"], carry=["puzzle_text", "mentor_name"])
+
+
+@query(f"WITH {_SUBS} SELECT * FROM metrics")
+def q_all_thread_metrics(spark, d):
+    """All that the list of threads shows and searches."""
+    return _metrics(spark, d)
+
+
+@query(f"""WITH {_SUBS} SELECT * FROM metrics WHERE thread_id::VARCHAR LIKE '%1%' AND lower(puzzle_text) LIKE '%problem%' AND lower(school_name) LIKE '%school%' AND lower(mentor_name) LIKE '%mentor%'
+AND num_subs >= 1 AND num_mentor_msgs >= 1 AND num_rubrics >= 1 AND median_short >= 20 AND median_long >= 25 AND median_mentor >= 10 AND NOT has_images AND thread_id IN (SELECT user_id FROM events)""")
+def q_thread_search(spark, d):
+    """Threads by a whole search form: four texts, six thresholds, images and feedback."""
+    asked = {"thread_id": "1", "puzzle_text": "PROBLEM", "school_name": "school", "mentor_name": " Mentor ", "num_subs": "1", "num_mentor_msgs": "1", "num_rubrics": "1", "median_short": "20", "median_long": "25", "median_mentor": "10", "has_images": "no", "has_feedback": "Yes"}
+    return threads.searched(_metrics(spark, d), asked, table(spark, d, "events").select(F.col("user_id").alias("thread_id")))
+
+
+@query(f"""WITH {_SUBS}, s AS (SELECT thread_id, turn, (coalesce(strategy, 0) + coalesce(clarity, 0))::DOUBLE AS total_score, CASE WHEN short_answer <> '' AND long_answer <> '' AND response <> '' THEN 'Y' ELSE 'N' END AS filled, short_answer FROM subs)
+SELECT thread_id, turn, total_score, filled FROM s WHERE turn::VARCHAR LIKE '%1%' AND lower('Problem ' || thread_id) LIKE '%problem%' AND lower(short_answer) LIKE '%e%' AND total_score >= 3.5 AND filled = 'Y'""")
+def q_submission_search(spark, d):
+    """Submissions by a whole form: id, puzzle, answer, images, least total score, filled."""
+    rows = submissions(spark, d).withColumns({"submission_id": F.col("turn"), "images": F.array().cast("array<string>")})
+    asked = {"id": "1", "puzzle": "PROBLEM", "short_answer": "E", "images": "n", "min_score": "3.5", "filled": "y"}
+    return threads.submissions_like(rows, asked, ["strategy", "clarity"]).select("thread_id", "turn", "total_score", "filled")

@@ -8,7 +8,7 @@ import sqlite3
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import closing
 from typing import BinaryIO
 
@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import file_system, listed
 from .shipping import ship
+from .sinks import write_files
 
 _log = logging.getLogger(__name__)
 MEMBERS = "archive string, member string, content binary"
@@ -216,6 +217,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
+def ensured_files(spark: SparkSession, needed: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """thread_id and the path of the text of each needed thread (thread_id) below a folder; those that aren't there are made.
+
+    make: from the threads without a file to path (thread_<id>.txt) and content of each.
+    """
+    want = needed.select("thread_id").distinct()
+    lacking = want.join(thread_files(spark, folder).where("txt IS NOT NULL"), "thread_id", "left_anti")
+    write_files(make(lacking), folder)
+    return want.join(thread_files(spark, folder).select("thread_id", F.col("txt").alias("path")), "thread_id", "left")
+
+
 def read_config(path: str, known: set[str]) -> dict[str, dict]:
     """A filter config (field to rules) from a JSON file on the driver; unknown rules are an error."""
     with open(path, encoding="utf-8") as f:
