@@ -50,7 +50,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps the half that was met most.
-CACHE = 200_000
+CACHE = 100_000
 
 
 # ---- blocks

@@ -50,7 +50,7 @@ BITS = 18
 WIDTH = 1 << BITS
 PREFIXES = (3, 4, 5, 6, 7)
 #: Distinct words whose scores a Python worker remembers; beyond, it starts anew.
-CACHE = 150_000
+CACHE = 75_000
 def features_of(word: bytes) -> list[int]:
     """The word and its prefixes (of characters), hashed."""
     found = [zlib.crc32(word, 1) & (WIDTH - 1)]
