@@ -2,7 +2,8 @@
 
 Categories are predicted one after the other by logistic models.  Each later model also gets the
 probabilities of the earlier categories.  When it is trained those are out-of-fold predictions (FOLDS
-folds by a hash of the id), so it learns from probabilities as good as the ones it will meet.
+folds by a hash of the id), so it learns from probabilities as good as the ones it will meet.  All that a
+fold's rows get is learned from the other folds: which features count, the groups, and the weights.
 
 The features are the distinct words of the whole text and their prefixes of 3 to 7 characters, hashed.
 A word's features depend on the word only, so a text's score is a sum over its distinct words, whose
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -80,6 +82,20 @@ def kinds_of(rows: Rows, of_word: Rows, kinds: int, rounds: int = 10, width: int
     return place[at]
 
 
+@dataclass
+class _View:
+    """Training rows by the features that some of them have shown to matter."""
+
+    features: np.ndarray
+    rows: Rows
+    of_word: Rows
+    labels: np.ndarray
+
+    def predict(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
+        width = len(self.features)
+        return sigmoid(self.rows.dot(self.of_word.dot(w[:width])) + before @ w[width:-1] + w[-1])
+
+
 class ToxicityChain:
     def __init__(self, categories: tuple[str, ...] = ()) -> None:
         self.categories = categories
@@ -113,23 +129,29 @@ class ToxicityChain:
         rows = Rows(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids), None, len(distinct))
         del parts, ids
         toxic = labels.max(axis=1) > 0
-        seen, others = (np.bincount(hashes, weights=rows.back(y.astype(float))[owner], minlength=WIDTH) for y in (toxic, ~toxic))
-        odds = (seen / max(1, toxic.sum())) / ((others + 0.5) / max(1, (~toxic).sum()))
-        model.features = np.flatnonzero((seen >= 3) & (odds >= LIFT))
-        place = np.full(WIDTH, -1)
-        place[model.features] = np.arange(len(model.features))
-        keep = place[hashes] >= 0
-        per_word = np.bincount(owner[keep], minlength=len(distinct))
-        of_word = Rows(per_word, place[hashes[keep]], None, len(model.features))
-        width = len(model.features)
-        # words without such a feature add nothing
-        useful = per_word[rows.columns] > 0
-        rows = Rows(np.bincount(rows.row[useful], minlength=rows.n), rows.columns[useful], None, rows.width)
-        if kinds:
-            group = np.where(toxic, kinds_of(Rows(np.where(toxic, np.bincount(rows.row, minlength=rows.n), 0), rows.columns[toxic[rows.row]], None, rows.width), of_word, kinds), -1)
-            labels = np.column_stack([*(group == k for k in range(kinds)), labels]).astype(int)
-
-        def train(y: np.ndarray, before: np.ndarray, use: np.ndarray) -> np.ndarray:
+
+        def seen_by(rows_used: np.ndarray) -> _View:
+            """Features, words and labels as some of the rows show them, for all rows."""
+            yes, no = toxic & rows_used, ~toxic & rows_used
+            seen, others = (np.bincount(hashes, weights=rows.back(y.astype(float))[owner], minlength=WIDTH) for y in (yes, no))
+            odds = (seen / max(1, yes.sum())) / ((others + 0.5) / max(1, no.sum()))
+            features = np.flatnonzero((seen >= 3) & (odds >= LIFT))
+            place = np.full(WIDTH, -1)
+            place[features] = np.arange(len(features))
+            keep = place[hashes] >= 0
+            per_word = np.bincount(owner[keep], minlength=len(distinct))
+            of_word = Rows(per_word, place[hashes[keep]], None, len(features))
+            # words without such a feature add nothing
+            useful = per_word[rows.columns] > 0
+            own = Rows(np.bincount(rows.row[useful], minlength=rows.n), rows.columns[useful], None, rows.width)
+            y = labels
+            if kinds:
+                group = np.where(yes, kinds_of(Rows(np.where(yes, np.bincount(own.row, minlength=own.n), 0), own.columns[yes[own.row]], None, own.width), of_word, kinds), -1)
+                y = np.column_stack([*(group == k for k in range(kinds)), labels]).astype(int)
+            return _View(features, own, of_word, y)
+
+        def train(view: _View, c: int, before: np.ndarray, use: np.ndarray) -> np.ndarray:
+            y, width = view.labels[:, c].astype(float), len(view.features)
             share = np.clip(np.average(y, weights=use), 1e-4, 1 - 1e-4)
             start = np.zeros(width + before.shape[1] + 1)
             start[-1] = np.log(share / (1 - share))
@@ -138,27 +160,29 @@ class ToxicityChain:
                 return start
 
             def gradient(w: np.ndarray) -> np.ndarray:
-                z = rows.dot(of_word.dot(w[:width])) + before @ w[width:-1] + w[-1]
-                r = (sigmoid(z) - y) * use / use.sum()
-                return np.concatenate((of_word.back(rows.back(r)) + l2 * w[:width], before.T @ r + l2 * w[width:-1], [r.sum()]))
+                r = (view.predict(w, before) - y) * use / use.sum()
+                return np.concatenate((view.of_word.back(view.rows.back(r)) + l2 * w[:width], before.T @ r + l2 * w[width:-1], [r.sum()]))
 
             return descend(start, gradient, rounds, 0.1)
 
-        def predict(w: np.ndarray, before: np.ndarray) -> np.ndarray:
-            return sigmoid(rows.dot(of_word.dot(w[:width])) + before @ w[width:-1] + w[-1])
-
+        # what a fold's rows get was learned from the others alone: features, groups and weights
+        out_of_fold = model.out_of_fold = np.zeros((len(labels), len(categories) - 1))
+        for k in np.unique(folds) if len(categories) > 1 else []:
+            others, own = folds != k, folds == k
+            if not others.any():
+                out_of_fold[own] = 0.5
+                continue
+            view, before = seen_by(others), np.zeros((len(labels), 0))
+            for c in range(len(categories) - 1):
+                p = view.predict(train(view, c, before, weights * others), before)
+                out_of_fold[own, c] = p[own]
+                before = np.column_stack((before, p))
+        view = seen_by(np.ones(len(labels), bool))
+        model.features, width = view.features, len(view.features)
         model.weights = np.zeros((len(categories), width))
-        before = np.zeros((len(labels), 0))
         for c in range(len(categories)):
-            y = labels[:, c].astype(float)
-            w = train(y, before, weights)
+            w = train(view, c, out_of_fold[:, :c], weights)
             model.weights[c], model.links[c, :c], model.bias[c] = w[:width], w[width:-1], w[-1]
-            if c + 1 < len(categories):
-                out_of_fold = np.zeros(len(y))
-                for k in range(FOLDS):
-                    part = predict(train(y, before, weights * (folds != k)), before) if (folds != k).any() else np.full(len(y), y.mean())
-                    out_of_fold[folds == k] = part[folds == k]
-                before = np.column_stack((before, out_of_fold))
         return model
 
     def _score_words(self, words: list[bytes]) -> np.ndarray:
@@ -196,7 +220,7 @@ class ToxicityChain:
         return out
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}, "_scores": []}
+        return {k: v for k, v in self.__dict__.items() if k != "out_of_fold"} | {"_known": {}, "_scores": []}
 
 
 _SENT = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())])

@@ -125,6 +125,101 @@ def test_toxicity(spark):
     assert len(rows_of(toxicity.score(odd(spark), toxicity.fit(docs, truth.where("false"))))) == len(ODD)
 
 
+def test_a_folds_labels_have_no_say_in_what_it_gets():
+    """Out-of-fold probabilities of a fold stay when its labels are turned; those of the others don't."""
+    import numpy as np
+
+    rng = random.Random(9)
+    words, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        words.append(sorted({f"w{rng.randint(0, 60)}".encode() for _ in range(12)} | ({b"vile" if i % 8 else b"grim", f"bad{i % 3}".encode()} if bad else set())))
+        labels.append([int(bad)])
+    labels, folds = np.array(labels), np.arange(240) % 3
+    first = toxicity.ToxicityChain.fit(words, labels, folds, ("toxic",), kinds=2)
+    for k in range(3):
+        turned = labels.copy()
+        turned[folds == k] = 1 - turned[folds == k]
+        second = toxicity.ToxicityChain.fit(words, turned, folds, ("toxic",), kinds=2)
+        same = np.abs(first.out_of_fold - second.out_of_fold).max(axis=1) < 1e-12
+        assert same[folds == k].all() and not same[folds != k].all()
+    assert first.out_of_fold.shape == (240, 2) and "out_of_fold" not in first.__getstate__()
+
+
+def test_quality_risk_is_the_non_negative_one():
+    """The fitted weights are where plain descent on the risk, written out row by row, leads."""
+    import numpy as np
+
+    texts = [b"Good words here.", b"More good words.", b"Fine text too."], [b"### $$$", b"Good words again.", b"%% || %%", b"@@ ##"]
+    rows = [[quality.features_of(t) for t in part] for part in texts]
+    model = quality.QualityModel.fit(*rows, prior=0.3, rounds=400)
+
+    def risk(scores):
+        p, u = (np.array([math_log1pexp(s) for s in part]) for part in scores)
+        pos = np.mean([math_log1pexp(-s) for s in scores[0]])
+        return 0.3 * pos + max(0.0, u.mean() - 0.3 * p.mean())
+
+    def math_log1pexp(z):
+        return float(np.logaddexp(0, z))
+
+    margin = lambda part: [float(np.log(q / (1 - q))) for q in model.predict(part)]
+    fitted = risk([margin(part) for part in texts])
+    assert fitted < risk([[0.0] * 3, [0.0] * 4]) - 0.2
+    assert min(margin(texts[0])) > max(margin([texts[1][0], texts[1][2], texts[1][3]]))
+    # the gradient that the fit descends is that of the risk: moving the bias either way does not help
+    for step in (-0.5, 0.5):
+        assert risk([[m + step for m in margin(part)] for part in texts]) > fitted - 0.02
+
+
+def test_prior_by_hand():
+    import numpy as np
+
+    positive = np.arange(10.0)
+    unlabelled = np.concatenate([np.arange(10.0), np.full(10, -5.0)])
+    # at thresholds 0 and 1: all and nine tenths of the positives are above, half and 0.45 of the others
+    assert quality.estimate_prior(positive, unlabelled) == pytest.approx(0.5)
+    assert quality.estimate_prior(positive, positive - 100) == 0.05 and quality.estimate_prior(positive, positive + 100) == 0.98
+
+
+def test_language_votes_by_hand():
+    """Two families of which one has three languages: votes, then margins, then the least of the winner's pairs."""
+    import numpy as np
+
+    model = langid.LanguageModel(["en", "de", "nl", "fr"])
+    assert model.families == ["germanic", "romance"] and model.members["germanic"] == ["de", "en", "nl"]
+    # probabilities come from the biases alone: no weights
+    model.machines = [(("family", "germanic"), 1.0, 1.0, 0.0), (("pair", "de", "en"), -2.0, 1.0, 0.0), (("pair", "de", "nl"), 0.5, 1.0, 0.0), (("pair", "en", "nl"), 3.0, 1.0, 0.0)]
+    model.weights = np.zeros((4, langid.WIDTH), np.float32)
+    s = lambda z: 1 / (1 + np.exp(-z))
+    names, scores = model.predict([b"any text", None, b"12"])
+    assert names == ["en", "und", "und"] and scores[1:] == [0.0, 0.0]
+    assert scores[0] == pytest.approx(s(1.0) * min(s(2.0), s(3.0)), abs=1e-9)
+    model.machines[2] = (("pair", "de", "nl"), 4.0, 1.0, 0.0)
+    model.machines[1], model.machines[3] = (("pair", "de", "en"), -0.1, 1.0, 0.0), (("pair", "en", "nl"), -0.1, 1.0, 0.0)
+    # one vote each: de by a wide margin over nl
+    assert model.predict([b"any text"])[0] == ["de"]
+
+
+@pytest.mark.parametrize("name", ["langid", "toxicity", "token_count", "quality"])
+def test_defined_cases_of_scoring(spark, name):
+    """No rows, repeated rows, very long texts, nulls, and columns named as the results."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    run, new = {
+        "langid": (lambda df: langid.identify(df, langid.LanguageModel([])), ["lang_pred", "score"]),
+        "toxicity": (lambda df: toxicity.score(df, toxicity.ToxicityChain(("toxic",))), ["p_toxic", "is_toxic"]),
+        "token_count": (lambda df: token_count.count_tokens(df, path), ["n_bytes", "n_tokens", "over_limit"]),
+        "quality": (lambda df: quality.score(df, quality.QualityModel()), ["score", "predicted"]),
+    }[name]
+    rows = [(i, t, "kept", "gone") for i, t in [*ODD, (77, "long word " * 60_000)]]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, other string, {new[0].upper()} string")
+    got = rows_of(run(df))
+    assert [list(r) for r in got[:1]] == [["doc_id", "text", "other", *new]]
+    assert len(got) == len(rows) and all(r["other"] == "kept" for r in got)
+    same = [tuple(r[c] for c in new) for r in got if r["doc_id"] == 6]
+    assert len(same) == 2 and same[0] == same[1] and None not in same[0]
+    assert rows_of(run(df.where("false"))) == [] and run(df.where("false")).columns == ["doc_id", "text", "other", *new]
+
+
 def test_quality(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["river", "stone", "garden", "house"]) for _ in range(40)) + "."
@@ -214,7 +309,7 @@ def test_urls_are_judged_by_query_and_digits(spark):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_signatures_estimate_weighted_jaccard():
