@@ -5,10 +5,12 @@ support vector machines separate the languages of that family by votes, and by m
 The features are hashed byte n-grams (1 to 4) of the lower-cased text without punctuation, as shares of
 its n-grams, so a score is a mean of weights and whole texts of any length are scored in one pass.
 
-The models are fitted on a sample of SAMPLE rows of each language, chosen by a hash of the id; all other
-work covers all rows.  A language that FAMILIES doesn't know is a family of its own.
+The models are fitted on a sample of SAMPLE rows of each language, chosen by a hash of the id, of the LANGUAGES
+that most rows name (ties go by code); all other work covers all rows.  A language that FAMILIES doesn't
+know is a family of its own.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; rows of null language
+Defined cases: an empty table gives an empty one; repeated rows are identified one by one; an input column
+that has the name of an output column is replaced; a null text, or one without a letter, is `und` with score 0; rows of null language
 teach nothing; without any learned language every text is `und`; with one, all texts with a letter
 are of it.  The score is the product of the calibrated probabilities of the family and of the
 closest pair decision in it.
@@ -31,6 +33,8 @@ from .linear import Rows, descend, platt, sampled, sigmoid
 from .ngrams import WIDTH, counts, joined, mean_weights
 
 SAMPLE = 600
+#: Languages that are learned at most: what is fitted, and sent to the executors, stays bounded whatever the codes are.
+LANGUAGES = 100
 SIZES = (1, 2, 3, 4)
 #: Shares are small numbers; weights and shares are scaled alike.
 SCALE = 100.0
@@ -145,8 +149,8 @@ def _machine(yes: list, no: list, l2: float = 1e-4, rounds: int = 60) -> tuple[n
 _FEATURES = T.StructType([T.StructField("name", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())])
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", use: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from the rows where `use` holds and the language isn't null."""
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", use: Column | None = None, sample: int = SAMPLE, languages: int = LANGUAGES) -> LanguageModel:
+    """Learn from the rows where `use` holds and the language isn't null: at most `sample` of each, of at most `languages`."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if use is None else use)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
 
@@ -156,7 +160,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
                 out = [(name, *counts(t, WORD_TABLE, SIZES)) for t, name in zip(texts_of(batch, "t"), batch.column("l").to_pylist(), strict=True) if has_letter(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1].tobytes() for o in out], pa.binary()), pa.array([o[2].tobytes() for o in out], pa.binary())], names=_FEATURES.names)
 
-    got = sampled(rows, "l", "i", sample).mapInArrow(features, _FEATURES).collect()
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
+    got = sampled(rows, "l", "i", sample, sizes).mapInArrow(features, _FEATURES).collect()
     got = sorted(((r["name"], bytes(r["at"]), bytes(r["share"])) for r in got))  # the order of rows has no say
     return LanguageModel.fit([(n, np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for n, a, s in got])
 

@@ -15,8 +15,9 @@ The model is fitted on about SAMPLE positives and SAMPLE unlabelled texts, chose
 other work covers all rows.  Labels are read from the rows that `use` leaves; no negative label is used.
 
 Defined cases: null and empty texts have zero features and get a score from those; without any positive
-every score is the prior 0.5; repeated rows are scored one by one; an input column that has the name of
-an output column is replaced.
+every score is the prior 0.5; texts of any length are read whole; repeated rows are scored one by one, and an
+id that is labelled several times is one positive; an empty table gives an empty one; an input column that
+has the name of an output column is replaced.  The estimated prior is held between 0.05 and 0.98.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ Within a sequence all occurrences of the lowest pair are merged in one round whe
 merging from left to right one by one: no new neighbour ranks at or below the pair.  Where that
 doesn't hold, and for sequences of over LONG symbols, a heap merges one pair at a time.
 
-Defined cases: null and empty texts have no tokens; repeated rows are counted one by one; an input
-column that has the name of an output column is replaced.
+Defined cases: null and empty texts have no tokens; texts of any length are counted whole; repeated rows
+are counted one by one; an empty table gives an empty one; an input column that has the name of an output
+column is replaced.
 """
 
 from __future__ import annotations

@@ -102,6 +102,7 @@ def test_language(spark):
     found = rows_of(langid.identify(odd(spark), model))
     assert [r["lang_pred"] == "und" for r in found] == [not t or not any(c.isalpha() for c in t) for _, t in ODD]
     assert all(0 <= r["score"] <= 1 for r in found)
+    assert langid.fit(df.where("lang <> 'es' OR doc_id < 20"), languages=3).languages == ["de", "en", "fr"]  # those of most rows
     none = langid.fit(df.where("false"))
     assert {r["lang_pred"] for r in rows_of(langid.identify(odd(spark), none))} == {"und"}
     three = langid.LanguageModel.fit([(lang, *langid.counts(t, langid.WORD_TABLE, langid.SIZES)) for lang, t in [("ru", "это дом".encode()), ("en", b"this is a house"), ("fr", b"une maison rouge")] * 5])
