@@ -66,7 +66,7 @@ def features_of(word: bytes) -> list[int]:
 def kinds_of(rows: Rows, of_word: Rows, kinds: int, rounds: int = 10, width: int = 64) -> np.ndarray:
     """The group, from 0 (the largest), of each row of a table of features (rows of words, words of features): spherical k-means on random signs of the features."""
     signs = np.where(np.random.default_rng(11).random((of_word.width, width)) < 0.5, -1.0, 1.0)
-    x = np.column_stack([rows.dot(of_word.dot(signs[:, k])) for k in range(width)])
+    x = np.column_stack([rows.dot(of_word.dot(signs[:, k])) for k in range(width)]).astype(float)  # whole numbers where there are no features
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centres = [x.sum(axis=0) / max(np.linalg.norm(x.sum(axis=0)), 1e-12)]
     while len(centres) <= kinds:  # the first stands for all rows and only says which one is farthest
