@@ -285,3 +285,42 @@ def test_a_hot_text_is_held_back_in_its_task(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.find_duplicates(df))}
     assert got == {i: (79, 40, i == 79) if t.startswith("hot") else (139, 40, i == 139) if t == "warm" else (i, 1, True) for i, t in rows}
+
+
+def test_recall_on_a_whole_table(spark):
+    """All pairs of the documents at sf0.01, by an index of their shingles, against the classes that are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for _, t in rows:
+        w = words_of((t or "").encode())
+        n = min(5, len(w))
+        sets.append(Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter())
+    sizes, holders, shared = [sum(s.values()) for s in sets], {}, Counter()
+    for k, s in enumerate(sets):
+        for shingle, n in s.items():
+            for j, m in holders.setdefault(shingle, []):
+                if min(sizes[j], sizes[k]) >= 0.8 * max(sizes[j], sizes[k]):
+                    shared[j, k] += min(n, m)
+            holders[shingle].append((k, n))
+    links = [(j, k) for (j, k), both in shared.items() if both >= 0.8 * (sizes[j] + sizes[k] - both)]
+    parent = list(range(len(rows)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for j, k in links:
+        parent[top(j)] = top(k)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(top(k) if sizes[k] else "no words", set()).add(i)
+    found = {}
+    for r in rows_of(near_dedup.near_duplicates(docs)):
+        found.setdefault(r["class_id"], set()).add(r["doc_id"])
+    class_of = {i: c for c, members in found.items() for i in members}
+    assert len(links) > 100
+    assert sum(class_of[rows[j][0]] == class_of[rows[k][0]] for j, k in links) == len(links)  # recall 1
+    empty = want.pop("no words", set())
+    assert {frozenset(m - empty) for m in found.values() if m - empty} == {frozenset(m) for m in want.values()}
