@@ -50,6 +50,7 @@ MATH = [
     r"[∀∃∑∫∞≈≃≅≡≤≥√±÷×⋅∠°′″→⇒⇔≈≠∈∉∩∪⊂⊆⊇⊃∅∴∵∝]",
     r"[^\w]\^[^\s]", r"_[^\s\w]",
 ]
+MATH_SIGN = r"[$\\^_∀∃∑∫∞≈≃≅≡≤≥√±÷×⋅∠°′″→⇒⇔≠∈∉∩∪⊂⊆⊇⊃∅∴∵∝]"
 #: A tag that holds an image, with the image.
 IMAGE = r"(?i)<[^>]+?base64,([^\"'>\s]+)[^>]*>"
 #: Tags that the image-preserving form keeps, and all others.
@@ -88,10 +89,30 @@ def sanitize(c: Column) -> Column:
     return squeeze(F.regexp_replace(unescape(c), r"\\r|\\n|\\t", " "))
 
 
+#: What a text must hold, in any case, for a rule of REMOVED to find something: most texts are spared most rules.
+_NEEDED = [";base64,", "image ", "/*", "<!--", "<", "{\\*", "{\\", "normal 0 false", "mso-", "table.msonormaltable", "/*", "normal.dotm", "mso-", "class="]
+
+
+class _Printable(dict):
+    """A table for str.translate that drops characters of category C; filled as characters are met."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = found = None if unicodedata.category(chr(code))[0] == "C" else code
+        return found
+
+
+_PRINTABLE = _Printable()
+
+
 def compat_of(text: str | None) -> str:
     """A text cleaned by the order of steps that filter runs have: bytes beyond ASCII become Latin-1, escapes are read, control characters go."""
-    for pattern in REMOVED:
-        text = re.sub(pattern, "", text or "")
+    text = text or ""
+    folded = text.casefold()
+    for needed, pattern in zip(_NEEDED, REMOVED, strict=True):
+        if needed in folded:
+            shorter = re.sub(pattern, "", text)
+            if len(shorter) < len(text):
+                text, folded = shorter, shorter.casefold()
     text = html.unescape(text).encode("utf-8").decode("unicode_escape", errors="backslashreplace")
     for sign, plain in PUNCTUATION.items():
         text = text.replace(sign, plain)
@@ -139,7 +160,7 @@ def web_text(text: str | None, keep_images: bool = False) -> str:
     text = html.unescape(text or "")
     for sign in MISREAD:
         text = text.replace(misread(sign), sign)
-    text = "".join(c for c in text.replace(STRAY, "") if unicodedata.category(c)[0] != "C")
+    text = text.replace(STRAY, "").translate(_PRINTABLE)
     text = re.sub(r"\\r\\n|\\r|\\n", "\n", text).replace("\\t", "&nbsp;" * 4)
 
     def put(m: re.Match) -> str:
@@ -280,7 +301,8 @@ def signed_delta(before: Column, now: Column) -> Column:
 
 def mathiness(c: Column) -> Column:
     """Signs of mathematics for each digit of the text's length; 0 for none."""
-    found = F.regexp_count(c, F.lit("(?U)" + "|".join(MATH)))
+    some = F.regexp_like(c, F.lit(MATH_SIGN))  # each sign has one of these; most texts have none
+    found = F.when(some, F.regexp_count(c, F.lit("(?U)" + "|".join(MATH)))).otherwise(0)
     return F.coalesce(F.when(F.length(c) > 0, found / F.greatest(F.lit(1.0), F.log10(F.length(c) + 1))), F.lit(0.0))
 
 
@@ -337,4 +359,4 @@ def shown(c: Column, most: int) -> Column:
 
 @F.pandas_udf(T.StringType())
 def without_categories_c(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(ch for ch in x if unicodedata.category(ch)[0] != "C"))
+    return s.map(lambda x: None if x is None else x.translate(_PRINTABLE))
