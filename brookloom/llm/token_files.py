@@ -50,7 +50,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps the half that was met most.
-CACHE = 100_000
+CACHE = 200_000
 
 
 # ---- blocks
@@ -278,8 +278,8 @@ _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def tokenizer(path: str, cache: int = CACHE) -> Vocabulary:
+    return Vocabulary(path, cache)
 
 
 class Vocabulary:
@@ -289,7 +289,8 @@ class Vocabulary:
     token nor a normalisation reaches across ASCII white space; only then is a text cut into pieces.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -333,8 +334,8 @@ class Vocabulary:
         """The place of each of some distinct pieces; new ones are encoded."""
         new = [p for p in pieces if p not in self.place]
         if new:
-            if len(self.place) + len(new) > CACHE:
-                self.shrink(CACHE // 2)
+            if len(self.place) + len(new) > self.cache:
+                self.shrink(self.cache // 2)
                 new = [p for p in pieces if p not in self.place]
             names, ids, size = self.encode(new)
             base = len(self.place)
@@ -427,13 +428,13 @@ def _listed(column: pa.BinaryArray) -> list[bytes]:
     return [whole[i:j] for i, j in pairwise(at)]
 
 
-def encode_texts(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[bytes | None], path: str, cache: int = CACHE) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, without special tokens, as the tokenizers library gives them for each whole text; where each text ends.
 
     Each distinct piece is encoded by the library once, many pieces in a call.  A text that may hold a
     special token goes to the library whole.
     """
-    known = tokenizer(path)
+    known = tokenizer(path, cache)
     texts = [t or b"" for t in texts]
     alone = np.array([bool(t) and (not known.by_piece or b"<|" in t) for t in texts], bool)
     pieces, counts = cut_texts([b"" if a else t for t, a in zip(texts, alone.tolist(), strict=True)])
@@ -457,8 +458,8 @@ def encode_texts(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.n
 _FILES = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("tokens", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write all documents to folder; the list of files with `before`, the ids of all files before each."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, file_tokens: int = FILE_TOKENS, cache: int = CACHE) -> DataFrame:
+    """Write all documents to folder; the list of files with `before`, the ids of all files before each.  cache: pieces that a worker remembers."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -488,7 +489,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
         for whole in batches:
             for batch in bounded(whole, 2 << 20):
-                ids, ends = encode_texts(texts_of(batch, "t"), tokenizer_path)
+                ids, ends = encode_texts(texts_of(batch, "t"), tokenizer_path, cache)
                 ids = np.insert(ids, ends, end_id)  # after each document
                 ends = (ends + np.arange(1, len(ends) + 1)).tolist()
                 start = 0
