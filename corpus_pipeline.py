@@ -44,7 +44,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     They stay in the folder that the setting `spark.brookloom.tokens` names; without it they go when they have been read back.
     """
-    return token_files.token_digest(docs, tokenizer_path("word_bpe_49k.json"), folder=spark.conf.get("spark.brookloom.tokens", None))
+    # workers that have served four stages remember less
+    return token_files.token_digest(docs, tokenizer_path("word_bpe_49k.json"), folder=spark.conf.get("spark.brookloom.tokens", None), cache=100_000)
 
 
 STAGES = [
