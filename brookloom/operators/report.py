@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_half_even, pearson, percent
 from ..functions.text import safe_name
+from ..sources.zips import write_archives
 
 #: The six rubric categories.
 RUBRIC = ["strategy", "interpretation", "accuracy", "completeness", "clarity", "reflection"]
@@ -181,14 +182,8 @@ def thread_features(messages: DataFrame, thread: str, *, reply: Column, scored:
     return out.withColumn("delta_total", reduce(lambda a, b: a + b, (F.col(k) for k in each)))
 
 
-def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFrame:
-    """All sections of the report (COLUMNS) from one table of features by thread, read once.
-
-    features: mentor_reply_count, student_revisions, scored_replies, delta_<category>, delta_total,
-    reply_seconds_median and FACTORS.  A thread makes a row for each cell that counts it; cells are summed
-    before they are shuffled, and percents, means, medians and correlations come from the sums.  Sections
-    that are there without threads (summaries, shares, correlations) get a row of weight 0.
-    """
+def _cells(features: DataFrame, categories: list[str], carry: list[str]) -> DataFrame:
+    """A row for each cell of the report that counts a thread: section, group, key, category, x, y, weight."""
     null, number = F.lit(None), lambda c: F.col(c).cast("double")
     eligible = F.col("delta_total").isNotNull() & (F.col("scored_replies") >= 2)
 
@@ -209,12 +204,23 @@ def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFra
         alone("by_replies", on=eligible, x=F.col("mentor_reply_count"), y=F.col("delta_total")), alone("by_revisions", on=eligible, x=F.col("student_revisions"), y=F.col("delta_total")),
         alone("hours", median / 3600, on=median.isNotNull()), alone("by_time", on=median.isNotNull() & F.col("delta_total").isNotNull(), x=median, y=F.col("delta_total")),
     ]
-    cells = features.select(*FACTORS, F.explode(F.array_compact(F.array(*counted))).alias("c"))
+    cells = features.select(*FACTORS, *carry, F.explode(F.array_compact(F.array(*counted))).alias("c"))
     named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("NULL"))
     place = lambda k, group: F.struct(F.col(f"c.s{k}").alias("section"), group.alias("group"))
     everywhere, by = place(0, F.lit("ALL")), [place(k + 1, named(c)) for k, c in enumerate(FACTORS)]
     places = F.when(F.col("c.alone"), F.array(everywhere)).when(F.col("c.every"), F.array(everywhere, *by)).otherwise(F.array(*by))
-    cells = cells.select("c", F.explode(places).alias("p")).select("p.section", "p.group", "c.key", "c.category", "c.x", "c.y", "c.weight")
+    return cells.select(*carry, "c", F.explode(places).alias("p")).select(*carry, "p.section", "p.group", "c.key", "c.category", "c.x", "c.y", "c.weight")
+
+
+def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFrame:
+    """All sections of the report (COLUMNS) from one table of features by thread, read once.
+
+    features: mentor_reply_count, student_revisions, scored_replies, delta_<category>, delta_total,
+    reply_seconds_median and FACTORS.  A thread makes a row for each cell that counts it; cells are summed
+    before they are shuffled, and percents, means, medians and correlations come from the sums.  Sections
+    that are there without threads (summaries, shares, correlations) get a row of weight 0.
+    """
+    cells = _cells(features, categories, [])
     always = [(SECTIONS[n], None) for n in ("scored", "summary", "by_replies", "by_revisions", "by_time")] + [(SECTIONS["share"], c) for c in categories]
     empty = features.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.lit("ALL").alias("group"), F.lit(None).cast("bigint").alias("key"), F.lit(c).cast("string").alias("category"), *(F.lit(None).cast("double").alias(k) for k in "xy"), F.lit(0).alias("weight")) for n, c in always))).alias("e")).select("e.*")
     summed = cells.unionByName(empty).groupBy("section", "group", "key", "category").agg(
@@ -238,6 +244,21 @@ def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFra
     return report_rows(table.select("section", "group", "key", "category", F.explode(rows).alias("r")).select("section", "group", "key", "category", "r.*"))
 
 
+def report_members(features: DataFrame, thread: str = "thread", categories: list[str] = RUBRIC) -> DataFrame:
+    """section, group, key and thread of every row of a distribution or breakdown in the report: the threads that it counts."""
+    sums = [SECTIONS[n] for n in ("scored", "summary", "share", "by_replies", "by_revisions", "by_time")]
+    return _cells(features, categories, [thread]).where(~F.col("section").isin(sums) & F.col("key").isNotNull()).select("section", "group", "key", thread)
+
+
+def write_row_archives(features: DataFrame, documents: DataFrame, folder: str, thread: str = "thread", categories: list[str] = RUBRIC, **options) -> DataFrame:
+    """An archive for each row of the report with the documents (thread, path, content) of its threads; archive and members.
+
+    Archives that are there are left; a row whose threads have no document has none.
+    """
+    named = report_members(features, thread, categories).select(archive_name(F.col("section"), F.col("group"), F.col("key")).alias("archive"), thread)
+    return write_archives(named.join(documents, thread).select("archive", "path", "content"), folder, **options)
+
+
 def archive_name(section: Column, group: Column, key: Column) -> Column:
     """The name of the archive of a report row's members."""
     return F.concat(safe_name(F.concat_ws("_", section, group, F.concat(F.lit("key_"), F.coalesce(key.cast("string"), F.lit("NULL"))))), F.lit(".zip"))

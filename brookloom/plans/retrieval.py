@@ -60,6 +60,15 @@ def q_number_heavy(spark, d):
     return table(spark, d, "documents").select("doc_id", n.cast("bigint").alias("numbers"), F.length("text").alias("l")).where(F.col("numbers") / F.greatest(F.lit(1.0), F.log10(F.col("l") + 1)) >= 0.5).drop("l")
 
 
+_HEAVY = ORACLE_SQL["q_mathiness"]
+
+
+@query(f"SELECT doc_id, score FROM ({_HEAVY}) WHERE score >= 0.5")
+def q_math_heavy(spark, d):
+    """Texts with a sign of mathematics for every other digit of their length at least."""
+    return table(spark, d, "documents").select("doc_id", F.bround(X.mathiness(F.col("text")), 6).alias("score")).where("score >= 0.5")
+
+
 @query(_TOP + "SELECT query_id, string_agg('doc ' || vec_id, chr(10) || chr(10) ORDER BY rank) AS context FROM t WHERE rank <= 4 GROUP BY 1")
 def q_context(spark, d):
     """The texts of the best four as one context for a prompt."""

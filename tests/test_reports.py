@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from brookloom.operators import report
 from brookloom.plans.catalog import QUERIES
@@ -74,3 +75,47 @@ def test_each_table_is_read_once(spark, sf):
     final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
     for name in ("orders", "lineitem", "customer", "nation", "conversations"):
         assert len(re.findall(rf"FileScan parquet .*{name}\.parquet", final)) == 1, name
+
+
+def test_members_and_archives_of_every_row(spark, tmp_path):
+    import zipfile
+
+    df = features(spark, ROWS)
+    members = {}
+    for r in report.report_members(df).collect():
+        members.setdefault((r.section, r.group, r.key), set()).add(r.thread)
+    found = rows_of(report.whole_report(df))
+    counted = {(s, g, int(k)): n for (s, g, k, c, m), (n, _, _) in found.items() if k is not None and m is None and c is None}
+    assert {k: len(v) for k, v in members.items()} == counted
+    assert members["F. time_to_reply_median_hours_distribution", "ALL", 2] == {2, 3} and members["E3. total_score_improvement_by_service", "puzzle", 0] == {4}
+    documents = spark.createDataFrame([(k, f"thread_{k}.{kind}", f"{kind} {k}") for k in (1, 2, 3) for kind in ("txt", "json")], "thread long, path string, content string")
+    made = {r.archive: r.members for r in report.write_row_archives(df, documents, str(tmp_path)).collect()}
+    name = "F. time_to_reply_median_hours_distribution_ALL_key_2.zip"
+    assert made[name] == 4 and sorted(zipfile.ZipFile(tmp_path / name).namelist()) == ["thread_2.json", "thread_2.txt", "thread_3.json", "thread_3.txt"]
+    assert len(made) == sum(bool(v & {1, 2, 3}) for v in members.values())
+    assert report.write_row_archives(df, documents, str(tmp_path)).collect() == []  # they are there
+
+
+def test_mrubric_rows_and_distributions(spark, tmp_path):
+    from brookloom.operators import mrubric
+
+    cats = ["concise", "curious"]
+    replies = spark.createDataFrame([(k, k % 3, 1000 + k, f"reply {k}") for k in range(7)], "response_id long, thread_id long, response_date long, prompt string")
+    threads = spark.createDataFrame([(0, 7, "7 - Ann", 2, 1, 1.5, " ", "East", 5400.0), (1, 8, "8", 0, 0, None, "s", None, None)], "thread_id long, mentor_user_id long, mentor_label string, mentor_reply_count long, student_revisions long, delta_total double, service_name string, school_name string, reply_seconds_median double")
+    ask = lambda p: {"concise": len(p) % 3 + 0.9, "curious": None if p.endswith("1") else "2", "overall_comments": p} if not p.endswith("6") else None
+    rows = mrubric.scored_rows(replies, threads, ask, str(tmp_path / "store"), cats, tries=1)
+    assert rows.columns == [*mrubric.ROW, *cats, "overall_comments"]
+    got = {r.response_id: r for r in rows.collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5} and (got[0].concise, got[0].curious, got[1].curious) == (1, 2, None)
+    assert got[2].mentor_label is None and got[3].reply_seconds_median == 5400.0 and got[3].overall_comments == "reply 3"
+    mrubric.write_reports(rows, str(tmp_path / "out"), cats)
+    table = {(r.report, r.bucket_value, r.factor_value, r.category, r.score_level): (r["count"], r.percent) for r in spark.read.parquet(f"{tmp_path}/out/distributions").collect()}
+    assert table["by_mentor_label", None, "NULL", "curious", 2] == (2, 100.0) and table["by_school_name", None, "East", "concise", 1] == (2, 100.0)
+    assert table["by_mentor_reply_count", "NULL", None, "curious", 2] == (2, 100.0) and table["by_mentor_reply_count", "0", None, "curious", 2] == (1, 100.0)
+    assert ("by_student_revisions", "0", None, "curious", 2) not in table  # a thread without a reply
+    assert table["by_delta_total", "2", None, "concise", 1] == (2, 100.0) and table["delta_total_x_service_name", "2", "NULL", "curious", 2] == (2, 100.0)
+    assert table["mentor_reply_count_x_reply_time_bin", "2", "2", "curious", 2] == (2, 100.0)
+    lines = [x for p in (tmp_path / "out" / "by_mentor_label").glob("*.csv") for x in p.read_text().splitlines()]
+    assert lines[0] == "group_key,group_value,category,score_level,count,percent" and "mentor_label,8,concise,1,2,100.0" in lines
+    said = spark.range(1).select(mrubric.prompt_of(F.lit("P"), F.lit(None).cast("string"), F.lit("L"), F.lit("M"), cats)).first()[0]
+    assert "\nProblem:\nP\n" in said and '"curious": 1|2|3,\n  "overall_comments"' in said and len(mrubric.CATEGORIES) == 27
