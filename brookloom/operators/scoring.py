@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -11,7 +10,7 @@ from itertools import islice
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -127,24 +126,30 @@ def call_log(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/answers")
 
 
-def compared(questions: DataFrame, question: str, clients: dict[str, Callable[[str], str]], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
-    """question, model, answer (or a tagged error) and latency of each client for each question."""
+def compared(questions: DataFrame, question: str, clients: dict[str, Callable[[str], str]], *, in_flight: int = 8, timeout: float | None = None) -> DataFrame:
+    """question, model, answer (or a tagged error), ok and latency of each client for each question, several calls at a time; one try each."""
+    names = list(clients)
     schema = T.StructType([questions.schema[question], T.StructField("model", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("latency", T.DoubleType())])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+    turns = [lambda q, run=run: {"said": run(q)} for run in clients.values()]
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        puts = (((q, name), q) for batch in batches for q in batch.column(0).to_pylist() for name in names)
+        done = asked(puts, turns, in_flight=in_flight, tries=1, timeout=timeout)  # the k-th goes to client k modulo their number
+        while some := list(islice(done, 64)):
+            values = [[q for (q, _), _ in some], [n for (_, n), _ in some], [f"[error] {a.error}" if a.answer is None else a.answer["said"] for _, a in some], [a.answer is not None for _, a in some], [a.seconds for _, a in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
+
+    return questions.select(question).mapInArrow(call, schema)
 
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for q in f[question]:
-                for name, client in clients.items():
-                    start = clock()
-                    try:
-                        answer, ok = client(q), True
-                    except Exception as e:  # noqa: BLE001
-                        answer, ok = f"[error] {e}", False
-                    out.append([q, name, answer, ok, clock() - start])
-            yield pd.DataFrame(out, columns=schema.names)
 
-    return questions.select(question).mapInPandas(call, schema)
+def comparison_export(calls: DataFrame, question: str, stamp: Column | None = None) -> DataFrame:
+    """path and content of a JSON file for each question: the time, the question, each model's answer, and successes and mean seconds of each model over all questions."""
+    stats = usage(calls, "model", "ok", "latency").select(F.col("model"), F.struct("successes", "errors", "avg_latency").alias("s"))
+    all_stats = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "s")))).alias("usage_stats"))  # a row: models are few
+    said = calls.groupBy(question).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "answer")))).alias("answers"))
+    whole = said.join(F.broadcast(all_stats)).select(question, F.struct((F.current_timestamp() if stamp is None else stamp).cast("string").alias("timestamp"), F.col(question).alias("question"), "answers", "usage_stats").alias("x"))
+    return whole.select(F.concat(F.lit("comparison_"), F.substring(F.sha2(F.col(question).cast("string"), 256), 1, 16), F.lit(".json")).alias("path"), F.to_json("x").alias("content"))
 
 
 def answered(retrieved: DataFrame, query: str, text: str, rank: str, client: Callable[[str], str], how: str = "stuff", question: str = "question") -> DataFrame:
