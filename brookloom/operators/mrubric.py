@@ -72,7 +72,7 @@ def distributions(rows: DataFrame, categories: list[str] = CATEGORIES) -> DataFr
         cells.append(F.when(counts[b], cell(f"by_{b}", F.lit(b), bucket[b], none, none)))
         cells += [F.when(counts[b], cell(f"{b}_x_{f}", F.lit(b), bucket[b], F.lit(f), factor[f])) for f in FACTORS]
     levels = F.filter(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).cast("bigint").alias("score_level")) for c in categories)), lambda s: s["score_level"].isNotNull())
-    long = rows.select(levels.alias("levels"), F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*", F.explode("levels").alias("l")).select("report", "subset", "bucket_value", "factor", "factor_value", "l.*")
+    long = rows.select(levels.alias("levels"), F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL").select("cell.*", F.explode("levels").alias("l")).select("report", "subset", "bucket_value", "factor", "factor_value", "l.*")
     own = ["report", "subset", "bucket_value", "factor", "factor_value", "category"]
     counted = long.groupBy(*own, "score_level").agg(F.count("*").alias("count"))
     return counted.withColumn("percent", percent(F.col("count"), F.sum("count").over(Window.partitionBy(*own))))

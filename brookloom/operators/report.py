@@ -182,15 +182,21 @@ def thread_features(messages: DataFrame, thread: str, *, reply: Column, scored:
     return out.withColumn("delta_total", reduce(lambda a, b: a + b, (F.col(k) for k in each)))
 
 
+def _names(categories: list[str]) -> list[str]:
+    """All section names; cells hold places in this list, for they are many and names are long."""
+    return [n for v in SECTIONS.values() for own in (v if isinstance(v, tuple) else (v,)) for n in ([own.format(f"delta_{c}") for c in categories] if "{}" in own else [own])]
+
+
 def _cells(features: DataFrame, categories: list[str], carry: list[str]) -> DataFrame:
-    """A row for each cell of the report that counts a thread: section, group, key, category, x, y, weight."""
+    """A row for each cell of the report that counts a thread: section (a place in `_names`), group, key, category, x, y, weight."""
+    number_of = {n: k for k, n in enumerate(_names(categories))}
     null, number = F.lit(None), lambda c: F.col(c).cast("double")
     eligible = F.col("delta_total").isNotNull() & (F.col("scored_replies") >= 2)
 
     def cell(sections, key, *, every=F.lit(True), alone=False, category=None, x=null, y=null):
         names = [sections] * 4 if isinstance(sections, str) else sections
         return F.struct(
-            *(F.lit(n).alias(f"s{i}") for i, n in enumerate(names)), bin_half_even(key).alias("key"), every.alias("every"), F.lit(alone).alias("alone"),
+            *(F.lit(number_of[n]).alias(f"s{i}") for i, n in enumerate(names)), bin_half_even(key).alias("key"), every.alias("every"), F.lit(alone).alias("alone"),
             F.lit(category).cast("string").alias("category"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(1).alias("weight"))
 
     alone = lambda name, key=null, on=None, **more: F.when(on, cell(SECTIONS[name], key.cast("double"), alone=True, **more))
@@ -204,7 +210,7 @@ def _cells(features: DataFrame, categories: list[str], carry: list[str]) -> Data
         alone("by_replies", on=eligible, x=F.col("mentor_reply_count"), y=F.col("delta_total")), alone("by_revisions", on=eligible, x=F.col("student_revisions"), y=F.col("delta_total")),
         alone("hours", median / 3600, on=median.isNotNull()), alone("by_time", on=median.isNotNull() & F.col("delta_total").isNotNull(), x=median, y=F.col("delta_total")),
     ]
-    cells = features.select(*FACTORS, *carry, F.explode(F.array_compact(F.array(*counted))).alias("c"))
+    cells = features.select(*FACTORS, *carry, F.explode(F.array(*counted)).alias("c")).where("c IS NOT NULL")
     named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("NULL"))
     place = lambda k, group: F.struct(F.col(f"c.s{k}").alias("section"), group.alias("group"))
     everywhere, by = place(0, F.lit("ALL")), [place(k + 1, named(c)) for k, c in enumerate(FACTORS)]
@@ -221,18 +227,24 @@ def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFra
     that are there without threads (summaries, shares, correlations) get a row of weight 0.
     """
     cells = _cells(features, categories, [])
-    always = [(SECTIONS[n], None) for n in ("scored", "summary", "by_replies", "by_revisions", "by_time")] + [(SECTIONS["share"], c) for c in categories]
+    names = _names(categories)
+    place = {k: names.index(v) for k, v in SECTIONS.items() if isinstance(v, str)}
+    always = [(place[n], None) for n in ("scored", "summary", "by_replies", "by_revisions", "by_time")] + [(place["share"], c) for c in categories]
     empty = features.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.lit("ALL").alias("group"), F.lit(None).cast("bigint").alias("key"), F.lit(c).cast("string").alias("category"), *(F.lit(None).cast("double").alias(k) for k in "xy"), F.lit(0).alias("weight")) for n, c in always))).alias("e")).select("e.*")
-    summed = cells.unionByName(empty).groupBy("section", "group", "key", "category").agg(
-        F.sum("weight").alias("count"), pearson(F.col("x"), F.col("y")).alias("_r"), F.count("x").alias("_pairs"))
+    # sums of squares and products: there are many cells, and only three have pairs
+    moments = {"_x": F.col("x"), "_y": F.col("y"), "_xx": F.col("x") * F.col("x"), "_yy": F.col("y") * F.col("y"), "_xy": F.col("x") * F.col("y")}
+    summed = cells.unionByName(empty).groupBy("section", "group", "key", "category").agg(F.sum("weight").alias("count"), F.count("x").alias("_pairs"), *(F.sum(v).alias(k) for k, v in moments.items()))
+    n, spread = F.col("_pairs"), lambda xx, x: F.col("_pairs") * F.col(xx) - F.col(x) * F.col(x)
+    both = F.sqrt(F.greatest(spread("_xx", "_x"), F.lit(0.0))) * F.sqrt(F.greatest(spread("_yy", "_y"), F.lit(0.0)))
+    r = F.when((n >= 3) & (both > 0), F.bround(F.try_divide(n * F.col("_xy") - F.col("_x") * F.col("_y"), both), 4))
 
     group = Window.partitionBy("section", "group")
     known = F.sum(F.when(F.col("key").isNotNull(), F.col("count"))).over(group)
     up_to = F.sum("count").over(group.orderBy(F.asc_nulls_first("key")))
     least = lambda reached: F.min(F.when(reached, F.col("key"))).over(group)
-    table = summed.withColumns({"_all": F.sum("count").over(group), "_known": known, "_to": up_to})
+    table = summed.withColumn("_r", r).withColumns({"_all": F.sum("count").over(group), "_known": known, "_to": up_to})
     table = table.withColumns({"_mean": F.sum(F.col("key") * F.col("count")).over(group) / F.col("_known"), "_median": (least(2 * F.col("_to") >= F.col("_known")) + least(2 * F.col("_to") > F.col("_known"))) / 2})
-    at = lambda *names: F.col("section").isin(*(SECTIONS[n] for n in names))
+    at = lambda *own: F.col("section").isin(*(place[k] for k in own))
     metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("percent"))
     rows = (
         F.when(at("scored"), F.array(metric("threads_with_2plus_scored_responses", F.col("count"))))
@@ -241,13 +253,18 @@ def whole_report(features: DataFrame, categories: list[str] = RUBRIC) -> DataFra
         .when(at("by_replies", "by_revisions", "by_time"), F.array(metric("pearson_r", F.col("_r")), metric("n_pairs", F.col("_pairs"))))
         .otherwise(F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("count"), percent(F.col("count"), F.col("_all")).alias("percent"))))
     )
-    return report_rows(table.select("section", "group", "key", "category", F.explode(rows).alias("r")).select("section", "group", "key", "category", "r.*"))
+    return report_rows(table.select(_name_of(names).alias("section"), "group", "key", "category", F.explode(rows).alias("r")).select("section", "group", "key", "category", "r.*"))
+
+
+def _name_of(names: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col("section") + 1)
 
 
 def report_members(features: DataFrame, thread: str = "thread", categories: list[str] = RUBRIC) -> DataFrame:
     """section, group, key and thread of every row of a distribution or breakdown in the report: the threads that it counts."""
-    sums = [SECTIONS[n] for n in ("scored", "summary", "share", "by_replies", "by_revisions", "by_time")]
-    return _cells(features, categories, [thread]).where(~F.col("section").isin(sums) & F.col("key").isNotNull()).select("section", "group", "key", thread)
+    names = _names(categories)
+    sums = [names.index(SECTIONS[n]) for n in ("scored", "summary", "share", "by_replies", "by_revisions", "by_time")]
+    return _cells(features, categories, [thread]).where(~F.col("section").isin(sums) & F.col("key").isNotNull()).select(_name_of(names).alias("section"), "group", "key", thread)
 
 
 def write_row_archives(features: DataFrame, documents: DataFrame, folder: str, thread: str = "thread", categories: list[str] = RUBRIC, **options) -> DataFrame:
