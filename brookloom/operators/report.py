@@ -173,11 +173,12 @@ def thread_features(messages: DataFrame, thread: str, *, reply: Column, scored:
     carry: columns of the thread.  Deltas are null without scored replies, the median without times.
     """
     own = F.struct(*(F.coalesce(c, F.lit(0)).alias(k) for k, c in scores.items()))
-    when = F.when(scored, F.struct(*order))
+    # the scores go with what orders them, so both ends are plain minima
+    placed = F.when(scored, F.struct(*(c.alias(f"at{k}") for k, c in enumerate(order)), own.alias("own")))
     ends = messages.groupBy(thread, *carry).agg(
         F.count(reply).alias("mentor_reply_count"), F.count_if(scored).alias("scored_replies"), F.median(seconds).alias("reply_seconds_median"),
-        F.min_by(own, when).alias("_first"), F.max_by(own, when).alias("_last"))
-    each = {f"delta_{k}": (F.col(f"_last.{k}") - F.col(f"_first.{k}")).cast("double") for k in scores}
+        F.min(placed).alias("_first"), F.max(placed).alias("_last"))
+    each = {f"delta_{k}": (F.col(f"_last.own.{k}") - F.col(f"_first.own.{k}")).cast("double") for k in scores}
     out = ends.withColumns(each).drop("_first", "_last")
     return out.withColumn("delta_total", reduce(lambda a, b: a + b, (F.col(k) for k in each)))
 
