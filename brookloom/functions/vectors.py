@@ -47,18 +47,42 @@ def usable(df: DataFrame, embedding: str, size: int | None) -> DataFrame:
     return whole
 
 
+#: Queries and corpus rows of a tile: what a task multiplies at once, whatever the sizes of both sides and of Arrow's batches.
+TILE_QUERIES, TILE_ROWS = 512, 2048
+
+
+def _better(best_s: np.ndarray, best_i: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+    """Put the rows of a tile that are better into the best so far, in place: best first, ties by the smaller id."""
+    k = best_s.shape[1]
+    edge = best_s[:, -1]
+    if sims.shape[1] > k and np.isneginf(edge).any():
+        edge = np.maximum(edge, np.partition(sims, -k, axis=1)[:, -k])
+    row, col = np.nonzero(sims >= edge[:, None])
+    if not len(row):
+        return
+    some, at = np.unique(row, return_inverse=True)
+    of = np.concatenate((np.repeat(np.arange(len(some)), k), at))
+    s, i = np.concatenate((best_s[some].ravel(), sims[row, col])), np.concatenate((best_i[some].ravel(), ids[col]))
+    order = np.lexsort((i, -s, of))
+    counts = np.bincount(of, minlength=len(some))
+    kept = order[np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) < k]
+    best_s[some], best_i[some] = s[kept].reshape(-1, k), i[kept].reshape(-1, k)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, size: int | None = None, digits: int = 6, block: int = 4096) -> DataFrame:
     """query_id, vec_id, sim and rank of the k most similar corpus rows of each query.
 
     queries and corpus have id and embedding.  The queries are a stated set that is collected in blocks;
-    the corpus streams past each block as matrix products, each task keeps its k best of each query, and
-    only those meet in a window.  So the corpus is neither shuffled nor multiplied out.  Rows without an
-    embedding, or with a null in it, are near nothing and are left out, as are those of another length than
-    `size`; without it, queries of several lengths are an error.  For two large sets see `nearest`.
+    the corpus streams past each block as matrix products in tiles of bounded size, each task keeps its k
+    best of each query, and only those meet in a window.  So the corpus is neither shuffled nor multiplied
+    out.  Rows without an embedding, or with a null in it, are near nothing and are left out, as are those
+    of another length than `size`; without it, queries of several lengths are an error.  NaN is above all
+    numbers, as in SQL.  For two large sets see `nearest`.
     """
     out = None
     held: list = []
     queries = usable(queries, "embedding", size)
+    whole = corpus.select("id", "embedding").where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("sim", T.DoubleType())])
 
     def scan(rows: list) -> DataFrame:
@@ -67,22 +91,22 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, size: int | None = N
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+            best_s, best_i = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
             for b in batches:
-                pairs = [(i, e) for i, e in zip(b.column("id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if i is not None and e is not None and len(e) == q.shape[1] and None not in e]
-                if not pairs:
-                    continue
-                own = np.array([p[0] for p in pairs], np.int64)
-                x = np.array([p[1] for p in pairs], np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = np.concatenate((best_s, np.round(q @ x.T, digits)), axis=1)
-                i = np.concatenate((best_i, np.broadcast_to(own, (len(q), len(own)))), axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_i.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], names=schema.names)
-
-        return corpus.select("id", "embedding").mapInArrow(run, schema)
+                for part in (b.slice(at, TILE_ROWS) for at in range(0, b.num_rows, TILE_ROWS)):
+                    own = np.asarray(part.column("id"), np.int64)
+                    x = np.asarray(part.column("embedding").flatten(), np.float64).reshape(len(own), -1)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    for s in range(0, len(q), TILE_QUERIES):
+                        sims = np.round(q[s : s + TILE_QUERIES] @ x.T, digits)
+                        sims[np.isnan(sims)] = np.inf
+                        _better(best_s[s : s + TILE_QUERIES], best_i[s : s + TILE_QUERIES], sims, own)
+            query, rank = np.nonzero(best_s > -np.inf)
+            sims = best_s[query, rank]
+            sims[np.isinf(sims)] = np.nan
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query], pa.int64()), pa.array(best_i[query, rank], pa.int64()), pa.array(sims, pa.float64(), from_pandas=False)], names=schema.names)
+
+        return whole.where(F.size("embedding") == q.shape[1]).mapInArrow(run, schema)
 
     for row in queries.select("id", "embedding").where("id IS NOT NULL").toLocalIterator():
         held.append((row["id"], row["embedding"]))
