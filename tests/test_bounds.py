@@ -3,9 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from brookloom.functions import vectors
+from brookloom.sources.tables import table
 
 SCHEMA = "id long, embedding array<float>"
 
@@ -43,3 +46,12 @@ def test_a_search_of_nan_and_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [0.0, 0.0])], SCHEMA)
     got = [(r.vec_id, r["rank"]) for r in vectors.top_k(df.where("id = 1"), df, 5).orderBy("rank").collect()]
     assert got == [(2, 1), (1, 2), (3, 3)]
+
+
+def test_texts_come_in_small_batches(spark, tmp_path):
+    """A UDF on a table of long texts gets some 4 MB at once (before: up to 10,000 rows, here all 24 MB)."""
+    spark.range(3000).select(F.col("id").alias("page_id"), F.repeat(F.lit("x"), 8000).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    held = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
+    own = spark.newSession()  # its settings are Spark's
+    most = table(own, str(tmp_path), "pages").select(held("html").alias("n")).agg(F.max("n")).first()[0]
+    assert most < 8 << 20, most
