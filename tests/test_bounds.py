@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brookloom.functions import vectors
+from brookloom.operators import nearest
+from brookloom.plans.catalog import QUERIES
 from brookloom.sources.tables import table
 
 SCHEMA = "id long, embedding array<float>"
@@ -55,3 +57,29 @@ def test_texts_come_in_small_batches(spark, tmp_path):
     own = spark.newSession()  # its settings are Spark's
     most = table(own, str(tmp_path), "pages").select(held("html").alias("n")).agg(F.max("n")).first()[0]
     assert most < 8 << 20, most
+
+
+def test_queries_go_to_a_shelf_once(spark):
+    """Where no bound holds, a query is shuffled once for each shelf in each step (before: once for each of some 40 blocks), and both sides of a task are bounded."""
+    rng = np.random.default_rng(8)
+    n = 2000
+    rows = spark.createDataFrame([(i, 0, rng.normal(size=16).astype(np.float32).tolist()) for i in range(n)], "id long, group int, embedding array<float>")
+    _, visitors, blocks = nearest._searched(rows.select("id", "embedding", F.array(F.lit(0)).alias("groups")), rows, 1, block=50, pivots=40)
+    assert visitors.count() <= 2 * n
+    assert blocks.count() == n and blocks.select("shelf").distinct().count() == 1
+
+
+def test_small_shelves_and_parts_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, i % 2, rng.normal(size=4).astype(np.float32).tolist()) for i in range(300)], "id long, group int, embedding array<float>")
+    queries = rows.select("id", "embedding", F.array(F.lit(0), F.lit(1)).alias("groups"))
+    found = lambda: sorted((r.query_id, r.group, r["rank"], r.id, round(r.sim, 6)) for r in nearest.nearest(queries, rows, 3, block=20, pivots=6).collect())
+    whole = found()
+    monkeypatch.setattr(nearest, "SHELF_BYTES", 16 * 50)  # 50 vectors
+    assert found() == whole and len(whole) == 300 * 2 * 3
+
+
+def test_drift_searches_once(spark, sf):
+    """Before: the search stood twice in the plan, for the means and for those of a label with itself."""
+    plan = QUERIES["q_drift_nearest"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") in (2, 3), plan  # bounds, and the first and other blocks
