@@ -68,7 +68,7 @@ def thread_table(spark, d):
 @query(_FEATURES + "cells AS (" + " UNION ALL ".join(_CELLS) + "), shares AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (delta_{c} > 0) AS count FROM f" for c in SCORES) + ") " + " UNION ALL ".join(_REPORT))
 def q_base_report(spark, d):
     """Every section as rows of one sparse table, in order."""
-    return report.in_order(report.whole_report(thread_table(spark, d)))
+    return report.whole_report(thread_table(spark, d), ordered=True)
 
 
 @query(sqlfmt("""WITH {scored}, {deltas}, r AS (SELECT conv_id AS thread, greatest(count(*) FILTER (role = 'user') - 1, 0) AS revisions FROM conversations GROUP BY 1)

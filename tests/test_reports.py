@@ -68,6 +68,30 @@ def test_two_middle_values_and_a_constant_side(spark):
     assert found["D. correlation_replies_vs_score_change", "ALL", None, None, "pearson_r"][2] is None
 
 
+def test_ordered_cells_are_shuffled_by_range_once(spark):
+    df = report.whole_report(features(spark, ROWS), ordered=True)
+    rows = df.collect()
+    assert [tuple(r) for r in rows if r.metric or r.key] == [tuple(r) for r in report.in_order(report.whole_report(features(spark, ROWS))).collect() if r.metric or r.key]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert len(re.findall(r"Exchange rangepartitioning", final)) == 1 and len(re.findall(r"Exchange hashpartitioning", final)) == 1  # window and order share the first
+
+
+def test_thread_features_by_hand(spark):
+    columns = "thread long, who string, reply int, ok boolean, at int, tie int, seconds double, a int, b int"
+    rows = [
+        (1, "x", 1, True, 3, 0, 30.0, 5, None), (1, "x", 2, True, 1, 0, 10.0, 2, 4), (1, "x", 3, False, 0, 0, 0.5, 9, 9), (1, "x", 4, None, 9, 0, None, 7, 7),
+        (2, "y", 1, True, 1, 1, 8.0, 3, 1), (2, "y", 2, True, 1, 0, 2.0, 1, 1),
+        (3, None, None, None, None, None, None, None, None), (4, "z", 1, False, 1, 0, -5.0, 1, 1),
+    ]
+    df = report.thread_features(
+        spark.createDataFrame(rows, columns), "thread", reply=F.col("reply"), scored=F.col("ok"), order=[F.col("at"), F.col("tie")], seconds=F.col("seconds"),
+        scores={"a": F.col("a"), "b": F.col("b")}, carry=["who"])
+    got = {r.thread: (r.who, r.mentor_reply_count, r.scored_replies, r.reply_seconds_median, r.delta_a, r.delta_b, r.delta_total) for r in df.collect()}
+    assert got == {1: ("x", 4, 2, 10.0, 3.0, -4.0, -1.0), 2: ("y", 2, 2, 5.0, 2.0, 0.0, 2.0), 3: (None, 0, 0, None, None, None, None), 4: ("z", 1, 0, -5.0, None, None, None)}
+    assert "ObjectHashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_each_table_is_read_once(spark, sf):
     df = QUERIES["q_base_report"](spark, sf)
     df.collect()
