@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from ..sources.shipping import ship
 
 Model = Callable[[list[str]], np.ndarray]
-#: Texts of a call, and calls whose texts are put in order of length together.
-BATCH, AHEAD = 256, 16
+#: Texts of a call, and calls whose texts are put in order of length together; bytes of rows from which on no more are gathered for that.
+BATCH, AHEAD, HELD_BYTES = 256, 16, 8 << 20
 _LOADED: dict[str, Model] = {}
 
 
@@ -87,7 +87,8 @@ def embedded(df: DataFrame, text_col: str, load: Callable[[], Model], name: str,
     """df with the vectors of its texts (arrays of float); a null text has none.
 
     name: of the model, for the workers.  Rows are gathered across Arrow batches, so calls are full and
-    of about one length.  A column of the name of the new one is replaced.
+    of about one length; rows of long texts only up to a number of bytes.  A column of the name of the new
+    one is replaced.
     """
     ship(df.sparkSession)
     kept = [c for c in df.columns if c.lower() != out.lower()]
@@ -95,7 +96,7 @@ def embedded(df: DataFrame, text_col: str, load: Callable[[], Model], name: str,
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, n = loaded(name, load), [], 0
+        model, held, n, size = loaded(name, load), [], 0, 0
 
         def done() -> Iterator[pa.RecordBatch]:
             texts = [t for b in held for t in b.column(at).to_pylist()]
@@ -109,10 +110,10 @@ def embedded(df: DataFrame, text_col: str, load: Callable[[], Model], name: str,
 
         for b in batches:
             held.append(b)
-            n += b.num_rows
-            if n >= batch * AHEAD:
+            n, size = n + b.num_rows, size + b.nbytes
+            if n >= batch * AHEAD or size >= HELD_BYTES:
                 yield from done()
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if held:
             yield from done()
 

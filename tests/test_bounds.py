@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brookloom.functions import vectors
-from brookloom.operators import nearest
+from brookloom.operators import embedding, nearest
 from brookloom.plans.catalog import QUERIES
 from brookloom.sources.tables import table
 
@@ -83,3 +83,23 @@ def test_drift_searches_once(spark, sf):
     """Before: the search stood twice in the plan, for the means and for those of a label with itself."""
     plan = QUERIES["q_drift_nearest"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") in (2, 3), plan  # bounds, and the first and other blocks
+
+
+def test_an_embedder_gathers_few_long_texts(spark, monkeypatch):
+    """Rows are gathered for calls of one length up to some 8 MB (before: up to 4,096 rows, here all 40 MB); all come back in order."""
+    held = []
+    df = spark.createDataFrame([(1, "a")], "id long, t string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, *more: held.append(run))
+    embedding.embedded(df, "t", embedding.hashing_embedder(4), "bounds-4")
+    drawn = []
+
+    def batches():
+        for k in range(40):
+            drawn.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(range(50 * k, 50 * k + 50), pa.int64()), pa.array([f"{k} " + "x" * 20_000] * 50)], names=["id", "t"])
+
+    out = held[0](batches())
+    first = next(out)
+    assert len(drawn) <= 9, drawn
+    ids = [i for b in (first, *out) for i in b.column("id").to_pylist()]
+    assert ids == list(range(2000)) and first.column("embedding").null_count == 0
